@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from . import lines
+from . import lines, simhash
 
-QUERIES = {"op8_line_dedup": lines.op8_line_dedup}
+QUERIES = {
+    "op6_simhash_near_dedup": simhash.op6_simhash_near_dedup,
+    "op8_line_dedup": lines.op8_line_dedup,
+}
 SQL = {"op8_line_dedup": lines.SQL}
