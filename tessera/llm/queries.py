@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import lines, simhash
+from . import lines, mixing, simhash
 
 QUERIES = {
     "op6_simhash_near_dedup": simhash.op6_simhash_near_dedup,
     "op8_line_dedup": lines.op8_line_dedup,
+    "op9_source_mixing": mixing.op9_source_mixing,
 }
 SQL = {"op8_line_dedup": lines.SQL}
