@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import lines, mixing, simhash
+from . import lines, mixing, quality, simhash
 
 QUERIES = {
+    "op4_quality_rules": quality.op4_quality_rules,
     "op6_simhash_near_dedup": simhash.op6_simhash_near_dedup,
     "op8_line_dedup": lines.op8_line_dedup,
     "op9_source_mixing": mixing.op9_source_mixing,
