@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import lines, mixing, quality, simhash
+from . import lines, mixing, quality, simhash, topk
 
 QUERIES = {
     "op4_quality_rules": quality.op4_quality_rules,
     "op6_simhash_near_dedup": simhash.op6_simhash_near_dedup,
+    "op7_exact_top_k": topk.op7_exact_top_k,
     "op8_line_dedup": lines.op8_line_dedup,
     "op9_source_mixing": mixing.op9_source_mixing,
 }
-SQL = {"op8_line_dedup": lines.SQL}
+SQL = {"op7_exact_top_k": topk.SQL, "op8_line_dedup": lines.SQL}
