@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import lines, mixing, quality, simhash, topk
+from . import bpe, lines, mixing, quality, simhash, topk
 
 QUERIES = {
     "op4_quality_rules": quality.op4_quality_rules,
+    "op5_bpe": bpe.op5_bpe,
     "op6_simhash_near_dedup": simhash.op6_simhash_near_dedup,
     "op7_exact_top_k": topk.op7_exact_top_k,
     "op8_line_dedup": lines.op8_line_dedup,
