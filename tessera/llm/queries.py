@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, lines, mixing, quality, simhash, topk
+from . import bpe, lines, mixing, quality, simhash, topk, warc
 
 QUERIES = {
+    "op3_warc": warc.op3_warc,
     "op4_quality_rules": quality.op4_quality_rules,
     "op5_bpe": bpe.op5_bpe,
     "op6_simhash_near_dedup": simhash.op6_simhash_near_dedup,
@@ -12,4 +13,4 @@ QUERIES = {
     "op8_line_dedup": lines.op8_line_dedup,
     "op9_source_mixing": mixing.op9_source_mixing,
 }
-SQL = {"op7_exact_top_k": topk.SQL, "op8_line_dedup": lines.SQL}
+SQL = {"op3_warc": warc.SQL, "op7_exact_top_k": topk.SQL, "op8_line_dedup": lines.SQL}
