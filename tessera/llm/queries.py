@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, lines, mixing, quality, simhash, topk, warc
+from . import bpe, lines, mixing, quality, simhash, suffixes, topk, warc
 
 QUERIES = {
+    "op1_suffix_dedup": suffixes.op1_suffix_dedup,
     "op3_warc": warc.op3_warc,
     "op4_quality_rules": quality.op4_quality_rules,
     "op5_bpe": bpe.op5_bpe,
