@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, lines, mixing, quality, simhash, suffixes, topk, warc
+from . import bpe, licenses, lines, mixing, quality, simhash, suffixes, topk, warc
 
 QUERIES = {
     "op1_suffix_dedup": suffixes.op1_suffix_dedup,
@@ -13,5 +13,6 @@ QUERIES = {
     "op7_exact_top_k": topk.op7_exact_top_k,
     "op8_line_dedup": lines.op8_line_dedup,
     "op9_source_mixing": mixing.op9_source_mixing,
+    "op10_license_scan": licenses.op10_license_scan,
 }
-SQL = {"op3_warc": warc.SQL, "op7_exact_top_k": topk.SQL, "op8_line_dedup": lines.SQL}
+SQL = {"op10_license_scan": licenses.SQL, "op3_warc": warc.SQL, "op7_exact_top_k": topk.SQL, "op8_line_dedup": lines.SQL}
