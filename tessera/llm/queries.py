@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, licenses, lines, mixing, quality, simhash, suffixes, topk, warc
+from . import bpe, licenses, lines, mixing, pii, quality, simhash, suffixes, topk, warc
 
 QUERIES = {
     "op1_suffix_dedup": suffixes.op1_suffix_dedup,
+    "op2_pii": pii.op2_pii,
     "op3_warc": warc.op3_warc,
     "op4_quality_rules": quality.op4_quality_rules,
     "op5_bpe": bpe.op5_bpe,
