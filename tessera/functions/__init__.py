@@ -1 +1 @@
-
+"""Scalar semantics as Spark columns."""

@@ -1 +1 @@
-
+"""Relational operators and services over DataFrames."""

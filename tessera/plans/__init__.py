@@ -1 +1 @@
-
+"""Conversion plans, and the catalog of registered queries."""

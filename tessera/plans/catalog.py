@@ -1,10 +1,588 @@
-"""The registered queries over the reference tables and their SQL."""
+"""The registered queries over the benchmark tables, each beside the SQL that checks it."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from collections.abc import Callable
 
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def flagship(spark, sf_dir: str):
-    raise NotImplementedError
+from ..functions import scalar as S
+from ..model import Entity, Model, Property, Relationship, Workspace
+from ..operators import operations as O
+from ..operators import relational as R
+from ..operators import services as V
+from ..sources import files
+from ..sources.tables import from_rows, star
+from .direction import Direction
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def by_id() -> list[Column]:
+    """A scan's row order."""
+    return [S.fold("Id")]
+
+
+_FIXTURE = "(VALUES ('s1', 'Beta', 'K1', 'b,a', 'r2'), ('s2', 'alpha', 'K1', NULL, 'r1'), ('s3', '', 'K2', 'x', NULL)) AS s(Id, Name, Kind, Tags, RoleId)"
+_PIECES = "(VALUES ('  both  ', 1), ('tab' || chr(9), 2), ('Ångström', 3), ('text   ', 4), ('', 5), (NULL, 6), ('abcABCabc', 7)) AS p(t, n)"
+
+
+def fixture(spark: SparkSession) -> DataFrame:
+    """Three rows with mixed case, an empty and a missing text."""
+    return R.values(spark, ["Id", "Name", "Kind", "Tags", "RoleId"], [("s1", "Beta", "K1", "b,a", "r2"), ("s2", "alpha", "K1", None, "r1"), ("s3", "", "K2", "x", None)])
+
+
+def pieces(spark: SparkSession) -> DataFrame:
+    return R.values(spark, ["t", "n"], [("  both  ", 1), ("tab\t", 2), ("Ångström", 3), ("text   ", 4), ("", 5), (None, 6), ("abcABCabc", 7)])
+
+
+def mixed_status(ws: Workspace) -> DataFrame:
+    """Orders with the status in lower case where the id is odd."""
+    odd = F.col("Id").cast("long") % 2 == 1
+    return ws["Order"].select("Id", F.when(odd, F.lower("Status")).otherwise(F.col("Status")).alias("Status"), "Priority", "CustomerId")
+
+
+_MIXED = "(SELECT CAST(o_orderkey AS VARCHAR) AS Id, CASE WHEN o_orderkey % 2 = 1 THEN lower(o_orderstatus) ELSE o_orderstatus END AS Status, o_orderpriority AS Priority, CAST(o_custkey AS VARCHAR) AS CustomerId FROM orders)"
+
+
+# scans and sources
+
+
+@query("SELECT CAST(n_nationkey AS VARCHAR) AS Id, n_name AS Name, CAST(n_regionkey AS VARCHAR) AS RegionId FROM nation")
+def scan_project(spark, sf):
+    return star(spark, sf)["Nation"].select("Id", "Name", "RegionId")
+
+
+@query("SELECT CAST(1 AS BIGINT) AS one, 'x' AS label")
+def select_no_from(spark, sf):
+    return spark.range(1).select(F.lit(1).cast("long").alias("one"), F.lit("x").alias("label"))
+
+
+@query("SELECT * FROM (VALUES (CAST(2 AS BIGINT), 'two'), (1, 'one'), (3, NULL)) AS v(n, label)")
+def values_table(spark, sf):
+    return R.values(spark, ["n", "label"], [(2, "two"), (1, "one"), (3, None)]).drop("_row")
+
+
+@query("SELECT CAST(r_regionkey AS VARCHAR) AS key, upper(r_name) AS label FROM region")
+def derived_alias_list(spark, sf):
+    return star(spark, sf)["Region"].select("Id", S.upper("Name")).toDF("key", "label")
+
+
+# predicates
+
+
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS Id FROM orders WHERE upper(o_orderstatus) = 'O' AND upper(o_orderpriority) >= '3-'")
+def where_cmp(spark, sf):
+    return star(spark, sf)["Order"].where(S.equal(F.col("Status"), "o") & S.compare(F.col("Priority"), ">=", "3-")).select("Id")
+
+
+@query(f"SELECT Id FROM {_FIXTURE} WHERE NOT (upper(RoleId) = 'R2' AND upper(Kind) = 'K1') OR (RoleId IS NULL AND Tags IS NOT NULL)")
+def where_3vl(spark, sf):
+    return fixture(spark).where(~(S.equal(F.col("RoleId"), "r2") & S.equal(F.col("Kind"), "k1")) | (F.col("RoleId").isNull() & F.col("Tags").isNotNull())).select("Id")
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS Id FROM customer WHERE upper(c_mktsegment) IN ('BUILDING', 'MACHINERY')")
+def in_list(spark, sf):
+    return star(spark, sf)["Customer"].where(S.within(F.col("Segment"), ["building", "Machinery"])).select("Id")
+
+
+@query(f"SELECT count(*) AS n FROM {_FIXTURE} WHERE NOT (upper(Kind) IN ('K1', NULL))")
+def not_in_null(spark, sf):
+    return fixture(spark).where(~S.within(F.col("Kind"), ["k1", None])).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT CAST(p_partkey AS VARCHAR) AS Id, p_type AS Type FROM part WHERE p_type ILIKE '%s_e%'")
+def like_percent(spark, sf):
+    return star(spark, sf)["Part"].where(S.like("Type", "%S_E%")).select("Id", "Type")
+
+
+@query("SELECT CAST(n_nationkey AS VARCHAR) AS Id, n_name AS Name FROM nation WHERE regexp_matches(n_name, '(?is)^[a-c][^r].*$') OR regexp_matches(n_name, '(?is)^.*[0-4]$')")
+def like_set(spark, sf):
+    return star(spark, sf)["Nation"].where(S.like("Name", "[a-c][^r]%") | S.like("Name", "%[0-4]")).select("Id", "Name")
+
+
+@query(f"SELECT Id FROM {_FIXTURE} WHERE Tags IS NULL OR RoleId IS NULL")
+def is_null(spark, sf):
+    return fixture(spark).where(F.col("Tags").isNull() | F.col("RoleId").isNull()).select("Id")
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS Id FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority LIKE '1-%')")
+def exists_semi(spark, sf):
+    ws = star(spark, sf)
+    c, o = ws["Customer"], ws["Order"].where(S.like("Priority", "1-%"))
+    return R.exists(c, o, F.upper(c["Id"]) == F.upper(o["CustomerId"])).select("Id")
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS Id FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+def not_exists_anti(spark, sf):
+    ws = star(spark, sf)
+    c, o = ws["Customer"], ws["Order"]
+    return R.exists(c, o, F.upper(c["Id"]) == F.upper(o["CustomerId"]), negate=True).select("Id")
+
+
+@query("SELECT CAST(r_regionkey AS VARCHAR) AS Id FROM region WHERE EXISTS (SELECT count(*) FROM nation WHERE n_name = 'none such')")
+def exists_aggregate(spark, sf):
+    ws = star(spark, sf)
+    one = ws["Nation"].where(S.equal(F.col("Name"), "none such")).agg(F.count(F.lit(1)).alias("n"))
+    return R.exists(ws["Region"], one, F.lit(True)).select("Id")
+
+
+# joins
+
+
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS OrderId, c_name AS Customer, n_name AS Nation FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey")
+def inner_equi(spark, sf):
+    ws = star(spark, sf)
+    o, c, n = ws["Order"].alias("o"), ws["Customer"].alias("c"), ws["Nation"].alias("n")
+    joined = R.join(R.join(o, c, F.upper("o.CustomerId") == F.upper("c.Id")), n, F.upper("c.NationId") == F.upper("n.Id"))
+    return joined.select(F.col("o.Id").alias("OrderId"), F.col("c.Name").alias("Customer"), F.col("n.Name").alias("Nation"))
+
+
+@query("SELECT a.n_name AS a, b.n_name AS b FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND upper(a.n_name) < upper(b.n_name)")
+def inner_theta(spark, sf):
+    n = star(spark, sf)["Nation"]
+    a, b = n.alias("a"), n.alias("b")
+    return R.join(a, b, (F.upper("a.RegionId") == F.upper("b.RegionId")) & S.compare(F.col("a.Name"), "<", F.col("b.Name"))).select(F.col("a.Name").alias("a"), F.col("b.Name").alias("b"))
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS Id, CAST(o_orderkey AS VARCHAR) AS OrderId FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderstatus = 'P'")
+def left_join(spark, sf):
+    ws = star(spark, sf)
+    c, o = ws["Customer"].alias("c"), ws["Order"].alias("o")
+    return R.join(c, o, (F.upper("c.Id") == F.upper("o.CustomerId")) & S.equal(F.col("o.Status"), "p"), "left").select("c.Id", F.col("o.Id").alias("OrderId"))
+
+
+@query("SELECT count(*) AS n FROM nation CROSS JOIN region")
+def cross_join_count(spark, sf):
+    ws = star(spark, sf)
+    return R.join(ws["Nation"].select("Id"), ws["Region"].select(F.col("Id").alias("r")), F.lit(True), "cross").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT n_name AS Nation, r_name AS Region FROM nation, region WHERE n_regionkey = r_regionkey")
+def comma_join(spark, sf):
+    ws = star(spark, sf)
+    n, r = ws["Nation"].alias("n"), ws["Region"].alias("r")
+    return R.join(n, r, F.lit(True), "cross").where(F.upper("n.RegionId") == F.upper("r.Id")).select(F.col("n.Name").alias("Nation"), F.col("r.Name").alias("Region"))
+
+
+@query("SELECT CAST(p_partkey AS VARCHAR) AS Id, u.word, u.ordinal FROM (SELECT p_partkey, unnest(string_split(p_type, ' ')) AS word, CAST(unnest(range(1, len(string_split(p_type, ' ')) + 1)) AS BIGINT) AS ordinal FROM part) u")
+def cross_apply_split(spark, sf):
+    return R.split(star(spark, sf)["Part"], "Type", " ", value="word", ordinal="ordinal").select("Id", "word", "ordinal")
+
+
+@query(f"SELECT Id, unnest(CASE WHEN Tags IS NULL THEN [NULL] ELSE string_split(Tags, ',') END) AS tag FROM {_FIXTURE}")
+def outer_apply_split(spark, sf):
+    return R.split(fixture(spark), "Tags", ",", outer=True, value="tag").select("Id", "tag")
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS Id, a.n, a.first_priority FROM customer LEFT JOIN LATERAL (SELECT count(*) AS n, min(o_orderpriority) AS first_priority FROM orders WHERE o_custkey = c_custkey) a ON true")
+def apply_correlated_agg(spark, sf):
+    ws = star(spark, sf)
+    per = ws["Order"].groupBy(F.upper("CustomerId").alias("k")).agg(F.count(F.lit(1)).alias("n"), R.min_text("Priority", by_id()).alias("first_priority"))
+    return ws["Customer"].join(per, F.upper("Id") == F.col("k"), "left").select("Id", F.coalesce("n", F.lit(0)).alias("n"), "first_priority")
+
+
+# grouping
+
+
+@query("SELECT o_orderstatus AS status, count(*) AS n FROM orders GROUP BY o_orderstatus")
+def group_count(spark, sf):
+    return star(spark, sf)["Order"].groupBy(F.col("Status").alias("status")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"SELECT arg_min(Status, Id) AS status, count(*) AS n, count(DISTINCT Status) AS spellings FROM {_MIXED} GROUP BY upper(Status)")
+def group_expr(spark, sf):
+    o = mixed_status(star(spark, sf))
+    return o.groupBy(S.fold("Status").alias("k")).agg(R.first_of("Status", by_id()).alias("status"), F.count(F.lit(1)).alias("n"), F.countDistinct("Status").alias("spellings")).drop("k")
+
+
+@query("SELECT count(*) AS n, min(n_name) AS least FROM nation WHERE n_name = 'none such'")
+def implicit_group_empty(spark, sf):
+    return star(spark, sf)["Nation"].where(S.equal(F.col("Name"), "none such")).agg(F.count(F.lit(1)).alias("n"), R.min_text("Name", by_id()).alias("least"))
+
+
+@query(f"SELECT Priority AS priority, arg_min(Status, (upper(Status), Id)) AS least, (list(Status ORDER BY upper(Status) DESC, Id))[1] AS most, count(CustomerId) AS n FROM {_MIXED} GROUP BY Priority")
+def min_max_text(spark, sf):
+    o = mixed_status(star(spark, sf))
+    return o.groupBy(F.col("Priority").alias("priority")).agg(R.min_text("Status", by_id()).alias("least"), R.max_text("Status", by_id()).alias("most"), F.count("CustomerId").alias("n"))
+
+
+@query("SELECT r_name AS region, string_agg(n_name, ',' ORDER BY upper(n_name), CAST(n_nationkey AS VARCHAR)) AS up, string_agg(n_name, '|' ORDER BY upper(n_name) DESC, CAST(n_nationkey AS VARCHAR)) AS down FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name")
+def string_agg_ordered(spark, sf):
+    ws = star(spark, sf)
+    n, r = ws["Nation"].alias("n"), ws["Region"].alias("r")
+    key, order = S.fold(F.col("n.Name")), [S.fold(F.col("n.Id"))]
+    joined = R.join(n, r, F.upper("n.RegionId") == F.upper("r.Id"))
+    return joined.groupBy(F.col("r.Name").alias("region")).agg(R.string_agg(F.col("n.Name"), ",", [(key, True)], order).alias("up"), R.string_agg(F.col("n.Name"), "|", [(key, False)], order).alias("down"))
+
+
+@query("SELECT p_brand AS brand, count(*) AS n FROM part GROUP BY p_brand HAVING count(*) > 5")
+def having_via_derived(spark, sf):
+    return star(spark, sf)["Part"].groupBy(F.col("Brand").alias("brand")).agg(F.count(F.lit(1)).alias("n")).where("n > 5")
+
+
+@query(f"SELECT status, priority FROM (SELECT Status AS status, Priority AS priority, row_number() OVER (PARTITION BY upper(Status), upper(Priority) ORDER BY Id) AS r FROM {_MIXED}) WHERE r = 1")
+def distinct_rows(spark, sf):
+    o = mixed_status(star(spark, sf)).withColumnsRenamed({"Status": "status", "Priority": "priority"})
+    return R.distinct(o, by_id(), ["status", "priority"])
+
+
+@query("SELECT 'nation' AS kind, n_name AS name FROM nation UNION ALL SELECT 'region', r_name FROM region")
+def union_all(spark, sf):
+    ws = star(spark, sf)
+    part = lambda n: ws[n].select(F.lit(n.lower()).alias("kind"), F.col("Name").alias("name"))
+    return R.union_all(part("Nation"), part("Region"))
+
+
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS Id, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY upper(o_orderpriority), CAST(o_orderkey AS VARCHAR)) AS BIGINT) AS n FROM orders")
+def row_number_partitioned(spark, sf):
+    return star(spark, sf)["Order"].select("Id", R.row_number([S.fold("CustomerId")], [(S.fold("Priority"), True)], by_id()).alias("n"))
+
+
+@query("SELECT customer, Id FROM (SELECT CAST(o_custkey AS VARCHAR) AS customer, CAST(o_orderkey AS VARCHAR) AS Id, row_number() OVER (PARTITION BY o_custkey ORDER BY upper(o_orderpriority) DESC, CAST(o_orderkey AS VARCHAR)) AS n FROM orders) WHERE n = 1")
+def row_number_top1_derived(spark, sf):
+    o = star(spark, sf)["Order"].withColumn("n", R.row_number([S.fold("CustomerId")], [(S.fold("Priority"), False)], by_id()))
+    return o.where("n = 1").select(F.col("CustomerId").alias("customer"), "Id")
+
+
+@query("SELECT CAST(n_nationkey AS VARCHAR) AS Id, (SELECT r_name FROM region WHERE r_regionkey = n_regionkey) AS region FROM nation")
+def scalar_subquery_corr(spark, sf):
+    ws = star(spark, sf)
+    inner = ws["Region"].select(F.upper("Id").alias("k"), F.col("Name").alias("v"))
+    return R.scalar(ws["Nation"].withColumn("k", F.upper("RegionId")), inner, ["k"], "v", "region").select("Id", "region")
+
+
+@query("WITH a AS (SELECT c_mktsegment AS s, c_nationkey AS n FROM customer), b AS (SELECT s, n, count(*) AS k FROM a GROUP BY s, n), c AS (SELECT s, max(k) AS most FROM b GROUP BY s) SELECT b.s AS segment, n_name AS nation, b.k AS customers FROM b JOIN c ON b.s = c.s AND b.k = c.most JOIN nation ON n_nationkey = b.n")
+def cte_chain(spark, sf):
+    ws = star(spark, sf)
+    b = ws["Customer"].groupBy(F.col("Segment").alias("s"), F.col("NationId").alias("n")).agg(F.count(F.lit(1)).alias("k"))
+    c = b.groupBy("s").agg(F.max("k").alias("k"))
+    return b.join(c, ["s", "k"]).join(ws["Nation"], F.upper("n") == F.upper("Id")).select(F.col("s").alias("segment"), F.col("Name").alias("nation"), F.col("k").alias("customers"))
+
+
+@query("WITH RECURSIVE t AS (SELECT n_nationkey AS k, n_name AS path, CAST(0 AS BIGINT) AS level FROM nation WHERE n_nationkey = 0 UNION ALL SELECT n_nationkey, path || '/' || n_name, level + 1 FROM t JOIN nation ON n_nationkey > 0 AND (n_nationkey - 1) // 3 = k) SELECT CAST(k AS VARCHAR) AS Id, path, level FROM t")
+def cte_recursive_path(spark, sf):
+    n = star(spark, sf)["Nation"].select("Id", "Name", F.when(F.col("Id") != "0", F.floor((S.to_int("Id") - 1) / 3).cast("string")).alias("ParentId"))
+    anchor = n.where("Id = '0'").select("Id", F.col("Name").alias("path"))
+    member = lambda t: t.alias("t").join(n.alias("n"), F.col("n.ParentId") == F.col("t.Id")).select("n.Id", S.concat(F.col("t.path"), "/", F.col("n.Name")).alias("path"))
+    return R.recursive(anchor, member, level="level")
+
+
+# scalar functions
+
+
+@query(f"SELECT Id, concat(coalesce(Name, ''), '-', coalesce(Tags, ''), '-', '1') AS c FROM {_FIXTURE}")
+def concat_null(spark, sf):
+    return fixture(spark).select("Id", S.concat(F.col("Name"), "-", F.col("Tags"), "-", 1).alias("c"))
+
+
+@query("SELECT CAST(p_partkey AS VARCHAR) AS Id, lower(p_brand) AS lo, upper(p_name) AS up FROM part")
+def upper_lower(spark, sf):
+    return star(spark, sf)["Part"].select("Id", S.lower("Brand").alias("lo"), S.upper("Name").alias("up"))
+
+
+@query(f"SELECT CAST(n AS BIGINT) AS n, trim(t, ' ') AS b, ltrim(t, ' ') AS l, rtrim(t, ' ') AS r FROM {_PIECES}")
+def trim_family(spark, sf):
+    return pieces(spark).select("n", S.trim("t").alias("b"), S.trim("t", "left").alias("l"), S.trim("t", "right").alias("r"))
+
+
+@query(f"SELECT CAST(n AS BIGINT) AS n, length(rtrim(t, ' ')) AS len FROM {_PIECES}")
+def len_trailing(spark, sf):
+    return pieces(spark).select("n", S.length("t").alias("len"))
+
+
+@query(f"SELECT CAST(n AS BIGINT) AS n, CAST(CASE WHEN t IS NULL OR regexp_matches(t, '^\\s*$') THEN 1 ELSE 0 END AS BIGINT) AS blank FROM {_PIECES}")
+def is_blank(spark, sf):
+    return pieces(spark).select("n", S.is_blank("t").alias("blank"))
+
+
+@query("SELECT CAST(p_partkey AS VARCHAR) AS Id, regexp_replace(p_type, 'steel', '$x', 'gi') AS t FROM part")
+def replace_ci(spark, sf):
+    return star(spark, sf)["Part"].select("Id", S.replace("Type", "steel", "$x").alias("t"))
+
+
+@query("SELECT CAST(p_partkey AS VARCHAR) AS Id, substr(p_name, 1, 2) AS a, substr(p_name, 1, 1) AS b, substr(p_name, 3, 4) AS c, '' AS d FROM part")
+def substring_edges(spark, sf):
+    return star(spark, sf)["Part"].select("Id", S.substring("Name", 0, 3).alias("a"), S.substring("Name", -1, 3).alias("b"), S.substring("Name", 3, 4).alias("c"), S.substring("Name", 900, 3).alias("d"))
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS Id, left(c_name, 4) AS l, right(c_name, 5) AS r, left(c_name, 900) AS w FROM customer")
+def left_right(spark, sf):
+    return star(spark, sf)["Customer"].select("Id", S.left("Name", 4).alias("l"), S.right("Name", 5).alias("r"), S.left("Name", 900).alias("w"))
+
+
+@query(f"SELECT Id, coalesce(Tags, RoleId, 'none') AS c, CASE WHEN upper(Name) = 'ALPHA' THEN NULL ELSE Name END AS n, CASE WHEN upper(RoleId) = 'R1' THEN 'yes' ELSE 'no' END AS i FROM {_FIXTURE}")
+def coalesce_nullif_iif(spark, sf):
+    return fixture(spark).select("Id", S.coalesce(F.col("Tags"), F.col("RoleId"), "none").alias("c"), S.nullif(F.col("Name"), "ALPHA").alias("n"), S.iif(S.equal(F.col("RoleId"), "r1"), "yes", "no").alias("i"))
+
+
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS Id, CASE WHEN o_orderstatus = 'F' THEN 'filled' WHEN o_orderpriority LIKE '1%' THEN 'urgent' END AS c FROM orders")
+def case_searched(spark, sf):
+    return star(spark, sf)["Order"].select("Id", S.case([(S.equal(F.col("Status"), "f"), "filled"), (S.like("Priority", "1%"), "urgent")]).alias("c"))
+
+
+@query("SELECT CAST(n AS BIGINT) AS n, CAST(TRY_CAST(CASE WHEN regexp_matches(t, '^\\s*[+-]?[0-9]+\\s*$') THEN trim(t) END AS INTEGER) AS BIGINT) AS v FROM (VALUES (1, ' 12 '), (2, '+5'), (3, '1.5'), (4, ''), (5, '2147483648'), (6, '-2147483648'), (7, '1e3'), (8, NULL), (9, '99999999999999999999999999999999999999999999')) AS p(n, t)")
+def try_convert(spark, sf):
+    rows = [(1, " 12 "), (2, "+5"), (3, "1.5"), (4, ""), (5, "2147483648"), (6, "-2147483648"), (7, "1e3"), (8, None), (9, "9" * 44)]
+    return R.values(spark, ["n", "t"], rows).select("n", S.to_int("t").alias("v"))
+
+
+# sources by name, parameters, conversions
+
+
+def catalog_direction() -> Direction:
+    """Regions and nations as a category tree, with a parameter in the names."""
+    target = Model("Catalog", (Entity("Category", (Property("Name"),)), Entity("Item", (Property("Name"),), (Relationship("Category"),))))
+    return Direction(
+        target,
+        transformations={
+            "Item": lambda c: c.relation("Named").select(S.concat("item:", F.col("Id")).alias("Id"), F.col("Name"), S.concat("category:", F.col("RegionId")).alias("CategoryId")),
+            "Category": lambda c: c.source("Region").select(S.concat("category:", F.col("Id")).alias("Id"), S.concat(F.col("Name"), ".", c.parameters["suffix"]).alias("Name")),
+        },
+        requirements={"regions": ("nation without region", lambda c: c.source("Nation").where(F.col("RegionId").isNull()).select("Id"))},
+        relations={"Named": lambda c: c.source("Nation", "star").select("Id", S.upper("Name").alias("Name"), "RegionId")},
+        parameters=("suffix",),
+        roles=("star",),
+    )
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS Id FROM customer WHERE upper(c_mktsegment) = upper('AUTOmobile')")
+def string_parameter(spark, sf):
+    parameters = {"segment": "AUTOmobile"}
+    return star(spark, sf)["Customer"].where(S.equal(F.col("Segment"), parameters["segment"])).select("Id")
+
+
+@query("SELECT CAST(n_nationkey AS VARCHAR) AS Id, upper(n_name) AS Name, CAST(n_regionkey AS VARCHAR) AS RegionId FROM nation")
+def named_relation(spark, sf):
+    return catalog_direction().context({"star": star(spark, sf)}, {"suffix": "x"}).relation("Named")
+
+
+@query("SELECT 'open' AS requirement, 'order is open (Id=' || CAST(o_orderkey AS VARCHAR) || ', Status=' || o_orderstatus || ')' AS message FROM orders WHERE o_orderstatus = 'P'")
+def requirement_violations(spark, sf):
+    d = Direction(Model("None"), {}, {"open": ("order is open", lambda c: c.source("Order").where(S.equal(F.col("Status"), "p")).select("Id", "Status"))}, roles=("star",))
+    return d.violations(d.context({"star": star(spark, sf)}))
+
+
+@query("SELECT 'item:' || CAST(n_nationkey AS VARCHAR) AS Id, upper(n_name) AS Name, 'category:' || CAST(n_regionkey AS VARCHAR) AS CategoryId, r_name || '.v1' AS Category FROM nation JOIN region ON n_regionkey = r_regionkey")
+def direction_target(spark, sf):
+    out = catalog_direction().run({"star": star(spark, sf)}, {"suffix": "v1"})
+    return out["Item"].join(out["Category"].select(F.col("Id").alias("CategoryId"), F.col("Name").alias("Category")), "CategoryId").select("Id", "Name", "CategoryId", "Category")
+
+
+# record services
+
+
+@query("SELECT CAST(p_partkey AS VARCHAR) AS Id, p_name AS Name, (SELECT count(*) FROM part WHERE contains(upper(p_type), 'STEEL') AND upper(p_brand) = 'BRAND#11') AS total FROM part WHERE contains(upper(p_type), 'STEEL') AND upper(p_brand) = 'BRAND#11' ORDER BY CAST(p_partkey AS VARCHAR) LIMIT 200")
+def record_query_contains(spark, sf):
+    total, rows = V.query_records(star(spark, sf)["Part"], [("Type", "Contains", "steel"), ("Brand", "Equal", "brand#11")])
+    return rows.select("Id", "Name", F.lit(total).cast("long").alias("total"))
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS Id FROM customer ORDER BY CAST(c_custkey AS VARCHAR) LIMIT 10 OFFSET (SELECT count(*) - 10 FROM customer)")
+def page_window(spark, sf):
+    return V.page(star(spark, sf)["Customer"], 10**9, 10).select("Id")
+
+
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS id, 'CustomerId' AS member, 'Customer' AS entity, CAST(o_custkey AS VARCHAR) AS target FROM orders")
+def relationship_list(spark, sf):
+    return V.references(star(spark, sf), "Order").select("id", "member", "entity", "target")
+
+
+def _part_workspace(spark, sf) -> Workspace:
+    ws = star(spark, sf)
+    e = ws.model.entity("Part")
+    return Workspace(Model("Parts", (e,)), {"Part": ws["Part"].withColumn("Brand", F.when(F.col("Size") == "1", F.lit("")).otherwise(F.col("Brand"))).withColumn("Size", F.when(F.col("Size") != "2", F.col("Size")))})
+
+
+_PARTS = "(SELECT CAST(p_partkey AS VARCHAR) AS Id, p_name AS Name, CASE WHEN p_size = 1 THEN '' ELSE p_brand END AS Brand, p_type AS Type, CASE WHEN p_size <> 2 THEN CAST(p_size AS VARCHAR) END AS Size FROM part)"
+
+
+def _profile_sql(columns: list[str]) -> str:
+    part = "SELECT '{c}' AS property, count(*) AS rows, count({c}) AS non_null, count(*) - count({c}) AS nulls, count(CASE WHEN {c} = '' THEN 1 END) AS blanks, count(CASE WHEN {c} <> '' THEN 1 END) AS non_blank, count(DISTINCT {c}) AS distinct_non_null, count(DISTINCT CASE WHEN {c} <> '' THEN {c} END) AS distinct_non_blank FROM " + _PARTS
+    return " UNION ALL ".join(part.format(c=c) for c in columns)
+
+
+@query(_profile_sql(["Name", "Brand", "Type", "Size"]))
+def property_profile(spark, sf):
+    return V.profile(_part_workspace(spark, sf)).select("property", "rows", "non_null", "nulls", "blanks", "non_blank", "distinct_non_null", "distinct_non_blank")
+
+
+@query("SELECT 'Customer' AS entity, 'Name' AS property, CAST(1.0 AS DOUBLE) AS score FROM customer HAVING count(*) = count(DISTINCT c_name) UNION ALL SELECT 'Customer', 'Segment', 1.0 FROM customer HAVING count(*) = count(DISTINCT c_mktsegment) UNION ALL SELECT 'Nation', 'Name', 1.0 FROM nation HAVING count(*) = count(DISTINCT n_name)")
+def business_keys(spark, sf):
+    ws = star(spark, sf)
+    some = Workspace(Model("Some", tuple(ws.model.entity(n) for n in ("Customer", "Nation"))), {n: ws[n] for n in ("Customer", "Nation")})
+    return V.business_keys(some)
+
+
+def _plain_orders(spark, sf) -> Workspace:
+    """Orders whose customer is a property yet, a third of them unknown."""
+    ws = star(spark, sf)
+    orders = Entity("Order", (Property("Status"), Property("CustomerId"), Property("PayerCustomerId", False)))
+    payer = F.when(F.col("Id").cast("long") % 3 == 0, F.concat(F.lit("x"), F.col("CustomerId"))).otherwise(F.col("CustomerId"))
+    return Workspace(Model("Plain", (Entity("Customer", (Property("Name"),)), orders)), {"Customer": ws["Customer"].select("Id", "Name"), "Order": ws["Order"].select("Id", "Status", "CustomerId", payer.alias("PayerCustomerId"))})
+
+
+_PAYER = "CASE WHEN o_orderkey % 3 = 0 THEN 'x' || CAST(o_custkey AS VARCHAR) ELSE CAST(o_custkey AS VARCHAR) END"
+
+
+@query(
+    f"""WITH v AS (SELECT 'CustomerId' AS property, CAST(o_custkey AS VARCHAR) AS v FROM orders UNION ALL SELECT 'PayerCustomerId', {_PAYER} FROM orders),
+g AS (SELECT property, v, count(*) AS n, EXISTS (SELECT 1 FROM customer WHERE CAST(c_custkey AS VARCHAR) = v) AS hit FROM v GROUP BY property, v),
+a AS (SELECT property, CAST(sum(n) AS BIGINT) AS source_rows, count(*) AS source_distinct, CAST(coalesce(sum(n) FILTER (WHERE hit), 0) AS BIGINT) AS matched_rows, count(*) FILTER (WHERE hit) AS matched_distinct, coalesce((list(v ORDER BY v) FILTER (WHERE NOT hit))[1:5], []) AS bad FROM g GROUP BY property),
+b AS (SELECT *, CAST(CASE WHEN matched_distinct < source_distinct THEN 1 ELSE 0 END + CASE WHEN source_rows > source_distinct THEN 0 ELSE 1 END AS INTEGER) AS blockers FROM a)
+SELECT property, source_rows, source_distinct, matched_rows, matched_distinct, array_to_string(bad, ',') AS unmatched_sample, blockers, round(0.40 + 0.35 * matched_rows / source_rows + 0.15 + CASE WHEN source_rows > source_distinct THEN 0.10 ELSE 0 END - 0.12 * blockers, 3) AS score FROM b"""
+)
+def fk_suggestion(spark, sf):
+    return V.lookup_suggestions(_plain_orders(spark, sf)).select("property", "source_rows", "source_distinct", "matched_rows", "matched_distinct", "unmatched_sample", "blockers", "score")
+
+
+# diff, merge, synchronization
+
+
+def _two(spark, sf) -> tuple[Workspace, Workspace]:
+    """Customers without every seventh, and with every fifth in another segment and every eleventh without a name."""
+    ws = star(spark, sf)
+    model = Model("Two", (Entity("Customer", (Property("Name", False), Property("Segment"))),))
+    left = ws["Customer"].where(F.col("Id").cast("long") % 7 != 0).select("Id", "Name", "Segment")
+    right = ws["Customer"].where(F.col("Id").cast("long") % 9 != 0).select("Id", F.when(F.col("Id").cast("long") % 11 != 0, F.col("Name")).alias("Name"), F.when(F.col("Id").cast("long") % 5 == 0, F.lit("NEW")).otherwise(F.col("Segment")).alias("Segment"))
+    return Workspace(model, {"Customer": left}), Workspace(model, {"Customer": right})
+
+
+@query("SELECT 'left' AS side, CAST(c_custkey AS VARCHAR) AS id FROM customer WHERE c_custkey % 7 <> 0 AND c_custkey % 9 = 0 UNION ALL SELECT 'right', CAST(c_custkey AS VARCHAR) FROM customer WHERE c_custkey % 7 = 0 AND c_custkey % 9 <> 0")
+def equal_diff_rows(spark, sf):
+    return V.diff_rows(*_two(spark, sf)).select("side", "id")
+
+
+_BOTH = "FROM customer WHERE c_custkey % 7 <> 0 AND c_custkey % 9 <> 0"
+
+
+@query(
+    f"SELECT 'left' AS side, CAST(c_custkey AS VARCHAR) AS id, 'Segment' AS member, c_mktsegment AS value {_BOTH} AND c_custkey % 5 = 0 UNION ALL SELECT 'right', CAST(c_custkey AS VARCHAR), 'Segment', 'NEW' {_BOTH} AND c_custkey % 5 = 0 UNION ALL SELECT 'left', CAST(c_custkey AS VARCHAR), 'Name', c_name {_BOTH} AND c_custkey % 11 = 0"
+)
+def equal_diff_properties(spark, sf):
+    return V.diff_cells(*_two(spark, sf)).select("side", "id", "member", "value")
+
+
+@query("SELECT 'left' AS side, CAST(c_custkey AS VARCHAR) AS id, 'Title' AS member, c_name AS value FROM customer WHERE c_custkey % 11 = 0 AND c_custkey % 7 <> 0 AND c_custkey % 9 <> 0")
+def aligned_diff(spark, sf):
+    left, right = _two(spark, sf)
+    model = Model("Aligned", (Entity("Person", (Property("Title", False),)),))
+    view = lambda w: V.aligned(w, model, {"Customer": "Person"}, {("Customer", "Name"): "Title"})
+    return V.diff_cells(view(left), view(right)).select("side", "id", "member", "value")
+
+
+@query("SELECT CASE WHEN c_custkey % 9 = 0 THEN 'DeleteRecord' WHEN c_custkey % 7 = 0 THEN 'InsertRecord' END AS operation, count(*) AS n FROM customer WHERE (c_custkey % 7 = 0) <> (c_custkey % 9 = 0) GROUP BY 1 UNION ALL SELECT 'ClearProperty', count(*) " + _BOTH + " AND c_custkey % 11 = 0 UNION ALL SELECT 'SetProperty', (SELECT count(*) " + _BOTH + " AND c_custkey % 5 = 0) + (SELECT count(*) * 1 + count(CASE WHEN c_custkey % 11 <> 0 THEN 1 END) FROM customer WHERE c_custkey % 7 = 0 AND c_custkey % 9 <> 0)")
+def sync_plan(spark, sf):
+    return V.sync_plan(*_two(spark, sf), "Customer").groupBy("operation").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT 'Nation' AS entity, count(*) AS n FROM nation UNION ALL SELECT 'Region', count(*) FROM region UNION ALL SELECT 'Person', count(*) FROM customer WHERE c_custkey % 7 <> 0")
+def workspace_merge(spark, sf):
+    ws = star(spark, sf)
+    a = Workspace(Model("A", (ws.model.entity("Region"), ws.model.entity("Nation"))), {n: ws[n] for n in ("Region", "Nation")})
+    b = O.rename_entity("Customer", "Person")(_two(spark, sf)[0])
+    both = V.combine("Both", [a, b])
+    out = None
+    for e in both.model.entities:
+        part = both[e.name].agg(F.lit(e.name).alias("entity"), F.count(F.lit(1)).alias("n"))
+        out = part if out is None else out.union(part)
+    return out.select("entity", "n")
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS id, CASE WHEN c_custkey % 7 = 0 THEN 'insert' ELSE 'set' END AS action, 'Segment' AS member, CASE WHEN c_custkey % 5 = 0 THEN 'NEW' ELSE c_mktsegment END AS value FROM customer WHERE c_custkey % 9 <> 0 AND (c_custkey % 7 = 0 OR c_custkey % 5 = 0) UNION ALL SELECT CAST(c_custkey AS VARCHAR), CASE WHEN c_custkey % 7 = 0 THEN 'insert' ELSE 'clear' END, 'Name', CASE WHEN c_custkey % 11 <> 0 THEN c_name END FROM customer WHERE c_custkey % 9 <> 0 AND ((c_custkey % 7 = 0 AND c_custkey % 11 <> 0) OR (c_custkey % 7 <> 0 AND c_custkey % 11 = 0))")
+def csv_merge_plan(spark, sf):
+    left, right = _two(spark, sf)
+    return files.merge_plan(left["Customer"], right["Customer"]).select("id", "action", "member", "value")
+
+
+@query("SELECT CAST(n_nationkey AS VARCHAR) AS Id, CASE WHEN n_nationkey < 3 THEN 'b' || CAST(n_nationkey AS VARCHAR) ELSE n_name END AS Name FROM nation UNION ALL SELECT CAST(max(n_nationkey) + 1 AS VARCHAR), 'new' FROM nation")
+def bulk_upsert(spark, sf):
+    n = star(spark, sf)["Nation"].select("Id", "Name")
+    rows = [(str(i), f"{c}{i}", 10 * k + i) for k, c in enumerate("ab") for i in range(3)] + [(None, "new", 99), ("1", None, 98)]
+    return files.upsert(n, R.values(spark, ["Id", "Name", "ord"], rows).drop("_row"), "ord")
+
+
+# operations
+
+
+@query("SELECT CAST(n_nationkey AS VARCHAR) AS Id, CASE WHEN n_regionkey = 1 THEN 'one' ELSE CAST(n_regionkey AS VARCHAR) END AS RegionId FROM nation")
+def rename_record(spark, sf):
+    ws = star(spark, sf)
+    some = Workspace(Model("Geo", tuple(ws.model.entity(n) for n in ("Region", "Nation"))), {n: ws[n] for n in ("Region", "Nation")})
+    return O.execute(some, [O.rename_record("Region", "1", "one")])["Nation"].select("Id", "RegionId")
+
+
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS Id, CAST(c_custkey AS VARCHAR) AS CustomerId FROM orders JOIN customer ON o_custkey = c_custkey")
+def property_to_relationship(spark, sf):
+    ws = _plain_orders(spark, sf)
+    return O.property_to_relationship("Order", "CustomerId", "Customer")(ws)["Order"].select("Id", "CustomerId")
+
+
+@query("SELECT 'instance.relationship.orphan' AS code, 'CustomerId' AS member, CAST(o_orderkey AS VARCHAR) AS id FROM orders WHERE o_orderkey % 3 = 0 UNION ALL SELECT 'instance.required.missing', 'Status', CAST(o_orderkey AS VARCHAR) FROM orders WHERE o_orderstatus = 'P'")
+def instance_validation(spark, sf):
+    ws = star(spark, sf)
+    model = Model("Checked", (Entity("Customer", (Property("Name"),)), Entity("Order", (Property("Status"),), (Relationship("Customer"),))))
+    third = F.col("Id").cast("long") % 3 == 0
+    orders = ws["Order"].select("Id", F.when(F.col("Status") != "P", F.col("Status")).alias("Status"), F.when(third, F.concat(F.lit("x"), "CustomerId")).otherwise(F.col("CustomerId")).alias("CustomerId"))
+    return Workspace(model, {"Customer": ws["Customer"].select("Id", "Name"), "Order": orders}).issues().select("code", "member", "id")
+
+
+# graph and search
+
+
+@query("SELECT * FROM (VALUES ('Region', CAST(1 AS BIGINT), CAST(0 AS BIGINT)), ('Nation', 2, 1), ('Customer', 1, 1), ('Supplier', 1, 1), ('Part', 1, 0), ('Order', 1, 1), ('Line', 0, 3), ('Event', 0, 0)) AS v(entity, in_degree, out_degree)")
+def graph_degree(spark, sf):
+    return V.degrees(spark, star(spark, sf).model)
+
+
+@query("SELECT CAST(8 AS BIGINT) AS entities, CAST(7 AS BIGINT) AS edges, CAST(2 AS BIGINT) AS components, CAST(4 AS BIGINT) AS max_depth, 'Event,Line' AS roots, 'Event,Part,Region' AS sinks")
+def graph_measures(spark, sf):
+    g = V.graph_stats(star(spark, sf).model)
+    return spark.createDataFrame([(g["entities"], g["edges"], g["components"], g["max_depth"], ",".join(g["roots"]), ",".join(g["sinks"]))], "entities long, edges long, components long, max_depth long, roots string, sinks string")
+
+
+@query("SELECT Id, Name, CAST(CASE WHEN upper(Name) = 'AN' THEN 0 WHEN starts_with(upper(Name), 'AN') THEN 1 ELSE 2 END AS INTEGER) AS rank FROM (SELECT CAST(n_nationkey AS VARCHAR) AS Id, n_name AS Name FROM nation) WHERE contains(upper(Name), 'AN') ORDER BY rank, upper(Name), Name LIMIT 25")
+def ranked_search(spark, sf):
+    return V.search(star(spark, sf)["Nation"].select("Id", "Name"), "an", "Name")
+
+
+@query("SELECT c_mktsegment AS segment, CAST(row_number() OVER (ORDER BY count(*) DESC, c_mktsegment) AS BIGINT) AS rank, count(*) AS orders, string_agg(DISTINCT o_orderstatus, ',' ORDER BY o_orderstatus) AS statuses, count(CASE WHEN o_orderpriority LIKE '1-%' THEN 1 END) AS urgent FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_mktsegment")
+def flagship(spark, sf):
+    """Orders by market segment: join, CASE, ordered text aggregate and row numbers in one query."""
+    ws = star(spark, sf)
+    o, c = ws["Order"].alias("o"), ws["Customer"].alias("c")
+    each = R.join(o, c, F.upper("o.CustomerId") == F.upper("c.Id")).groupBy(F.col("c.Segment").alias("segment"), F.col("o.Status").alias("status")).agg(F.count(F.lit(1)).alias("n"), F.count(S.case([(S.like("o.Priority", "1-%"), "u")])).alias("u"))
+    total = each.groupBy("segment").agg(F.sum("n").alias("orders"), R.string_agg("status", ",", [(S.fold("status"), True)], [F.col("status")]).alias("statuses"), F.sum("u").alias("urgent"))
+    return total.withColumn("rank", R.row_number([], [(-F.col("orders"), True)], [F.col("segment")]))
+
+
+@query("SELECT c_mktsegment AS segment, n_name AS nation, l_returnflag AS flag, count(*) AS lines FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderpriority <> '5-LOW' GROUP BY c_mktsegment, n_name, l_returnflag")
+def lines_by_segment(spark, sf):
+    """A four-way join over all line items, grouped by text in any case."""
+    ws = star(spark, sf)
+    li, o, c, n = (ws[x].alias(x[0].lower()) for x in ("Line", "Order", "Customer", "Nation"))
+    kept = o.where(S.compare(F.col("o.Priority"), "<>", "5-low"))
+    small = R.join(c, n, F.upper("c.NationId") == F.upper("n.Id")).select(F.upper("c.Id").alias("k"), F.col("c.Segment").alias("segment"), F.col("n.Name").alias("nation"))
+    joined = R.join(li, kept, F.upper("l.OrderId") == F.upper("o.Id")).select(F.upper("o.CustomerId").alias("k"), F.col("l.ReturnFlag").alias("flag")).join(small, "k")
+    return joined.groupBy("segment", "nation", "flag").agg(F.count(F.lit(1)).alias("lines"))
+
+
+@query("SELECT event_type AS type, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY event_type")
+def events_by_type(spark, sf):
+    return star(spark, sf)["Event"].groupBy(F.col("Type").alias("type")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("UserId").alias("users"))
+
+
+def rows_workspace(spark: SparkSession, model: Model, rows: dict) -> Workspace:
+    return from_rows(spark, model, rows)
