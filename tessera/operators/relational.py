@@ -106,9 +106,11 @@ def exists(a: DataFrame, b: DataFrame, on: Column, negate: bool = False) -> Data
 
 def scalar(df: DataFrame, inner: DataFrame, on: Sequence[str], value: str, name: str) -> DataFrame:
     """df with the value of the one row of inner with equal keys, null without one; two rows fault."""
-    one = F.when(F.count(F.lit(1)) > 1, F.raise_error(F.lit(FAULT + "ScalarSubqueryCardinalityInvalid")).cast(inner.schema[value].dataType)).otherwise(F.first(value))
-    found = inner.groupBy(*on).agg(one.alias(name)) if on else inner.agg(one.alias(name))
-    return df.join(found, list(on), "left") if on else df.crossJoin(found)
+    parts = [F.count(F.lit(1)).alias("_n"), F.first(value).alias("_v")]
+    found = inner.groupBy(*on).agg(*parts) if on else inner.agg(*parts)
+    met = df.join(found, list(on), "left") if on else df.crossJoin(found)
+    fault = F.raise_error(F.lit(FAULT + "ScalarSubqueryCardinalityInvalid")).cast(inner.schema[value].dataType)
+    return met.withColumn(name, F.when(F.col("_n") > 1, fault).otherwise(F.col("_v"))).drop("_n", "_v")
 
 
 def union_all(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -32,8 +32,9 @@ def identifiers(headers: Sequence[str]) -> list[str]:
 
 def read_csv(spark: SparkSession, path: str, separator: str = ",") -> DataFrame:
     """Text columns with identifier names; cells are trimmed, blank ones null, blank rows left out, short rows padded."""
-    raw = spark.read.options(header=True, multiLine=True, quote='"', escape='"', sep=separator, mode="PERMISSIVE").csv(path)
-    df = raw.toDF(*identifiers(raw.columns))
+    reader = spark.read.options(multiLine=True, quote='"', escape='"', sep=separator, mode="PERMISSIVE")
+    head = reader.options(header=False).csv(path).first()  # Spark would number repeated names by place
+    df = reader.options(header=True).csv(path).toDF(*identifiers(list(head or [])))
     df = df.select(*[F.when(F.trim(F.regexp_replace(c, r"^\x{FEFF}", "")) != "", F.trim(F.regexp_replace(c, r"^\x{FEFF}", ""))).alias(c) for c in df.columns])
     return df.where(F.coalesce(*df.columns).isNotNull())
 
