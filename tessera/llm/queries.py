@@ -16,4 +16,4 @@ QUERIES = {
     "op9_source_mixing": mixing.op9_source_mixing,
     "op10_license_scan": licenses.op10_license_scan,
 }
-SQL = {"op10_license_scan": licenses.SQL, "op3_warc": warc.SQL, "op7_exact_top_k": topk.SQL, "op8_line_dedup": lines.SQL}
+SQL = {"op10_license_scan": licenses.SQL, "op3_warc": warc.SQL, "op4_quality_rules": quality.SQL, "op7_exact_top_k": topk.SQL, "op8_line_dedup": lines.SQL}
