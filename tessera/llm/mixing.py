@@ -139,10 +139,11 @@ def mixed(docs: DataFrame, total: float = TOTAL, most: float = MOST, weights: tu
 
 def mix(docs: DataFrame) -> DataFrame:
     """docs with each row as often as its copies say; columns as before."""
-    taken = mixed(docs).where("copies > 0").select("_k", "_h", F.col("source").alias("_s"), "copies")
-    rows = docs.select("*", *row_key())
-    on = (rows["_k"] == taken["_k"]) & (rows["_h"] == taken["_h"]) & rows["source"].eqNullSafe(taken["_s"])
-    return rows.join(taken, on).withColumn("_c", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*[rows[f"`{c}`"] for c in docs.columns])
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "doc_id", "text", "source")
+    taken = mixed(rows).where("copies > 0").select(F.col("_k").alias("_k2"), F.col("_h").alias("_h2"), F.col("source").alias("_s"), "copies")
+    keyed = rows.select("_row", "source", *row_key())
+    met = keyed.join(taken, (F.col("_k") == F.col("_k2")) & (F.col("_h") == F.col("_h2")) & F.col("source").eqNullSafe(F.col("_s")))
+    return met.select("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("_row.*")
 
 
 def op9_source_mixing(spark, sf_dir: str) -> DataFrame:

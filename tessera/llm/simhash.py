@@ -144,11 +144,11 @@ def links(fps: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, _k, _h, fp, component_id) for each row of docs(doc_id, text, ...).
+    """(doc_id, _k, _h, fp, component_id, component) for each row of docs(doc_id, text, ...).
 
     component_id is the smallest doc_id that can be reached through links. Null and empty texts have fingerprint 0,
     which links like any other. Repeated rows share a fingerprint. A null doc_id counts as larger than all others; a
-    component of nulls has a null id. Equal fingerprints are one node, so any number of copies costs one row after
+    component of nulls has a null id; component tells those apart. Equal fingerprints are one node, so any number of copies costs one row after
     the map-side combine.
     """
     rows = stored(docs.select("doc_id", *row_key(), "text").mapInArrow(_fingerprints, "doc_id long, _k long, _h long, fp long"), "fingerprints")
@@ -156,18 +156,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     of = components(links(least.select("fp")))
     # of has only fingerprints with links
     low = least.join(of.withColumnRenamed("node", "fp"), "fp").groupBy("label").agg(F.min("low").alias("low"))
-    linked = of.join(low, "label").select(F.col("node").alias("fp"), F.col("low").alias("linked"))
-    ids = least.join(linked, "fp", "left").select("fp", F.coalesce("linked", "low").alias("component_id"))
+    linked = of.join(low, "label").select(F.col("node").alias("fp"), "label", F.col("low").alias("linked"))
+    ids = least.join(linked, "fp", "left").select("fp", F.when(F.col("label").isNull(), F.col("low")).otherwise(F.col("linked")).alias("component_id"), F.coalesce("label", "fp").alias("component"))
     return rows.join(ids, "fp")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """docs with one row of each component: that of the smallest doc_id, one only of repeated rows."""
-    of = near_duplicates(docs)
-    part = F.coalesce(F.col("component_id"), F.lit(-(2**63)).cast("long"))
-    keep = of.groupBy(part.alias("c")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "_k", "_h")).alias("m")).select("m._k", "m._h")
-    rows = docs.select("*", *row_key())
-    return rows.join(keep, ["_k", "_h"]).dropDuplicates(["_k", "_h"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """docs with one row of each component: that of the smallest doc_id, null last, one only of repeated rows.
+
+    Columns pass through whatever their names.
+    """
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "doc_id", "text")
+    of = near_duplicates(rows)
+    keep = of.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "_k", "_h")).alias("m")).select("m._k", "m._h")
+    return rows.select("_row", *row_key()).join(keep, ["_k", "_h"]).dropDuplicates(["_k", "_h"]).select("_row.*")
 
 
 def op6_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
