@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 FAULT = "fault:"
 #: Characters that keep their form in comparisons though Unicode has a single capital for them.
 UNFOLDED = "ıſ"
-_INT32 = (-(2**31), 2**31 - 1)
 
 
 def col(x) -> Column:
@@ -164,6 +163,4 @@ def case(branches: list[tuple[Column, object]], otherwise=None) -> Column:
 
 def to_int(x) -> Column:
     """TRY_CONVERT(int, x): a 32-bit integer, with white space around it and a sign allowed; else null."""
-    c = col(x).cast("string")
-    value = F.when(c.rlike(r"^\s*[+-]?[0-9]+\s*$"), F.trim(F.regexp_replace(c, r"\s", "")).try_cast("decimal(38,0)"))
-    return F.when(value.between(*_INT32), value.cast("long"))
+    return col(x).cast("string").try_cast("int").cast("long")
