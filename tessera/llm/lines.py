@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, ascii_lower, row_key
+from .common import SPACES, ascii_lower, row_key, stored
 
 MIN_DOCUMENTS = 10
 MIN_KEY_CHARS = 1
@@ -37,8 +37,9 @@ def dedup_lines(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, text: str =
     Only hashes and positions are shuffled for counting, with map-side sums, so a line that a third of all rows
     hold costs one row for each task. Texts are shuffled once, to meet the positions that go.
     """
-    inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{text}`").alias("_text"), F.col(f"`{doc_id}`").alias("_id"))
-    inner = inner.select("_row", "_text", *row_key("_id", "_text"))
+    rest = [F.col(f"`{c}`") for c in docs.columns if c != text]
+    inner = docs.select(F.struct(*rest).alias("_rest"), F.col(f"`{text}`").alias("_text"), F.col(f"`{doc_id}`").alias("_id"))
+    inner = inner.select("_rest", "_text", *row_key("_id", "_text"))
     hashes = F.transform(split_lines(F.col("_text")), _hashed)
     often = (
         inner.select(F.explode(F.array_distinct(hashes)).alias("_l"))
@@ -48,11 +49,12 @@ def dedup_lines(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, text: str =
         .where(F.col("n") >= min_documents)
         .select("a", "b")
     )
+    often = stored(often, "frequent-lines")  # a table of its own, so that Spark can split the join at a hot key
     at = inner.select("_k", "_h", F.posexplode(hashes).alias("_p", "_l")).where(F.col("_l").isNotNull()).select("_k", "_h", "_p", F.col("_l.a").alias("a"), F.col("_l.b").alias("b"))
     gone = at.join(often, ["a", "b"], "left_semi").groupBy("_k", "_h").agg(F.array_sort(F.collect_set("_p")).alias("_gone"))
     joined = inner.join(gone, ["_k", "_h"], "left").withColumn("_gone", F.coalesce("_gone", F.array().cast("array<int>")))
     return joined.withColumn("_s", split_lines(F.col("_text"))).select(
-        "_row.*",
+        *[F.col("_text").alias(text) if c == text else F.col(f"_rest.`{c}`") for c in docs.columns],
         F.size("_s").cast("long").alias("_n_lines"),
         F.size("_gone").cast("long").alias("_n_dropped"),
         F.when(F.size("_gone") == 0, F.coalesce("_text", F.lit(""))).otherwise(_without(F.col("_s"), F.col("_gone"))).alias("_kept"),

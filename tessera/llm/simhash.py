@@ -158,7 +158,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     low = least.join(of.withColumnRenamed("node", "fp"), "fp").groupBy("label").agg(F.min("low").alias("low"))
     linked = of.join(low, "label").select(F.col("node").alias("fp"), "label", F.col("low").alias("linked"))
     ids = least.join(linked, "fp", "left").select("fp", F.when(F.col("label").isNull(), F.col("low")).otherwise(F.col("linked")).alias("component_id"), F.coalesce("label", "fp").alias("component"))
-    return rows.join(ids, "fp")
+    return rows.join(stored(ids, "fingerprint-components"), "fp")  # stored, so that Spark can split the join at a hot fingerprint
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:

@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,8 +33,10 @@ CORE = LENGTH - STRIDE + 1
 #: Bytes that are searched for anchors at a time, and bytes of a sorted run.
 BLOCK = 2_000_000
 RUN_BYTES = 48_000_000
+#: Anchors with the same core beyond which they are not gathered in one range; their strings are counted instead.
+HOT_CLASS = 100_000
 #: Bytes of suffixes, before coding, that one range should get.
-RANGE_BYTES = 64_000_000
+RANGE_BYTES = 16_000_000
 _M1, _M2, _M3, _BASE = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
 
 
@@ -344,6 +347,28 @@ def _merge(table: pa.Table) -> pa.Table:
     return pa.table([pa.array(c, type=f.type) for c, f in zip(columns, _SPANS, strict=True)], schema=_SPANS)
 
 
+def _all_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every string around the anchors of a row, once, as 128 bits: _k, _h, start, hash."""
+    schema = pa.schema([("_k", pa.int64()), ("_h", pa.int64()), ("start", pa.int32()), ("a", pa.int64()), ("b", pa.int64())])
+    for batch in batches:
+        for k, h, text, places in zip(batch.column("_k").to_pylist(), batch.column("_h").to_pylist(), batch.column("text").cast(pa.binary()), batch.column("places").to_pylist(), strict=True):
+            text, end = text.as_py(), 0
+            for p in places:
+                starts = list(range(max(end, p - STRIDE + 1, 0), min(p, len(text) - LENGTH) + 1))
+                if starts:
+                    end, n = starts[-1] + 1, len(starts)
+                    both = np.frombuffer(b"".join(xxhash.xxh3_128_digest(text[i : i + LENGTH]) for i in starts), dtype="<i8").reshape(-1, 2)
+                    yield pa.RecordBatch.from_arrays([pa.array([k] * n, pa.int64()), pa.array([h] * n, pa.int64()), pa.array(starts, pa.int32()), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], schema=schema)
+
+
+def _hot_spans(rows: DataFrame, hot: DataFrame) -> DataFrame:
+    """The repeated strings around anchors whose core is so frequent that no task should hold all: counts of their hashes."""
+    places = hot.groupBy("_k", "_h").agg(F.sort_array(F.collect_set("pos")).alias("places"))
+    strings = stored(rows.join(places, ["_k", "_h"]).select("_k", "_h", "text", "places").mapInArrow(_all_strings, "_k long, _h long, start int, a long, b long"), "hot-strings")
+    twice = stored(strings.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a", "b"), "hot-repeats")
+    return strings.join(twice, ["a", "b"]).select("_k", "_h", "start", (F.col("start") + LENGTH).alias("end"))
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for i in range(0, b.num_rows, 256):
@@ -372,12 +397,15 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     document too; strings are judged on the input and do not cross documents. A null text is empty. Texts are bytes
     of UTF-8, so kept is binary. Equal rows are documents of their own, so those of LENGTH bytes or more go wholly.
 
+    A core that more than HOT_CLASS anchors share is not merged: the strings around it are counted by 128-bit hashes.
     Copies cost little: they are front-coded to nothing, and the merge holds equal suffixes once with their places.
     """
     rows = docs.select("doc_id", *row_key(), "text")
     at = stored(rows.where(F.octet_length("text") >= LENGTH).select("_k", "_h", "text").mapInArrow(_find_anchors, "_k long, _h long, pos int, core long, head long"), "anchors")
-    often = at.groupBy("core").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("core")
-    found = stored(at.join(often, "core").select("_k", "_h", "pos", "head"), "candidates")
+    # a table of its own, so that Spark can split the join at a hot core
+    often = stored(at.groupBy("core").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "frequent-cores")
+    every = stored(at.join(often, "core").select("_k", "_h", "pos", "head", (F.col("n") > HOT_CLASS).alias("hot")), "candidates")
+    found, hot = every.where("not hot"), every.where("hot")
     n = found.count()
     ranges = max(1, -(-n * (LENGTH + STRIDE) // RANGE_BYTES))
     bounds = []
@@ -386,6 +414,8 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     places = found.groupBy("_k", "_h").agg(F.sort_array(F.collect_set("pos")).alias("places"))
     runs = rows.join(places, ["_k", "_h"]).select("_k", "_h", "text", "places").mapInArrow(_to_runs(bounds), _RUNS)
     spans = runs.groupBy("range").applyInArrow(_merge, "_k long, _h long, start int, end int")
+    if not hot.isEmpty():
+        spans = spans.unionByName(_hot_spans(rows, hot))
     gone = spans.groupBy("_k", "_h").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
     return rows.join(gone, ["_k", "_h"], "left").select("doc_id", "text", "spans").mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
