@@ -71,8 +71,16 @@ def like_regex(pattern: str) -> str:
     return "(?isud)^" + "".join(out) + "$"
 
 
-def like(x, pattern: str) -> Column:
-    return col(x).rlike(like_regex(pattern))
+def like(x, pattern) -> Column:
+    """x LIKE pattern, which is a text or an expression; unknown if either is null."""
+    if not isinstance(pattern, Column):
+        return col(x).rlike(like_regex(pattern))
+    pieces = F.regexp_extract_all(pattern, F.lit(r"(?s)(\[[^\]]+\]|.)"), F.lit(1))
+    body = lambda p: F.regexp_replace(F.regexp_replace(F.substring(p, 2, 1 << 30), r"\]$", ""), r"([\\\[\]&~^])", r"\\$1")
+    no = lambda p: F.substring(p, 2, 1) == "^"
+    chosen = lambda p: F.when(no(p), F.concat(F.lit("[^"), F.regexp_replace(body(p), r"^\\\^", ""), F.lit("]"))).otherwise(F.concat(F.lit("["), body(p), F.lit("]")))
+    one = lambda p: F.when(p == "%", ".*").when(p == "_", ".").when(F.char_length(p) > 1, chosen(p)).otherwise(F.regexp_replace(p, r"([^\w\s])", r"\\$1"))
+    return F.rlike(col(x), F.concat(F.lit("(?isud)^"), F.array_join(F.transform(pieces, one), ""), F.lit("$")))
 
 
 def concat(*parts) -> Column:
@@ -108,13 +116,12 @@ def is_blank(x) -> Column:
     return F.when(c.isNull() | c.rlike(r"^[\p{Z}\s\x85]*$"), 1).otherwise(0).cast("long")
 
 
-def replace(x, old: str, new: str) -> Column:
-    """Every occurrence of old in any case; '' as old changes nothing."""
-    c = col(x)
-    if old == "":
-        return c
-    quoted = new.replace("\\", "\\\\").replace("$", "\\$")
-    return F.regexp_replace(c, "(?iu)" + re.sub(r"([^\w\s])", r"\\\1", old), quoted)
+def replace(x, old, new) -> Column:
+    """Every occurrence of old in any case; '' as old changes nothing. old and new are texts or expressions; null gives null."""
+    c, a, b = col(x), text(old), text(new)
+    quoted = F.concat(F.lit("(?iu)\\Q"), F.replace(a, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+    plain = F.regexp_replace(b, r"([\\$])", r"\\$1")
+    return F.when(a == "", F.when(b.isNotNull(), c)).otherwise(F.regexp_replace(c, quoted, plain))
 
 
 def _guard(bad: Column, code: str, value: Column) -> Column:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import FAULT, col, fold
+from ..session import shared_folder
 
 MAX_ITERATIONS = 32_767
 
@@ -28,16 +29,16 @@ def keys(df: DataFrame, names: Sequence[str]) -> list[Column]:
 
 
 def values(spark: SparkSession, names: Sequence[str], rows: Sequence[tuple]) -> DataFrame:
-    """Inline rows; text, 64-bit integers and nulls, one kind in each column. _row keeps their order."""
+    """Inline rows; text, 64-bit integers and nulls; a column of both kinds becomes text. _row keeps their order."""
     if any(len(r) != len(names) for r in rows):
         raise ValueError("InlineValuesArityMismatch")
     kinds = []
     for i, n in enumerate(names):
         kind = {type(r[i]) for r in rows if r[i] is not None}
-        if len(kind) > 1:
-            raise ValueError(f"ValueKindMismatch: {n}")
-        kinds.append(f"`{n}` " + ("long" if kind == {int} else "string"))
-    return spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], ", ".join([*kinds, "_row long"]))
+        kinds.append("long" if kind == {int} else "string")
+    cell = lambda v, kind: v if v is None or kind == "long" else str(v)
+    data = [(*map(cell, r, kinds), i) for i, r in enumerate(rows)]
+    return spark.createDataFrame(data, ", ".join([*(f"`{n}` {k}" for n, k in zip(names, kinds, strict=True)), "_row long"]))
 
 
 def distinct(df: DataFrame, order: Sequence[Column], names: Sequence[str] | None = None) -> DataFrame:
@@ -61,17 +62,29 @@ def min_text(x, order: Sequence[Column]) -> Column:
 
 def max_text(x, order: Sequence[Column]) -> Column:
     """The largest text by fold key; of equal ones that of the first row."""
-    return F.max_by(col(x), F.struct(fold(x).alias("f"), *[_reverse(c).alias(f"o{i}") for i, c in enumerate(order)]))
+    return F.max_by(col(x), F.struct(fold(x).alias("f"), *[_falling(c).alias(f"o{i}") for i, c in enumerate(order)]))
 
 
-def _reverse(c: Column) -> Column:
-    """A text key that falls as a text key rises."""
-    return F.concat(F.translate(F.hex(c.cast("string")), "0123456789ABCDEF", "FEDCBA9876543210"), F.lit("G"))
+def _falling(c: Column) -> Column:
+    """A key that falls as a key of text or integers rises; that of null is the largest."""
+    is_text = F.typeof(c) == "string"
+    number = F.when(~is_text, -c.try_cast("decimal(20,0)"))
+    text = F.when(is_text, F.concat(F.translate(F.hex(c.cast("string")), "0123456789ABCDEF", "FEDCBA9876543210"), F.lit("G")))
+    return F.struct(c.isNull().alias("n"), number.alias("i"), text.alias("t"))
+
+
+def stable(x, order: Sequence[Column], text: bool = True) -> Column:
+    """The group's one value of an expression that is no group key; faults if rows of the group differ in it."""
+    key = fold(x) if text else col(x)
+    n, some = F.count(F.lit(1)), F.count(col(x))
+    fault = F.raise_error(F.lit(FAULT + "GroupedProjectionNotDeterministic"))
+    same = ((some == 0) | (some == n)) & F.coalesce(F.min(key) == F.max(key), F.lit(True))
+    return F.when(same, first_of(x, order)).otherwise(fault)
 
 
 def string_agg(x, separator: str, by: Sequence[tuple[Column, bool]], order: Sequence[Column]) -> Column:
     """Text values joined by separator, ordered by (key, ascending) pairs, then by row order; nulls are left out."""
-    cells = F.struct(*[(k if up else F.coalesce(_reverse(k), F.lit("Z"))).alias(f"k{i}") for i, (k, up) in enumerate(by)], *[c.alias(f"o{i}") for i, c in enumerate(order)], col(x).cast("string").alias("v"))
+    cells = F.struct(*[(k if up else _falling(k)).alias(f"k{i}") for i, (k, up) in enumerate(by)], *[c.alias(f"o{i}") for i, c in enumerate(order)], col(x).cast("string").alias("v"))
     kept = F.sort_array(F.collect_list(F.when(col(x).isNotNull(), cells)))
     return F.when(F.count(col(x)) > 0, F.array_join(F.transform(kept, lambda e: e["v"]), separator))
 
@@ -114,33 +127,34 @@ def scalar(df: DataFrame, inner: DataFrame, on: Sequence[str], value: str, name:
 
 
 def union_all(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Rows of a, then of b; names from a. Equal counts of columns, and one kind in each."""
+    """Rows of a, then of b; names from a. Counts of columns are equal; where kinds differ, the column becomes text."""
     if len(a.columns) != len(b.columns):
-        raise ValueError("SetOperationColumnCountMismatch")
-    if [f.dataType.typeName() for f in a.schema] != [f.dataType.typeName() for f in b.schema]:
-        raise ValueError("ValueKindMismatch")
-    return a.union(b.toDF(*a.columns))
+        raise ValueError("UnionColumnCountMismatch")
+    b = b.toDF(*a.columns)
+    for x, y in zip(a.schema, b.schema, strict=True):
+        if x.dataType != y.dataType and {x.dataType.typeName(), y.dataType.typeName()} & {"string"}:
+            a, b = (d.withColumn(x.name, F.col(f"`{x.name}`").cast("string")) for d in (a, b))
+    return a.union(b)
 
 
-def recursive(anchor: DataFrame, member: Callable[[DataFrame], DataFrame], level: str | None = None, limit: int = MAX_ITERATIONS, strict: bool = False) -> DataFrame:
+def recursive(anchor: DataFrame, member: Callable[[DataFrame], DataFrame], level: str | None = None, limit: int = MAX_ITERATIONS) -> DataFrame:
     """The union of anchor, member(anchor), member(member(anchor)) and so on until an iteration has no rows.
 
     Each iteration is checkpointed, so plans stay small and a lost executor costs nothing; level names a column with
-    the iteration. strict compares each iteration with the last and faults if it is the same.
+    the iteration. An iteration with the rows of the one before faults: counts and sums of hashes tell, and only
+    where those agree are the rows compared.
     """
     spark = anchor.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-"))
-    now, out, i = anchor.checkpoint(), None, 0
-    while not now.isEmpty():
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+    now, out, i, before = anchor.checkpoint(), None, 0, None
+    while (mark := tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*now.columns).cast("decimal(38,0)"))).first()))[0]:
         if i > limit:
             raise RuntimeError("CommonTableExpressionRecursionLimitExceeded")
+        if before is not None and mark == before[0] and now.exceptAll(before[1]).isEmpty():
+            raise RuntimeError("CommonTableExpressionRecursionDidNotAdvance")
         part = now.withColumn(level, F.lit(i).cast("long")) if level else now
         out = part if out is None else out.union(part)
-        after = member(now).checkpoint()
-        if strict and not after.isEmpty() and after.exceptAll(now).isEmpty() and now.exceptAll(after).isEmpty():
-            raise RuntimeError("CommonTableExpressionRecursionDidNotAdvance")
-        now, i = after, i + 1
+        before = mark, now
+        now, i = member(now).checkpoint(), i + 1
     return out if out is not None else (anchor.withColumn(level, F.lit(0).cast("long")) if level else anchor)

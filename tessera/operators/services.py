@@ -294,7 +294,3 @@ def search(df: DataFrame, term: str, name: str, kind: str | None = None, ranks:
     for k, r in (ranks or {}).items():
         weight = F.when(F.col(kind) == k, r).otherwise(weight)
     return df.where(key.contains(want)).withColumn("rank", rank).withColumn("_w", weight).orderBy("rank", "_w", key, name).limit(limit).drop("_w")
-
-
-def ranked(df: DataFrame, order: Sequence[Column], name: str = "row") -> DataFrame:
-    return df.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("long"))

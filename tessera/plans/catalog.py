@@ -13,7 +13,7 @@ from ..operators import operations as O
 from ..operators import relational as R
 from ..operators import services as V
 from ..sources import files
-from ..sources.tables import from_rows, star
+from ..sources.tables import as_text, star
 from .direction import Direction
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,7 +32,7 @@ def query(sql: str) -> Callable[[Query], Query]:
 
 def by_id() -> list[Column]:
     """A scan's row order."""
-    return [S.fold("Id")]
+    return [S.fold(F.col("Id").cast("string"))]
 
 
 _FIXTURE = "(VALUES ('s1', 'Beta', 'K1', 'b,a', 'r2'), ('s2', 'alpha', 'K1', NULL, 'r1'), ('s3', '', 'K2', 'x', NULL)) AS s(Id, Name, Kind, Tags, RoleId)"
@@ -120,16 +120,16 @@ def is_null(spark, sf):
 
 @query("SELECT CAST(c_custkey AS VARCHAR) AS Id FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority LIKE '1-%')")
 def exists_semi(spark, sf):
-    ws = star(spark, sf)
+    ws = star(spark, sf, typed=True)
     c, o = ws["Customer"], ws["Order"].where(S.like("Priority", "1-%"))
-    return R.exists(c, o, F.upper(c["Id"]) == F.upper(o["CustomerId"])).select("Id")
+    return R.exists(c, o, c["Id"] == o["CustomerId"]).select(*as_text("Id"))
 
 
-@query("SELECT CAST(c_custkey AS VARCHAR) AS Id FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT CAST(c_custkey AS VARCHAR) AS Id FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')")
 def not_exists_anti(spark, sf):
-    ws = star(spark, sf)
-    c, o = ws["Customer"], ws["Order"]
-    return R.exists(c, o, F.upper(c["Id"]) == F.upper(o["CustomerId"]), negate=True).select("Id")
+    ws = star(spark, sf, typed=True)
+    c, o = ws["Customer"], ws["Order"].where(S.equal(F.col("Status"), "p"))
+    return R.exists(c, o, c["Id"] == o["CustomerId"], negate=True).select(*as_text("Id"))
 
 
 @query("SELECT CAST(r_regionkey AS VARCHAR) AS Id FROM region WHERE EXISTS (SELECT count(*) FROM nation WHERE n_name = 'none such')")
@@ -144,24 +144,24 @@ def exists_aggregate(spark, sf):
 
 @query("SELECT CAST(o_orderkey AS VARCHAR) AS OrderId, c_name AS Customer, n_name AS Nation FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey")
 def inner_equi(spark, sf):
-    ws = star(spark, sf)
+    ws = star(spark, sf, typed=True)
     o, c, n = ws["Order"].alias("o"), ws["Customer"].alias("c"), ws["Nation"].alias("n")
-    joined = R.join(R.join(o, c, F.upper("o.CustomerId") == F.upper("c.Id")), n, F.upper("c.NationId") == F.upper("n.Id"))
-    return joined.select(F.col("o.Id").alias("OrderId"), F.col("c.Name").alias("Customer"), F.col("n.Name").alias("Nation"))
+    joined = R.join(R.join(o, c, F.col("o.CustomerId") == F.col("c.Id")), n, F.col("c.NationId") == F.col("n.Id"))
+    return joined.select(F.col("o.Id").cast("string").alias("OrderId"), F.col("c.Name").alias("Customer"), F.col("n.Name").alias("Nation"))
 
 
 @query("SELECT a.n_name AS a, b.n_name AS b FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND upper(a.n_name) < upper(b.n_name)")
 def inner_theta(spark, sf):
-    n = star(spark, sf)["Nation"]
+    n = star(spark, sf, typed=True)["Nation"]
     a, b = n.alias("a"), n.alias("b")
-    return R.join(a, b, (F.upper("a.RegionId") == F.upper("b.RegionId")) & S.compare(F.col("a.Name"), "<", F.col("b.Name"))).select(F.col("a.Name").alias("a"), F.col("b.Name").alias("b"))
+    return R.join(a, b, (F.col("a.RegionId") == F.col("b.RegionId")) & S.compare(F.col("a.Name"), "<", F.col("b.Name"))).select(F.col("a.Name").alias("a"), F.col("b.Name").alias("b"))
 
 
 @query("SELECT CAST(c_custkey AS VARCHAR) AS Id, CAST(o_orderkey AS VARCHAR) AS OrderId FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderstatus = 'P'")
 def left_join(spark, sf):
-    ws = star(spark, sf)
+    ws = star(spark, sf, typed=True)
     c, o = ws["Customer"].alias("c"), ws["Order"].alias("o")
-    return R.join(c, o, (F.upper("c.Id") == F.upper("o.CustomerId")) & S.equal(F.col("o.Status"), "p"), "left").select("c.Id", F.col("o.Id").alias("OrderId"))
+    return R.join(c, o, (F.col("c.Id") == F.col("o.CustomerId")) & S.equal(F.col("o.Status"), "p"), "left").select(*as_text("c.Id"), F.col("o.Id").cast("string").alias("OrderId"))
 
 
 @query("SELECT count(*) AS n FROM nation CROSS JOIN region")
@@ -172,9 +172,9 @@ def cross_join_count(spark, sf):
 
 @query("SELECT n_name AS Nation, r_name AS Region FROM nation, region WHERE n_regionkey = r_regionkey")
 def comma_join(spark, sf):
-    ws = star(spark, sf)
+    ws = star(spark, sf, typed=True)
     n, r = ws["Nation"].alias("n"), ws["Region"].alias("r")
-    return R.join(n, r, F.lit(True), "cross").where(F.upper("n.RegionId") == F.upper("r.Id")).select(F.col("n.Name").alias("Nation"), F.col("r.Name").alias("Region"))
+    return R.join(n, r, F.lit(True), "cross").where(F.col("n.RegionId") == F.col("r.Id")).select(F.col("n.Name").alias("Nation"), F.col("r.Name").alias("Region"))
 
 
 @query("SELECT CAST(p_partkey AS VARCHAR) AS Id, u.word, u.ordinal FROM (SELECT p_partkey, unnest(string_split(p_type, ' ')) AS word, CAST(unnest(range(1, len(string_split(p_type, ' ')) + 1)) AS BIGINT) AS ordinal FROM part) u")
@@ -189,9 +189,9 @@ def outer_apply_split(spark, sf):
 
 @query("SELECT CAST(c_custkey AS VARCHAR) AS Id, a.n, a.first_priority FROM customer LEFT JOIN LATERAL (SELECT count(*) AS n, min(o_orderpriority) AS first_priority FROM orders WHERE o_custkey = c_custkey) a ON true")
 def apply_correlated_agg(spark, sf):
-    ws = star(spark, sf)
-    per = ws["Order"].groupBy(F.upper("CustomerId").alias("k")).agg(F.count(F.lit(1)).alias("n"), R.min_text("Priority", by_id()).alias("first_priority"))
-    return ws["Customer"].join(per, F.upper("Id") == F.col("k"), "left").select("Id", F.coalesce("n", F.lit(0)).alias("n"), "first_priority")
+    ws = star(spark, sf, typed=True)
+    per = ws["Order"].groupBy(F.col("CustomerId").alias("k")).agg(F.count(F.lit(1)).alias("n"), R.min_text("Priority", by_id()).alias("first_priority"))
+    return ws["Customer"].join(per, F.col("Id") == F.col("k"), "left").select(*as_text("Id"), F.coalesce("n", F.lit(0)).alias("n"), "first_priority")
 
 
 # grouping
@@ -221,13 +221,50 @@ def min_max_text(spark, sf):
 
 @query("SELECT r_name AS region, string_agg(n_name, ',' ORDER BY upper(n_name), CAST(n_nationkey AS VARCHAR)) AS up, string_agg(n_name, '|' ORDER BY upper(n_name) DESC, CAST(n_nationkey AS VARCHAR)) AS down FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name")
 def string_agg_ordered(spark, sf):
-    ws = star(spark, sf)
+    ws = star(spark, sf, typed=True)
     n, r = ws["Nation"].alias("n"), ws["Region"].alias("r")
-    key, order = S.fold(F.col("n.Name")), [S.fold(F.col("n.Id"))]
-    joined = R.join(n, r, F.upper("n.RegionId") == F.upper("r.Id"))
+    key, order = S.fold(F.col("n.Name")), [S.fold(F.col("n.Id").cast("string"))]
+    joined = R.join(n, r, F.col("n.RegionId") == F.col("r.Id"))
     return joined.groupBy(F.col("r.Name").alias("region")).agg(R.string_agg(F.col("n.Name"), ",", [(key, True)], order).alias("up"), R.string_agg(F.col("n.Name"), "|", [(key, False)], order).alias("down"))
 
 
+@query("SELECT CAST(o_custkey AS VARCHAR) AS customer, string_agg(o_orderstatus, ',' ORDER BY o_orderkey DESC) AS latest, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY upper(o_orderpriority) DESC, o_orderkey) AS urgent_last FROM orders GROUP BY o_custkey")
+def string_agg_integer_keys(spark, sf):
+    """Texts ordered by integers downwards, and ties of text that integers break."""
+    o = star(spark, sf, typed=True)["Order"]
+    return o.groupBy("CustomerId").agg(R.string_agg("Status", ",", [(F.col("Id"), False)], [F.col("Id")]).alias("latest"), R.string_agg("Id", ",", [(S.fold("Priority"), False)], [F.col("Id")]).alias("urgent_last")).select(F.col("CustomerId").cast("string").alias("customer"), "latest", "urgent_last")
+
+
+@query("SELECT CAST(o_custkey AS VARCHAR) AS customer, (list(s ORDER BY upper(s) DESC, o_orderkey))[1] AS most, (list(s ORDER BY upper(s), o_orderkey))[1] AS least FROM (SELECT *, CASE WHEN o_orderkey % 2 = 1 THEN lower(o_orderstatus) ELSE o_orderstatus END AS s FROM orders) GROUP BY o_custkey")
+def min_max_integer_ties(spark, sf):
+    """Spellings of equal texts fall by integer ids, in which 9 comes before 10."""
+    o = star(spark, sf, typed=True)["Order"].withColumn("s", F.when(F.col("Id") % 2 == 1, F.lower("Status")).otherwise(F.col("Status")))
+    return o.groupBy("CustomerId").agg(R.max_text("s", [F.col("Id")]).alias("most"), R.min_text("s", [F.col("Id")]).alias("least")).select(F.col("CustomerId").cast("string").alias("customer"), "most", "least")
+
+
+@query("SELECT c_mktsegment AS segment, max(upper(c_mktsegment)) AS label, count(*) AS n FROM customer GROUP BY c_mktsegment")
+def grouped_stable_value(spark, sf):
+    """An expression that is no group key but has one value in each group."""
+    c = star(spark, sf)["Customer"]
+    return c.groupBy(F.col("Segment").alias("segment")).agg(R.stable(S.upper("Segment"), by_id()).alias("label"), F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT CAST(n_nationkey AS VARCHAR) AS Id, r_name AS region, regexp_replace(n_name, left(r_name, 1), '<' || lower(r_name) || '>', 'gi') AS renamed FROM nation JOIN region ON n_regionkey = r_regionkey WHERE starts_with(upper(n_name), upper(left(r_name, 1))) OR contains(upper(n_name), '1')")
+def like_expression(spark, sf):
+    """LIKE and REPLACE with patterns and texts from columns."""
+    ws = star(spark, sf, typed=True)
+    n, r = ws["Nation"].alias("n"), ws["Region"].alias("r")
+    first = S.left("r.Name", 1)
+    hit = S.like("n.Name", S.concat(first, "%")) | S.like("n.Name", F.lit("%1%"))
+    return R.join(n, r, (F.col("n.RegionId") == F.col("r.Id")) & hit).select(*as_text("n.Id"), F.col("r.Name").alias("region"), S.replace("n.Name", first, S.concat("<", S.lower("r.Name"), ">")).alias("renamed"))
+
+
+@query("SELECT CAST(n_nationkey AS VARCHAR) AS v, n_name AS name FROM nation UNION ALL SELECT r_name, r_name FROM region")
+def union_all_mixed_kinds(spark, sf):
+    ws = star(spark, sf, typed=True)
+    return R.union_all(ws["Nation"].select(F.col("Id").alias("v"), F.col("Name").alias("name")), ws["Region"].select("Name", F.col("Name").alias("again")))
+
+
 @query("SELECT p_brand AS brand, count(*) AS n FROM part GROUP BY p_brand HAVING count(*) > 5")
 def having_via_derived(spark, sf):
     return star(spark, sf)["Part"].groupBy(F.col("Brand").alias("brand")).agg(F.count(F.lit(1)).alias("n")).where("n > 5")
@@ -248,28 +285,28 @@ def union_all(spark, sf):
 
 @query("SELECT CAST(o_orderkey AS VARCHAR) AS Id, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY upper(o_orderpriority), CAST(o_orderkey AS VARCHAR)) AS BIGINT) AS n FROM orders")
 def row_number_partitioned(spark, sf):
-    return star(spark, sf)["Order"].select("Id", R.row_number([S.fold("CustomerId")], [(S.fold("Priority"), True)], by_id()).alias("n"))
+    return star(spark, sf, typed=True)["Order"].select(*as_text("Id"), R.row_number([F.col("CustomerId")], [(S.fold("Priority"), True)], by_id()).alias("n"))
 
 
 @query("SELECT customer, Id FROM (SELECT CAST(o_custkey AS VARCHAR) AS customer, CAST(o_orderkey AS VARCHAR) AS Id, row_number() OVER (PARTITION BY o_custkey ORDER BY upper(o_orderpriority) DESC, CAST(o_orderkey AS VARCHAR)) AS n FROM orders) WHERE n = 1")
 def row_number_top1_derived(spark, sf):
-    o = star(spark, sf)["Order"].withColumn("n", R.row_number([S.fold("CustomerId")], [(S.fold("Priority"), False)], by_id()))
-    return o.where("n = 1").select(F.col("CustomerId").alias("customer"), "Id")
+    o = star(spark, sf, typed=True)["Order"].withColumn("n", R.row_number([F.col("CustomerId")], [(S.fold("Priority"), False)], by_id()))
+    return o.where("n = 1").select(F.col("CustomerId").cast("string").alias("customer"), *as_text("Id"))
 
 
 @query("SELECT CAST(n_nationkey AS VARCHAR) AS Id, (SELECT r_name FROM region WHERE r_regionkey = n_regionkey) AS region FROM nation")
 def scalar_subquery_corr(spark, sf):
-    ws = star(spark, sf)
-    inner = ws["Region"].select(F.upper("Id").alias("k"), F.col("Name").alias("v"))
-    return R.scalar(ws["Nation"].withColumn("k", F.upper("RegionId")), inner, ["k"], "v", "region").select("Id", "region")
+    ws = star(spark, sf, typed=True)
+    inner = ws["Region"].select(F.col("Id").alias("k"), F.col("Name").alias("v"))
+    return R.scalar(ws["Nation"].withColumn("k", F.col("RegionId")), inner, ["k"], "v", "region").select(*as_text("Id"), "region")
 
 
 @query("WITH a AS (SELECT c_mktsegment AS s, c_nationkey AS n FROM customer), b AS (SELECT s, n, count(*) AS k FROM a GROUP BY s, n), c AS (SELECT s, max(k) AS most FROM b GROUP BY s) SELECT b.s AS segment, n_name AS nation, b.k AS customers FROM b JOIN c ON b.s = c.s AND b.k = c.most JOIN nation ON n_nationkey = b.n")
 def cte_chain(spark, sf):
-    ws = star(spark, sf)
+    ws = star(spark, sf, typed=True)
     b = ws["Customer"].groupBy(F.col("Segment").alias("s"), F.col("NationId").alias("n")).agg(F.count(F.lit(1)).alias("k"))
     c = b.groupBy("s").agg(F.max("k").alias("k"))
-    return b.join(c, ["s", "k"]).join(ws["Nation"], F.upper("n") == F.upper("Id")).select(F.col("s").alias("segment"), F.col("Name").alias("nation"), F.col("k").alias("customers"))
+    return b.join(c, ["s", "k"]).join(ws["Nation"], F.col("n") == F.col("Id")).select(F.col("s").alias("segment"), F.col("Name").alias("nation"), F.col("k").alias("customers"))
 
 
 @query("WITH RECURSIVE t AS (SELECT n_nationkey AS k, n_name AS path, CAST(0 AS BIGINT) AS level FROM nation WHERE n_nationkey = 0 UNION ALL SELECT n_nationkey, path || '/' || n_name, level + 1 FROM t JOIN nation ON n_nationkey > 0 AND (n_nationkey - 1) // 3 = k) SELECT CAST(k AS VARCHAR) AS Id, path, level FROM t")
@@ -561,9 +598,9 @@ def ranked_search(spark, sf):
 @query("SELECT c_mktsegment AS segment, CAST(row_number() OVER (ORDER BY count(*) DESC, c_mktsegment) AS BIGINT) AS rank, count(*) AS orders, string_agg(DISTINCT o_orderstatus, ',' ORDER BY o_orderstatus) AS statuses, count(CASE WHEN o_orderpriority LIKE '1-%' THEN 1 END) AS urgent FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_mktsegment")
 def flagship(spark, sf):
     """Orders by market segment: join, CASE, ordered text aggregate and row numbers in one query."""
-    ws = star(spark, sf)
+    ws = star(spark, sf, typed=True)
     o, c = ws["Order"].alias("o"), ws["Customer"].alias("c")
-    each = R.join(o, c, F.upper("o.CustomerId") == F.upper("c.Id")).groupBy(F.col("c.Segment").alias("segment"), F.col("o.Status").alias("status")).agg(F.count(F.lit(1)).alias("n"), F.count(S.case([(S.like("o.Priority", "1-%"), "u")])).alias("u"))
+    each = R.join(o, c, F.col("o.CustomerId") == F.col("c.Id")).groupBy(F.col("c.Segment").alias("segment"), F.col("o.Status").alias("status")).agg(F.count(F.lit(1)).alias("n"), F.count(S.case([(S.like("o.Priority", "1-%"), "u")])).alias("u"))
     total = each.groupBy("segment").agg(F.sum("n").alias("orders"), R.string_agg("status", ",", [(S.fold("status"), True)], [F.col("status")]).alias("statuses"), F.sum("u").alias("urgent"))
     return total.withColumn("rank", R.row_number([], [(-F.col("orders"), True)], [F.col("segment")]))
 
@@ -571,18 +608,14 @@ def flagship(spark, sf):
 @query("SELECT c_mktsegment AS segment, n_name AS nation, l_returnflag AS flag, count(*) AS lines FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderpriority <> '5-LOW' GROUP BY c_mktsegment, n_name, l_returnflag")
 def lines_by_segment(spark, sf):
     """A four-way join over all line items, grouped by text in any case."""
-    ws = star(spark, sf)
+    ws = star(spark, sf, typed=True)
     li, o, c, n = (ws[x].alias(x[0].lower()) for x in ("Line", "Order", "Customer", "Nation"))
     kept = o.where(S.compare(F.col("o.Priority"), "<>", "5-low"))
-    small = R.join(c, n, F.upper("c.NationId") == F.upper("n.Id")).select(F.upper("c.Id").alias("k"), F.col("c.Segment").alias("segment"), F.col("n.Name").alias("nation"))
-    joined = R.join(li, kept, F.upper("l.OrderId") == F.upper("o.Id")).select(F.upper("o.CustomerId").alias("k"), F.col("l.ReturnFlag").alias("flag")).join(small, "k")
+    small = R.join(c, n, F.col("c.NationId") == F.col("n.Id")).select(F.col("c.Id").alias("k"), F.col("c.Segment").alias("segment"), F.col("n.Name").alias("nation"))
+    joined = R.join(li, kept, F.col("l.OrderId") == F.col("o.Id")).select(F.col("o.CustomerId").alias("k"), F.col("l.ReturnFlag").alias("flag")).join(small, "k")
     return joined.groupBy("segment", "nation", "flag").agg(F.count(F.lit(1)).alias("lines"))
 
 
 @query("SELECT event_type AS type, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY event_type")
 def events_by_type(spark, sf):
     return star(spark, sf)["Event"].groupBy(F.col("Type").alias("type")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("UserId").alias("users"))
-
-
-def rows_workspace(spark: SparkSession, model: Model, rows: dict) -> Workspace:
-    return from_rows(spark, model, rows)

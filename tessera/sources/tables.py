@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..model import Entity, Model, Property, Relationship, Workspace
@@ -37,18 +37,28 @@ _COLUMNS = {
 LINE_ID = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
 
 
-def star(spark: SparkSession, sf_dir: str) -> Workspace:
-    """The benchmark's star tables as records; every member is text. Lazy: a query reads the columns it uses."""
+def star(spark: SparkSession, sf_dir: str, typed: bool = False) -> Workspace:
+    """The benchmark's star tables as records; lazy: a query reads the columns it uses.
+
+    Every member is text, as the record model has it. typed leaves ids and references the integers that they are, so
+    that filters on them reach the files and joins shuffle and compare integers; as_text() gives their text form.
+    """
     data = {}
     for e in STAR.entities:
         table, names = _COLUMNS[e.name]
         df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
-        cell = lambda c: F.date_format(c, "yyyy-MM-dd") if c == "o_orderdate" else F.col(c).cast("string")
+        links = {"Id", *[r.column for r in e.relationships]} if typed else set()
+        cell = lambda c, m, links=links: F.date_format(c, "yyyy-MM-dd") if c == "o_orderdate" else F.col(c).cast("long") if m in links else F.col(c).cast("string")
         key = F.concat_ws(":", *[F.col(c).cast("string") for c in LINE_ID], F.date_format("l_shipdate", "yyyy-MM-dd HH:mm:ss")) if e.name == "Line" else None
-        data[e.name] = df.select(*[(key if key is not None and m == "Id" else cell(c)).alias(m) for m, c in names.items()])
+        data[e.name] = df.select(*[(key if key is not None and m == "Id" else cell(c, m)).alias(m) for m, c in names.items()])
     return Workspace(STAR, data)
 
 
+def as_text(*names: str) -> list[Column]:
+    """Ids and references in their text form, named after the last part of each name."""
+    return [F.col(n).cast("string").alias(n.rpartition(".")[2]) for n in names]
+
+
 def from_rows(spark: SparkSession, model: Model, rows: Mapping[str, list[dict]]) -> Workspace:
     data = {}
     for e in model.entities:
@@ -66,15 +76,74 @@ def to_parquet(ws: Workspace, path: str) -> None:
         ws[e.name].select(*e.columns).write.mode("overwrite").parquet(f"{path}/{e.name}")
 
 
-def from_jdbc(spark: SparkSession, model: Model, url: str, schema: str = "dbo", **options: str) -> Workspace:
-    """One table an entity; filters and column choices are pushed to the database."""
-    read = lambda e: spark.read.format("jdbc").options(url=url, dbtable=f"{schema}.{e.name}", **options).load()
+def from_jdbc(spark: SparkSession, model: Model, url: str, schema: str = "dbo", split: dict[str, tuple[str, int, int, int]] | None = None, **options: str) -> Workspace:
+    """One table an entity; filters, column choices, limits and counts are pushed to the database.
+
+    split gives, for entities worth more than one connection, a numeric column, its lower and upper bound and the
+    number of parts to read.
+    """
+
+    def read(e: Entity) -> DataFrame:
+        reader = spark.read.format("jdbc").options(url=url, dbtable=f"{schema}.{e.name}" if schema else e.name, **options)
+        if split and e.name in split:
+            column, low, high, parts = split[e.name]
+            reader = reader.options(partitionColumn=column, lowerBound=low, upperBound=high, numPartitions=parts)
+        return reader.load()
+
     return Workspace(model, {e.name: read(e).select(*[F.col(c).cast("string").alias(c) for c in e.columns]) for e in model.entities})
 
 
-def to_jdbc(ws: Workspace, url: str, schema: str = "dbo", mode: str = "append", **options: str) -> None:
+def bounded_jdbc(spark: SparkSession, url: str, entity: Entity, conditions: Sequence[tuple[str, str, str]], limit: int, schema: str = "dbo", **options: str) -> tuple[int, DataFrame]:
+    """(number of matches, the first limit rows by Id) of a query that the database answers.
+
+    Conditions are (member, Equal or Contains, value), all of which hold in any case; null counts as ''. Values are
+    quoted, names are the entity's own.
+    """
+    known = {c.upper(): c for c in entity.columns} | {(r.role or r.entity).upper(): r.column for r in entity.relationships}
+    tests = []
+    for name, op, value in conditions:
+        if name.upper() not in known:
+            raise ValueError(f"RecordQueryFieldNotFound: {name}")
+        if op not in ("Equal", "Contains"):
+            raise ValueError(f"RecordQueryOperatorInvalid: {op}")
+        quoted = "'" + value.replace("'", "''") + "'"
+        key = f"UPPER(COALESCE({known[name.upper()]}, ''))"
+        tests.append(f"{key} = UPPER({quoted})" if op == "Equal" else f"POSITION(UPPER({quoted}) IN {key}) > 0")
+    where = " WHERE " + " AND ".join(tests) if tests else ""
+    table = f"{schema}.{entity.name}" if schema else entity.name
+    ask = lambda sql: spark.read.format("jdbc").options(url=url, query=sql, **options).load()
+    total = ask(f"SELECT COUNT(*) AS n FROM {table}{where}").first()[0]
+    rows = ask(f"SELECT {', '.join(entity.columns)} FROM {table}{where} ORDER BY UPPER(Id), Id FETCH FIRST {int(limit)} ROWS ONLY")
+    return total, rows.toDF(*entity.columns)
+
+
+def to_jdbc(ws: Workspace, url: str, schema: str = "dbo", mode: str = "append", verify: bool = True, **options: str) -> None:
+    """One table an entity. verify reads what was written back and faults where rows are missing or differ."""
     for e in ws.model.entities:
-        ws[e.name].select(*e.columns).write.format("jdbc").options(url=url, dbtable=f"{schema}.{e.name}", **options).mode(mode).save()
+        table, rows = f"{schema}.{e.name}" if schema else e.name, ws[e.name].select(*e.columns)
+        rows.write.format("jdbc").options(url=url, dbtable=table, **options).mode(mode).save()
+        if verify:
+            back = ws[e.name].sparkSession.read.format("jdbc").options(url=url, dbtable=table, **options).load().toDF(*e.columns)
+            lost = rows.exceptAll(back) if mode == "append" else first_difference(Workspace(Model("w", (e,)), {e.name: rows}), Workspace(Model("w", (e,)), {e.name: back}))
+            if not lost.isEmpty():
+                raise RuntimeError(f"WriteVerificationFailed: {e.name}")
+
+
+def first_difference(left: Workspace, right: Workspace) -> DataFrame:
+    """(entity, id, member, left, right): the first cell by entity, id and member that two workspaces of one model do not share.
+
+    No row if they hold the same. A record that one side lacks differs in its Id.
+    """
+    if left.model.signature() != right.model.signature():
+        raise ValueError("WorkspaceModelMismatch")
+    out = None
+    for place, e in enumerate(left.model.entities):
+        flat = lambda ws, e=e: ws[e.name].select(F.col("Id").alias("id"), F.posexplode(F.array(*e.columns)).alias("at", "v"))
+        a, b = (flat(ws).groupBy("id", "at").agg(F.max("v").alias(side), F.count(F.lit(1)).alias(f"n_{side}")) for ws, side in ((left, "left"), (right, "right")))
+        apart = a.join(b, ["id", "at"], "full_outer").where(~(F.col("left").eqNullSafe(F.col("right")) & F.col("n_left").eqNullSafe(F.col("n_right"))))
+        one = apart.select(F.lit(place).alias("_e"), F.lit(e.name).alias("entity"), "id", F.element_at(F.array(*map(F.lit, e.columns)), F.col("at") + 1).alias("member"), F.col("at").alias("_a"), "left", "right").orderBy("id", "_a").limit(1)
+        out = one if out is None else out.union(one)
+    return out.orderBy("_e").limit(1).drop("_e", "_a")
 
 
 def same_rows(a: DataFrame, b: DataFrame) -> bool:

@@ -21,6 +21,32 @@ def test_like(spark):
     assert one(spark, *[S.like(t, p) for p in cases]) == tuple(cases.values())
 
 
+def test_like_and_replace_take_expressions(spark):
+    rows = [("a.B\nc[x", p) for p in ("A.b%", "a_b%", "%[x-z]", "%[^x]", "%[x", "a.b", "%\n_%", "%[[]x", "%[]x", "%[^^&]", "%\\%", "[a-b]%", None)]
+    df = spark.createDataFrame(rows, "t string, p string")
+    got = [r[0] for r in df.select(S.like("t", F.col("p"))).collect()]
+    assert got == [None if p is None else one(spark, S.like(F.lit(t), p))[0] for t, p in rows]
+    edits = [("abcABC", "b", "$X\\"), ("a", "", "z"), ("a\\E.b", "\\e.", "-"), ("x.y", ".", ""), ("a", None, "b"), ("a", "", None)]
+    df = spark.createDataFrame(edits, "t string, o string, n string")
+    assert [r[0] for r in df.select(S.replace("t", F.col("o"), F.col("n"))).collect()] == ["a$X\\cA$X\\C", "a", "a-b", "xy", None, None]
+
+
+def test_integer_keys_and_ties(spark):
+    df = R.values(spark, ["k", "v"], [(9, "z"), (10, "y"), (100, "x"), (None, "w")])
+    down = df.agg(R.string_agg("v", ",", [(F.col("k"), False)], [F.col("_row")]).alias("x"))
+    assert rows(down) == [("x,y,z,w",)]
+    ties = R.values(spark, ["v"], [("a",), ("b",), ("Zz",), *[("c",)] * 7, ("zZ",)])
+    assert rows(ties.agg(R.max_text("v", [F.col("_row")]), R.min_text("v", [F.col("_row")]))) == [("Zz", "a")]
+
+
+def test_stable_values(spark):
+    df = R.values(spark, ["g", "v"], [("a", "x"), ("a", "X"), ("b", None), ("b", None)])
+    assert rows(df.groupBy("g").agg(R.stable("v", [F.col("_row")]))) == [("a", "x"), ("b", None)]
+    for bad in ([("a", "x"), ("a", "y")], [("a", "x"), ("a", None)]):
+        with pytest.raises(Exception, match="GroupedProjectionNotDeterministic"):
+            R.values(spark, ["g", "v"], bad).groupBy("g").agg(R.stable("v", [F.col("_row")])).collect()
+
+
 def test_three_valued_in(spark):
     x = F.lit("a")
     assert one(spark, S.within(x, ["A", None]), S.within(x, ["b", None]), S.within(F.lit(None).cast("string"), ["a"])) == (True, None, None)
@@ -83,11 +109,13 @@ def test_split_and_apply(spark):
 
 
 def test_values_union_and_scalar_faults(spark):
-    with pytest.raises(ValueError, match="ValueKindMismatch"):
-        R.values(spark, ["a"], [(1,), ("x",)])
+    mixed = R.values(spark, ["a"], [(1,), ("x",), (None,)])
+    assert rows(mixed.select("a")) == [("1",), ("x",), (None,)]
     a = R.values(spark, ["a"], [(1,)]).drop("_row")
-    with pytest.raises(ValueError, match="SetOperationColumnCountMismatch"):
+    with pytest.raises(ValueError, match="UnionColumnCountMismatch"):
         R.union_all(a, a.withColumn("b", F.lit(1)))
+    assert rows(R.union_all(a, R.values(spark, ["z"], [("x",)]).drop("_row"))) == [("1",), ("x",)]
+    assert R.union_all(a, a).schema["a"].dataType.typeName() == "long"
     with pytest.raises(ValueError, match="UnsupportedSyntax"):
         R.join(a, a, F.lit(True), "full")
     two = R.values(spark, ["k", "v"], [("1", "a"), ("1", "b"), ("2", "c")]).drop("_row")
@@ -102,4 +130,4 @@ def test_recursion(spark):
     got = R.recursive(n.where("p is null").select("Id", F.col("Id").alias("path")), lambda t: t.alias("t").join(n.alias("n"), F.col("n.p") == F.col("t.Id")).select("n.Id", S.concat(F.col("t.path"), "/", F.col("n.Id")).alias("path")))
     assert rows(got) == [("a", "root/a"), ("b", "root/b"), ("c", "root/a/c"), ("root", "root")]
     with pytest.raises(RuntimeError, match="DidNotAdvance"):
-        R.recursive(n.select("Id"), lambda t: t, strict=True)
+        R.recursive(n.select("Id"), lambda t: t)
