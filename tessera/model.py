@@ -134,23 +134,30 @@ class Workspace:
         return replace(self, data={**self.data, entity: df})
 
     def issues(self) -> DataFrame | None:
-        """(code, entity, member, id) of everything that breaks the model; one scan or join for each rule."""
+        """(code, entity, member, id) of everything that breaks the model.
+
+        One pass over each entity finds what a record shows by itself; repeated ids take a grouping and each
+        relationship a join, of keys only.
+        """
         out = []
         for e in self.model.entities:
             df, name = self[e.name], e.name
-            extra = [c for c in df.columns if c.upper() not in {x.upper() for x in e.columns}]
+            known = {x.upper() for x in e.columns}
+            extra = [c for c in df.columns if c.upper() not in known]
+            issue = lambda code, member: F.struct(F.lit(code).alias("code"), F.lit(member).alias("member"))
+            tests = [(F.col(f"`{c}`").isNotNull(), "instance.relationship.unknown" if c.endswith("Id") else "instance.property.unknown", c) for c in extra]
+            blank = F.col("Id").isNull() | (F.trim("Id") == "")
+            tests += [(blank, "instance.id.missing", "Id"), (~blank & ~F.col("Id").rlike(ID_PATTERN), "instance.id.invalid", "Id")]
+            tests += [(F.col(p.name).isNull(), "instance.required.missing", p.name) for p in e.properties if p.required]
+            tests += [(F.col(r.column).isNull(), "instance.relationship.missing", r.column) for r in e.relationships if r.required]
+            wrong = F.filter(F.array(*[F.when(test, issue(code, member)) for test, code, member in tests]), lambda x: x.isNotNull())
+            out.append(df.select(F.lit(name).alias("entity"), F.col("Id").alias("id"), F.explode(wrong).alias("w")).select("w.code", "entity", "w.member", "id"))
             say = lambda d, code, member, name=name: d.select(F.lit(code).alias("code"), F.lit(name).alias("entity"), F.lit(member).alias("member"), F.col("Id").alias("id"))
-            out += [say(df.where(F.col(f"`{c}`").isNotNull()), "instance.relationship.unknown" if c.endswith("Id") else "instance.property.unknown", c) for c in extra]
-            out.append(say(df.where(F.col("Id").isNull() | (F.trim("Id") == "")), "instance.id.missing", "Id"))
-            out.append(say(df.where((F.trim("Id") != "") & ~F.col("Id").rlike(ID_PATTERN)), "instance.id.invalid", "Id"))
             twice = df.where(F.col("Id").isNotNull()).groupBy(F.upper("Id").alias("k")).agg(F.count(F.lit(1)).alias("n"), F.max("Id").alias("Id")).where("n > 1")
             out.append(say(twice, "instance.id.duplicate", "Id"))
-            out += [say(df.where(F.col(p.name).isNull()), "instance.required.missing", p.name) for p in e.properties if p.required]
             for r in e.relationships:
-                if r.required:
-                    out.append(say(df.where(F.col(r.column).isNull()), "instance.relationship.missing", r.column))
-                known = self[r.entity].select(F.upper("Id").alias("_target"))
-                out.append(say(df.where(F.col(r.column).isNotNull()).join(known, F.upper(F.col(r.column)) == F.col("_target"), "left_anti"), "instance.relationship.orphan", r.column))
+                targets = self[r.entity].select(F.upper("Id").alias("_target"))
+                out.append(say(df.where(F.col(r.column).isNotNull()).select("Id", r.column).join(targets, F.upper(F.col(r.column)) == F.col("_target"), "left_anti"), "instance.relationship.orphan", r.column))
         result = None
         for d in out:
             result = d if result is None else result.unionByName(d)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import fold
 from ..model import Model, Workspace, dependency_order
+from .relational import recursive
 
 # record queries
 
@@ -24,8 +25,13 @@ def _matches(df: DataFrame, conditions: Sequence[tuple[str, str, str]]) -> Colum
 
 
 def query_records(df: DataFrame, conditions: Sequence[tuple[str, str, str]], limit: int = 200) -> tuple[int, DataFrame]:
-    """(number of matches, the first limit of them by Id): every (field, Equal or Contains, value) holds in any case; null counts as ''."""
-    found = df.where(_matches(df, conditions))
+    """(number of matches, the first limit of them by Id): every (field, Equal or Contains, value) holds in any case; null counts as ''.
+
+    A field is a column, or the role of a relationship, whose column is the role and "Id"; names in any case.
+    """
+    known = {c.upper(): c for c in df.columns}
+    named = [(known.get(n.upper()) or known.get(n.upper() + "ID") or n, op, v) for n, op, v in conditions]
+    found = df.where(_matches(df, named))
     return found.count(), found.orderBy(fold("Id"), "Id").limit(limit)
 
 
@@ -89,47 +95,60 @@ def business_keys(ws: Workspace) -> DataFrame:
     return p.select("entity", "property", _rounded(score).alias("score"))
 
 
-def lookup_suggestions(ws: Workspace) -> DataFrame | None:
-    """Properties that look like references: named <Entity>Id, or ending so (weak, with a role).
-
-    For each: how many rows and distinct values of the property are ids of the entity, up to five that are not, and a
-    score. Only value counts meet the target's ids. None without a candidate by name.
-    """
-    stats = profile(ws, with_id=True)
-    out = None
+def _named_like_references(ws: Workspace) -> list[tuple]:
+    """(entity, property, target entity, role, weak) of properties named <Entity>Id, or ending so."""
+    out = []
     for e in ws.model.entities:
         for p in e.properties:
             for t in ws.model.entities:
                 tail = t.name + "Id"
-                if t.name.upper() == e.name.upper() or p.name.upper() == "ID" or not p.name.upper().endswith(tail.upper()):
-                    continue
-                weak = p.name.upper() != tail.upper()
-                taken = {r.column.upper() for r in e.relationships}
-                role = p.name[:-2] if weak else ""
-                values = ws[e.name].where(F.col(p.name) != "").groupBy(F.col(p.name).alias("v")).agg(F.count(F.lit(1)).alias("n"))
-                ids = ws[t.name].where(F.col("Id") != "").select(F.col("Id").alias("t")).distinct()
-                met = values.join(ids, F.col("v") == F.col("t"), "left")
-                hit = F.col("t").isNotNull()
-                some = met.agg(
-                    F.coalesce(F.sum("n"), F.lit(0)).alias("source_rows"),
-                    F.count(F.lit(1)).alias("source_distinct"),
-                    F.coalesce(F.sum(F.when(hit, F.col("n"))), F.lit(0)).alias("matched_rows"),
-                    F.count(F.when(hit, 1)).alias("matched_distinct"),
-                )
-                sample = met.where(~hit).orderBy("v").limit(5).agg(F.array_join(F.sort_array(F.collect_list("v")), ",").alias("unmatched_sample"))
-                target = stats.where((F.col("entity") == t.name) & (F.col("property") == "Id")).select(F.col("rows").alias("target_rows"), F.col("unique_non_blank").alias("target_unique"), (F.col("nulls") + F.col("blanks")).alias("target_missing"))
-                source = stats.where((F.col("entity") == e.name) & (F.col("property") == p.name)).select("rows", (F.col("nulls") + F.col("blanks")).alias("source_missing"))
-                reuse = F.col("source_rows") > F.col("source_distinct")
-                blocked = (role or t.name) + "Id"
-                tests = [F.lit(blocked.upper() in taken), ~F.col("target_unique"), F.col("target_missing") > 0, F.lit(p.required) & (F.col("source_missing") > 0), F.col("matched_distinct") < F.col("source_distinct"), ~reuse]
-                blockers = sum((F.when(x, 1).otherwise(0) for x in tests), F.lit(0))
-                score = 0.40 + 0.35 * F.col("matched_rows") / F.col("source_rows") + F.when(F.col("target_unique"), 0.15).otherwise(0.02) + F.when(reuse, 0.10).otherwise(0.0) - 0.12 * F.col("blockers")
-                row = some.crossJoin(sample).crossJoin(target).crossJoin(source).withColumn("blockers", blockers).where("rows >= 2 and source_distinct > 0 and target_rows >= 2")
-                one = row.select(F.lit(e.name).alias("entity"), F.lit(p.name).alias("property"), F.lit(t.name).alias("target"), F.lit(role).alias("role"), F.lit(weak).alias("weak"), "source_rows", "source_distinct", "matched_rows", "matched_distinct", "unmatched_sample", "blockers", _rounded(score).alias("score"))
-                out = one if out is None else out.unionByName(one)
+                if t.name.upper() != e.name.upper() and p.name.upper() != "ID" and p.name.upper().endswith(tail.upper()):
+                    weak = p.name.upper() != tail.upper()
+                    out.append((e, p, t, p.name[:-2] if weak else "", weak))
     return out
 
 
+def lookup_suggestions(ws: Workspace) -> DataFrame | None:
+    """Properties that look like references: named <Entity>Id, or ending so (weak, with a role).
+
+    For each: how many rows and distinct values of the property are ids of the entity, up to five that are not, and a
+    score. Value counts of all candidates meet the targets' ids in one join. The profile, a row for each property of
+    the model, is read once. None without a candidate by name.
+    """
+    found = _named_like_references(ws)
+    if not found:
+        return None
+    stats = {(r.entity, r.property): r for r in profile(ws, with_id=True).collect()}
+    facts, values, ids = [], None, None
+    for i, (e, p, t, role, weak) in enumerate(found):
+        source, target = stats[e.name, p.name], stats[t.name, "Id"]
+        taken = {r.column.upper() for r in e.relationships}
+        blocked = [((role or t.name) + "Id").upper() in taken, not target.unique_non_blank, target.nulls + target.blanks > 0, p.required and source.nulls + source.blanks > 0]
+        if source.rows >= 2 and target.rows >= 2:
+            facts.append((i, e.name, p.name, t.name, role, weak, sum(blocked), bool(target.unique_non_blank)))
+        part = ws[e.name].where(F.col(p.name) != "").groupBy(F.col(p.name).alias("v")).agg(F.count(F.lit(1)).alias("n")).select(F.lit(i).alias("i"), F.lit(t.name).alias("target"), "v", "n")
+        values = part if values is None else values.unionByName(part)
+    for name in sorted({t.name for _, _, t, _, _ in found}):
+        part = ws[name].where(F.col("Id") != "").select(F.lit(name).alias("target"), F.col("Id").alias("v")).distinct().withColumn("hit", F.lit(True))
+        ids = part if ids is None else ids.unionByName(part)
+    met = values.join(ids, ["target", "v"], "left")
+    hit = F.col("hit").isNotNull()
+    some = met.groupBy("i").agg(
+        F.sum("n").alias("source_rows"),
+        F.count(F.lit(1)).alias("source_distinct"),
+        F.coalesce(F.sum(F.when(hit, F.col("n"))), F.lit(0)).alias("matched_rows"),
+        F.count(F.when(hit, 1)).alias("matched_distinct"),
+    )
+    first = met.where(~hit).withColumn("r", F.row_number().over(Window.partitionBy("i").orderBy("v"))).where("r <= 5")
+    sample = first.groupBy("i").agg(F.array_join(F.sort_array(F.collect_list("v")), ",").alias("unmatched_sample"))
+    table = ws[found[0][0].name].sparkSession.createDataFrame(facts, "i int, entity string, property string, target string, role string, weak boolean, blocked int, target_unique boolean")
+    row = some.join(F.broadcast(table), "i").join(sample, "i", "left").withColumn("unmatched_sample", F.coalesce("unmatched_sample", F.lit("")))  # a row for each candidate
+    reuse = F.col("source_rows") > F.col("source_distinct")
+    row = row.withColumn("blockers", F.col("blocked") + F.when(F.col("matched_distinct") < F.col("source_distinct"), 1).otherwise(0) + F.when(~reuse, 1).otherwise(0))
+    score = 0.40 + 0.35 * F.col("matched_rows") / F.col("source_rows") + F.when(F.col("target_unique"), 0.15).otherwise(0.02) + F.when(reuse, 0.10).otherwise(0.0) - 0.12 * F.col("blockers")
+    return row.select("entity", "property", "target", "role", "weak", "source_rows", "source_distinct", "matched_rows", "matched_distinct", "unmatched_sample", "blockers", _rounded(score).alias("score"))
+
+
 # diff and merge
 
 
@@ -163,11 +182,11 @@ def diff_rows(left: Workspace, right: Workspace) -> DataFrame:
 def diff_cells(left: Workspace, right: Workspace) -> DataFrame:
     """(side, entity, id, member, value) of members that differ in rows which both have: one aggregate, no join."""
     rows = lambda ws, bit: _all(ws, lambda n: ws[n].select(F.lit(n).alias("entity"), F.col("Id").alias("id"), F.lit(bit).alias("side"), F.array(*[F.struct(F.lit(c).alias("member"), F.col(c).alias("value")) for c in ws.model.entity(n).columns if c != "Id"]).alias("cells")))
-    both = rows(left, "left").union(rows(right, "right")).groupBy("entity", "id").agg(
-        F.flatten(F.collect_list(F.when(F.col("side") == "left", F.col("cells")))).alias("l"), F.flatten(F.collect_list(F.when(F.col("side") == "right", F.col("cells")))).alias("r"), F.countDistinct("side").alias("n")
-    )
-    part = lambda a, b, side: both.where("n = 2").select(F.lit(side).alias("side"), "entity", "id", F.explode(F.array_except(a, b)).alias("c")).select("side", "entity", "id", "c.*")
-    return part("l", "r", "left").union(part("r", "l", "right")).where(F.col("value").isNotNull())
+    of = lambda side: F.flatten(F.collect_list(F.when(F.col("side") == side, F.col("cells"))))
+    both = rows(left, "left").union(rows(right, "right")).groupBy("entity", "id").agg(of("left").alias("l"), of("right").alias("r"), F.min("side").alias("a"), F.max("side").alias("b"))
+    only = lambda side, x, y: F.transform(F.array_except(x, y), lambda c: F.struct(F.lit(side).alias("side"), c["member"].alias("member"), c["value"].alias("value")))
+    apart = both.where("a <> b").select("entity", "id", F.explode(F.concat(only("left", "l", "r"), only("right", "r", "l"))).alias("c"))
+    return apart.select("c.side", "entity", "id", "c.member", "c.value").where(F.col("value").isNotNull())
 
 
 def aligned(ws: Workspace, model: Model, entities: Mapping[str, str], members: Mapping[tuple[str, str], str]) -> Workspace:
@@ -197,6 +216,43 @@ def sync_plan(current: Workspace, desired: Workspace, entity: str) -> DataFrame:
     return both.select(F.explode(F.filter(F.array(*steps), lambda s: s.isNotNull())).alias("s")).select("s.*")
 
 
+def synchronized(current: Workspace, plan: DataFrame, entity: str) -> DataFrame:
+    """The records of an entity after the steps of a plan, as sync_plan() gives them."""
+    e = current.model.entity(entity)
+    step = lambda *names: plan.where(F.col("operation").isin(*names))
+    gone = step("DeleteRecord").select(F.upper("id").alias("_k"))
+    renamed = step("RenameRecord").select(F.upper("id").alias("_k"), F.col("value").alias("_new"))
+    old = current[e.name].withColumn("_k", F.upper("Id")).join(gone, "_k", "left_anti").join(renamed, "_k", "left")
+    old = old.select(F.coalesce("_new", "Id").alias("Id"), *e.columns[1:])
+    new = step("InsertRecord").select(F.col("id").alias("Id"), *[F.lit(None).cast("string").alias(c) for c in e.columns[1:]])
+    cells = step("SetProperty", "ClearProperty", "SetRelationship", "ClearRelationship").groupBy(F.upper("id").alias("_k")).agg(F.map_from_entries(F.collect_list(F.struct("member", "value"))).alias("_m"))
+    met = old.unionByName(new).withColumn("_k", F.upper("Id")).join(cells, "_k", "left")
+    given = lambda c: F.coalesce(F.map_contains_key("_m", F.lit(c)), F.lit(False))
+    return met.select("Id", *[F.when(given(c), F.col("_m")[c]).otherwise(F.col(c)).alias(c) for c in e.columns[1:]])
+
+
+def synchronize(current: Workspace, desired: Workspace) -> Workspace:
+    """current after the plans of all entities, those that others refer to first; faults where it is not desired then."""
+    order, cycle = dependency_order({e.name: [r.entity for r in e.relationships] for e in current.model.entities})
+    data = {n: synchronized(current, sync_plan(current, desired, n), n) for n in [*order, *cycle]}
+    for n in data:
+        want = desired[n].select(*current.model.entity(n).columns)
+        if not data[n].exceptAll(want).isEmpty() or not want.exceptAll(data[n]).isEmpty():
+            raise ValueError(f"SynchronizationVerificationFailed: {n}")
+    return Workspace(current.model, data)
+
+
+def record_levels(df: DataFrame, parent: str) -> DataFrame:
+    """(Id, level) of records that refer to others of their kind: 0 without a parent, then one more than the parent's.
+
+    The order in which records can be made; those on a cycle, or with a parent that isn't there, have no level.
+    """
+    keys = df.select("Id", F.upper("Id").alias("_k"), F.upper(F.col(parent)).alias("_p"))
+    top = keys.where(F.col("_p").isNull()).select("Id", "_k")
+    below = lambda t: t.select(F.col("_k").alias("_p")).join(keys, "_p").select("Id", "_k")
+    return recursive(top, below, level="level").select("Id", "level")
+
+
 def merge(target: Workspace, left: Workspace, right: Workspace) -> Workspace:
     """right's records under target's model, if target holds just what left does."""
     for e in left.model.entities:
@@ -251,7 +307,7 @@ def graph_stats(model: Model) -> dict[str, object]:
     for n in order:
         depth[n] = max((depth[t] + 1 for t in after[n]), default=0)
     reach = {n: _reach(after, n) for n in names}
-    loops = {frozenset(m for m in names if m in reach[n] and n in reach[m]) for n in names if n in reach[n]}
+    loops = sorted({tuple(sorted(m for m in names if m in reach[n] and n in reach[m])) for n in names if n in reach[n]})
     into, out = {t for _, t in edges}, {s for s, _ in edges}
     return {
         "entities": len(names),
@@ -262,7 +318,8 @@ def graph_stats(model: Model) -> dict[str, object]:
         "sinks": sorted(n for n in names if n not in out),
         "isolated": sorted(n for n in names if n not in into | out),
         "max_depth": None if cyclic else max(depth.values(), default=0),
-        "cycles": [sorted(x) for x in sorted(loops, key=sorted)],
+        "cycles": [list(x) for x in loops],
+        "cycle_samples": [_loop(after, x[0], set(x)) for x in loops],
         "average_in": len(edges) / len(names) if names else 0.0,
     }
 
@@ -278,6 +335,20 @@ def _reach(after: Mapping[str, list[str]], n: str) -> set[str]:
     return seen
 
 
+def _loop(after: Mapping[str, list[str]], start: str, among: set[str]) -> list[str]:
+    """A shortest path from start back to itself among some names, both ends included."""
+    paths, seen = [[start]], {start}
+    while paths:
+        path = paths.pop(0)
+        for n in sorted(after[path[-1]]):
+            if n == start:
+                return [*path, n]
+            if n in among and n not in seen:
+                seen.add(n)
+                paths.append([*path, n])
+    return []
+
+
 def inbound(model: Model, entity: str, limit: int = 50) -> list[tuple[str, str]]:
     """(entity, column) of relationships to an entity, sorted."""
     return sorted(((s, c) for s, t, c, _ in model.edges() if t.upper() == entity.upper()), key=lambda x: (x[0].upper(), x[1].upper()))[:limit]

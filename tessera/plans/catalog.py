@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,8 +13,9 @@ from ..model import Entity, Model, Property, Relationship, Workspace
 from ..operators import operations as O
 from ..operators import relational as R
 from ..operators import services as V
+from ..session import shared_folder
 from ..sources import files
-from ..sources.tables import as_text, star
+from ..sources.tables import as_text, first_difference, star
 from .direction import Direction
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -103,9 +105,9 @@ def not_in_null(spark, sf):
     return fixture(spark).where(~S.within(F.col("Kind"), ["k1", None])).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT CAST(p_partkey AS VARCHAR) AS Id, p_type AS Type FROM part WHERE p_type ILIKE '%s_e%'")
+@query("SELECT CAST(p_partkey AS VARCHAR) AS Id, p_type AS Type FROM part WHERE p_type ILIKE '%m_l%' OR p_type ILIKE 's%d'")
 def like_percent(spark, sf):
-    return star(spark, sf)["Part"].where(S.like("Type", "%S_E%")).select("Id", "Type")
+    return star(spark, sf)["Part"].where(S.like("Type", "%M_L%") | S.like("Type", "S%d")).select("Id", "Type")
 
 
 @query("SELECT CAST(n_nationkey AS VARCHAR) AS Id, n_name AS Name FROM nation WHERE regexp_matches(n_name, '(?is)^[a-c][^r].*$') OR regexp_matches(n_name, '(?is)^.*[0-4]$')")
@@ -345,9 +347,9 @@ def is_blank(spark, sf):
     return pieces(spark).select("n", S.is_blank("t").alias("blank"))
 
 
-@query("SELECT CAST(p_partkey AS VARCHAR) AS Id, regexp_replace(p_type, 'steel', '$x', 'gi') AS t FROM part")
+@query("SELECT CAST(p_partkey AS VARCHAR) AS Id, regexp_replace(p_type, 'ard', '$x', 'gi') AS t FROM part")
 def replace_ci(spark, sf):
-    return star(spark, sf)["Part"].select("Id", S.replace("Type", "steel", "$x").alias("t"))
+    return star(spark, sf)["Part"].select("Id", S.replace("Type", "ard", "$x").alias("t"))
 
 
 @query("SELECT CAST(p_partkey AS VARCHAR) AS Id, substr(p_name, 1, 2) AS a, substr(p_name, 1, 1) AS b, substr(p_name, 3, 4) AS c, '' AS d FROM part")
@@ -421,12 +423,28 @@ def direction_target(spark, sf):
 # record services
 
 
-@query("SELECT CAST(p_partkey AS VARCHAR) AS Id, p_name AS Name, (SELECT count(*) FROM part WHERE contains(upper(p_type), 'STEEL') AND upper(p_brand) = 'BRAND#11') AS total FROM part WHERE contains(upper(p_type), 'STEEL') AND upper(p_brand) = 'BRAND#11' ORDER BY CAST(p_partkey AS VARCHAR) LIMIT 200")
+_STANDARD = "FROM part WHERE contains(upper(p_type), 'DARD') AND upper(p_brand) = 'BRAND#12'"
+
+
+@query(f"SELECT CAST(p_partkey AS VARCHAR) AS Id, p_name AS Name, (SELECT count(*) {_STANDARD}) AS total {_STANDARD} ORDER BY CAST(p_partkey AS VARCHAR) LIMIT 200")
 def record_query_contains(spark, sf):
-    total, rows = V.query_records(star(spark, sf)["Part"], [("Type", "Contains", "steel"), ("Brand", "Equal", "brand#11")])
+    total, rows = V.query_records(star(spark, sf)["Part"], [("type", "Contains", "dard"), ("Brand", "Equal", "brand#12")])
     return rows.select("Id", "Name", F.lit(total).cast("long").alias("total"))
 
 
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS Id, (SELECT count(*) FROM orders WHERE o_custkey = 7) AS total FROM orders WHERE o_custkey = 7 ORDER BY CAST(o_orderkey AS VARCHAR) LIMIT 3")
+def record_query_role(spark, sf):
+    """A relationship named by its role."""
+    total, rows = V.query_records(star(spark, sf)["Order"], [("customer", "Equal", "7")], 3)
+    return rows.select("Id", F.lit(total).cast("long").alias("total"))
+
+
+@query("SELECT (SELECT count(*) FROM customer) AS n, c_name AS name FROM customer WHERE c_custkey = 12")
+def count_and_point_read(spark, sf):
+    c = star(spark, sf)["Customer"]
+    return c.where(S.equal(F.col("Id"), "12")).select(F.col("Name").alias("name")).crossJoin(c.agg(F.count(F.lit(1)).alias("n")))  # one row by one row
+
+
 @query("SELECT CAST(c_custkey AS VARCHAR) AS Id FROM customer ORDER BY CAST(c_custkey AS VARCHAR) LIMIT 10 OFFSET (SELECT count(*) - 10 FROM customer)")
 def page_window(spark, sf):
     return V.page(star(spark, sf)["Customer"], 10**9, 10).select("Id")
@@ -520,9 +538,70 @@ def aligned_diff(spark, sf):
     return V.diff_cells(view(left), view(right)).select("side", "id", "member", "value")
 
 
-@query("SELECT CASE WHEN c_custkey % 9 = 0 THEN 'DeleteRecord' WHEN c_custkey % 7 = 0 THEN 'InsertRecord' END AS operation, count(*) AS n FROM customer WHERE (c_custkey % 7 = 0) <> (c_custkey % 9 = 0) GROUP BY 1 UNION ALL SELECT 'ClearProperty', count(*) " + _BOTH + " AND c_custkey % 11 = 0 UNION ALL SELECT 'SetProperty', (SELECT count(*) " + _BOTH + " AND c_custkey % 5 = 0) + (SELECT count(*) * 1 + count(CASE WHEN c_custkey % 11 <> 0 THEN 1 END) FROM customer WHERE c_custkey % 7 = 0 AND c_custkey % 9 <> 0)")
+_NEW = "FROM customer WHERE c_custkey % 7 = 0 AND c_custkey % 9 <> 0"
+
+
+@query(
+    "SELECT 'DeleteRecord' AS operation, CAST(c_custkey AS VARCHAR) AS id, NULL AS member, NULL AS value FROM customer WHERE c_custkey % 7 <> 0 AND c_custkey % 9 = 0"
+    f" UNION ALL SELECT 'InsertRecord', CAST(c_custkey AS VARCHAR), NULL, NULL {_NEW} UNION ALL SELECT 'SetProperty', CAST(c_custkey AS VARCHAR), 'Name', c_name {_NEW} AND c_custkey % 11 <> 0"
+    f" UNION ALL SELECT 'SetProperty', CAST(c_custkey AS VARCHAR), 'Segment', CASE WHEN c_custkey % 5 = 0 THEN 'NEW' ELSE c_mktsegment END {_NEW}"
+    f" UNION ALL SELECT 'SetProperty', CAST(c_custkey AS VARCHAR), 'Segment', 'NEW' {_BOTH} AND c_custkey % 5 = 0 UNION ALL SELECT 'ClearProperty', CAST(c_custkey AS VARCHAR), 'Name', NULL {_BOTH} AND c_custkey % 11 = 0"
+)
 def sync_plan(spark, sf):
-    return V.sync_plan(*_two(spark, sf), "Customer").groupBy("operation").agg(F.count(F.lit(1)).alias("n"))
+    return V.sync_plan(*_two(spark, sf), "Customer").select("operation", "id", "member", "value")
+
+
+_RIGHT = "SELECT CAST(c_custkey AS VARCHAR) AS Id, CASE WHEN c_custkey % 11 <> 0 THEN c_name END AS Name, CASE WHEN c_custkey % 5 = 0 THEN 'NEW' ELSE c_mktsegment END AS Segment FROM customer WHERE c_custkey % 9 <> 0"
+
+
+@query(_RIGHT)
+def sync_plan_applied(spark, sf):
+    """What the plan makes of the one workspace is the other."""
+    left, right = _two(spark, sf)
+    return V.synchronized(left, V.sync_plan(left, right, "Customer"), "Customer")
+
+
+@query(_RIGHT)
+def instance_merge(spark, sf):
+    left, right = _two(spark, sf)
+    return V.merge(left, left, right)["Customer"].select("Id", "Name", "Segment")
+
+
+@query("SELECT 'Customer' AS entity, CAST(c_custkey AS VARCHAR) AS id, CASE WHEN c_custkey % 7 = 0 OR c_custkey % 9 = 0 THEN 'Id' WHEN c_custkey % 11 = 0 THEN 'Name' ELSE 'Segment' END AS member FROM customer WHERE ((c_custkey % 7 = 0) <> (c_custkey % 9 = 0) OR (c_custkey % 7 <> 0 AND c_custkey % 9 <> 0 AND (c_custkey % 5 = 0 OR c_custkey % 11 = 0))) ORDER BY id LIMIT 1")
+def workspace_difference(spark, sf):
+    """The first cell in which two workspaces differ."""
+    return first_difference(*_two(spark, sf)).select("entity", "id", "member")
+
+
+@query("WITH RECURSIVE t AS (SELECT n_nationkey AS k, CAST(0 AS BIGINT) AS level FROM nation WHERE n_nationkey = 0 UNION ALL SELECT n_nationkey, level + 1 FROM t JOIN nation ON n_nationkey > 0 AND (n_nationkey - 1) // 3 = k) SELECT CAST(k AS VARCHAR) AS Id, level FROM t")
+def record_order(spark, sf):
+    """The order in which records of a tree can be made."""
+    n = star(spark, sf)["Nation"].select("Id", F.when(F.col("Id") != "0", F.floor((S.to_int("Id") - 1) / 3).cast("string")).alias("ParentId"))
+    return V.record_levels(n, "ParentId")
+
+
+# files
+
+
+def _geography(spark, sf) -> Workspace:
+    ws = star(spark, sf)
+    return Workspace(Model("Geo", tuple(ws.model.entity(n) for n in ("Region", "Nation"))), {n: ws[n] for n in ("Region", "Nation")})
+
+
+@query("SELECT CAST(n_nationkey AS VARCHAR) AS Id, n_name AS Name, CAST(n_regionkey AS VARCHAR) AS RegionId FROM nation")
+def xml_round_trip(spark, sf):
+    """A workspace published as XML, model and records, and read again."""
+    version = files.publish_xml(_geography(spark, sf), f"{shared_folder(spark)}/xml-{uuid.uuid4().hex}")
+    return files.read_published(spark, version)["Nation"]
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS Id, c_name AS Name, c_mktsegment AS Segment, CAST(c_nationkey AS VARCHAR) AS NationId FROM customer")
+def csv_round_trip(spark, sf):
+    """An entity exported as CSV, read again and imported."""
+    path = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}"
+    files.export_csv(star(spark, sf), "Customer", path)
+    entity, rows = files.import_csv(files.read_csv(spark, path), "Customer")
+    return rows.select("Id", "Name", "Segment", "NationId") if all(p.required for p in entity.properties) else rows
 
 
 @query("SELECT 'Nation' AS entity, count(*) AS n FROM nation UNION ALL SELECT 'Region', count(*) FROM region UNION ALL SELECT 'Person', count(*) FROM customer WHERE c_custkey % 7 <> 0")
@@ -576,23 +655,82 @@ def instance_validation(spark, sf):
     return Workspace(model, {"Customer": ws["Customer"].select("Id", "Name"), "Order": orders}).issues().select("code", "member", "id")
 
 
+# model operations
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS Id, c_name AS Title, CASE WHEN c_custkey = 5 THEN 'changed' ELSE 'none' END AS Remark, CASE WHEN c_custkey = 5 THEN '3' ELSE CAST(c_nationkey AS VARCHAR) END AS HomeId FROM customer WHERE c_custkey <> 9")
+def model_operations(spark, sf):
+    """Entities, properties and relationships renamed, added and removed; the rows follow."""
+    ws = star(spark, sf)
+    names = ("Region", "Nation", "Customer")
+    some = Workspace(Model("Geo", tuple(ws.model.entity(n) for n in names)), {n: ws[n] for n in names})
+    steps = [
+        O.rename_entity("Customer", "Person"),
+        O.rename_property("Person", "Name", "Title"),
+        O.remove_property("Person", "Segment"),
+        O.add_property("Person", Property("Remark"), "none"),
+        O.set_property("Person", "5", "Remark", "changed"),
+        O.rename_relationship("Person", "NationId", "Home"),
+        O.set_relationship("Person", "5", "HomeId", "3"),
+        O.delete_record("Person", "9"),
+    ]
+    return O.execute(some, steps, batch=True)["Person"].select("Id", "Title", "Remark", "HomeId")
+
+
+@query("SELECT CAST(n_nationkey AS VARCHAR) AS Id, CASE WHEN n_regionkey = 4 THEN 'new' ELSE CAST(n_regionkey AS VARCHAR) END AS RegionId FROM nation")
+def batch_operations(spark, sf):
+    """A batch passes through states that would fault one by one: the region goes before its nations have another."""
+    ws = _geography(spark, sf)
+    moved = [O.set_relationship("Nation", str(i), "RegionId", "new") for i in range(25) if i % 5 == 4]
+    return O.execute(ws, [O.delete_record("Region", "4"), *moved, O.insert_record("Region", "new", Name="New")], batch=True)["Nation"].select("Id", "RegionId")
+
+
 # graph and search
 
 
-@query("SELECT * FROM (VALUES ('Region', CAST(1 AS BIGINT), CAST(0 AS BIGINT)), ('Nation', 2, 1), ('Customer', 1, 1), ('Supplier', 1, 1), ('Part', 1, 0), ('Order', 1, 1), ('Line', 0, 3), ('Event', 0, 0)) AS v(entity, in_degree, out_degree)")
+_ENTITIES = "(VALUES ('Region'), ('Nation'), ('Customer'), ('Supplier'), ('Part'), ('Order'), ('Line'), ('Event')) AS n(x)"
+_EDGES = "(VALUES ('Nation', 'Region'), ('Customer', 'Nation'), ('Supplier', 'Nation'), ('Order', 'Customer'), ('Line', 'Order'), ('Line', 'Part'), ('Line', 'Supplier')) AS e(s, t)"
+_DEGREES = f"SELECT x AS entity, (SELECT count(DISTINCT s) FROM {_EDGES} WHERE t = x) AS in_degree, (SELECT count(DISTINCT t) FROM {_EDGES} WHERE s = x) AS out_degree FROM {_ENTITIES}"
+
+
+@query(_DEGREES)
 def graph_degree(spark, sf):
     return V.degrees(spark, star(spark, sf).model)
 
 
-@query("SELECT CAST(8 AS BIGINT) AS entities, CAST(7 AS BIGINT) AS edges, CAST(2 AS BIGINT) AS components, CAST(4 AS BIGINT) AS max_depth, 'Event,Line' AS roots, 'Event,Part,Region' AS sinks")
+@query(f"SELECT * FROM ({_DEGREES}) ORDER BY out_degree DESC, upper(entity) LIMIT 3")
+def graph_top_degrees(spark, sf):
+    return V.top_degrees(spark, star(spark, sf).model, "out_degree", 3)
+
+
+@query(f"SELECT s AS entity, t || 'Id' AS member FROM {_EDGES} WHERE t = 'Nation' ORDER BY upper(s)")
+def graph_inbound(spark, sf):
+    return spark.createDataFrame(V.inbound(star(spark, sf).model, "nation"), "entity string, member string")
+
+
+@query(
+    f"""WITH RECURSIVE e AS (SELECT * FROM {_EDGES}), n AS (SELECT * FROM {_ENTITIES}), both_ways AS (SELECT s, t FROM e UNION SELECT t, s FROM e),
+walk AS (SELECT s, t, CAST(1 AS BIGINT) AS d FROM e UNION ALL SELECT w.s, e.t, d + 1 FROM walk w JOIN e ON w.t = e.s),
+reach AS (SELECT x AS a, x AS b FROM n UNION SELECT r.a, t FROM reach r JOIN both_ways ON r.b = s)
+SELECT (SELECT count(*) FROM n) AS entities, (SELECT count(*) FROM e) AS edges, (SELECT count(DISTINCT least) FROM (SELECT min(b) AS least FROM reach GROUP BY a)) AS components, (SELECT max(d) FROM walk) AS max_depth,
+(SELECT string_agg(x, ',' ORDER BY x) FROM n WHERE x NOT IN (SELECT t FROM e)) AS roots, (SELECT string_agg(x, ',' ORDER BY x) FROM n WHERE x NOT IN (SELECT s FROM e)) AS sinks"""
+)
 def graph_measures(spark, sf):
     g = V.graph_stats(star(spark, sf).model)
     return spark.createDataFrame([(g["entities"], g["edges"], g["components"], g["max_depth"], ",".join(g["roots"]), ",".join(g["sinks"]))], "entities long, edges long, components long, max_depth long, roots string, sinks string")
 
 
-@query("SELECT Id, Name, CAST(CASE WHEN upper(Name) = 'AN' THEN 0 WHEN starts_with(upper(Name), 'AN') THEN 1 ELSE 2 END AS INTEGER) AS rank FROM (SELECT CAST(n_nationkey AS VARCHAR) AS Id, n_name AS Name FROM nation) WHERE contains(upper(Name), 'AN') ORDER BY rank, upper(Name), Name LIMIT 25")
+@query("WITH RECURSIVE e AS (SELECT * FROM (VALUES ('A', 'B'), ('B', 'C'), ('C', 'A'), ('C', 'D'), ('D', 'D')) AS v(s, t)), p AS (SELECT s AS origin, t AS place, s || '>' || t AS path FROM e UNION ALL SELECT p.origin, e.t, path || '>' || e.t FROM p JOIN e ON p.place = e.s WHERE p.place <> p.origin AND length(path) < 12) SELECT min(path) AS sample FROM p WHERE origin = place AND origin IN ('A', 'D') GROUP BY origin")
+def graph_cycle_samples(spark, sf):
+    """A shortest path around each cycle of a model with two."""
+    link = lambda *names: tuple(Relationship(n, required=False) for n in names)
+    model = Model("Loops", (Entity("A", (), link("B")), Entity("B", (), link("C")), Entity("C", (), link("A", "D")), Entity("D", (), (Relationship("D", "Parent", False),))))
+    return spark.createDataFrame([(">".join(x),) for x in V.graph_stats(model)["cycle_samples"]], "sample string")
+
+
+@query("SELECT Id, Name, CAST(CASE WHEN upper(Name) = 'NATION_1' THEN 0 WHEN starts_with(upper(Name), 'NATION_1') THEN 1 ELSE 2 END AS INTEGER) AS rank FROM (SELECT CAST(n_nationkey AS VARCHAR) AS Id, n_name AS Name FROM nation) WHERE contains(upper(Name), 'NATION_1') ORDER BY rank, upper(Name), Name LIMIT 25")
 def ranked_search(spark, sf):
-    return V.search(star(spark, sf)["Nation"].select("Id", "Name"), "an", "Name")
+    return V.search(star(spark, sf)["Nation"].select("Id", "Name"), "nation_1", "Name")
 
 
 @query("SELECT c_mktsegment AS segment, CAST(row_number() OVER (ORDER BY count(*) DESC, c_mktsegment) AS BIGINT) AS rank, count(*) AS orders, string_agg(DISTINCT o_orderstatus, ',' ORDER BY o_orderstatus) AS statuses, count(CASE WHEN o_orderpriority LIKE '1-%' THEN 1 END) AS urgent FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_mktsegment")

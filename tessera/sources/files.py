@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Sequence
 from xml.etree import ElementTree
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..model import ID_PATTERN, Entity, Model, Property, Relationship, Workspace
+from ..session import shared_folder
 
 
 class ImportFault(ValueError):
@@ -76,6 +78,21 @@ def export_csv(ws: Workspace, entity: str, path: str) -> None:
     ws[e.name].select(*columns).orderBy("Id").write.mode("overwrite").options(header=True, quote='"', escape='"', emptyValue="").csv(path)
 
 
+def _numbered(rows: DataFrame, order: str) -> DataFrame | None:
+    """rows with _n, their number from 1 by order; None for no rows. Each task numbers its range; only the ranges' sizes are gathered."""
+    spark = rows.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+    # checkpointed, as ranges are sampled anew each time
+    at = rows.repartitionByRange(order).sortWithinPartitions(order).withColumn("_m", F.monotonically_increasing_id()).checkpoint()
+    sizes = sorted(at.groupBy(F.shiftright("_m", 33).alias("p")).agg(F.count(F.lit(1)).alias("n")).collect())
+    if not sizes:
+        return None
+    before = [(p, sum(n for _, n in sizes[:i])) for i, (p, _) in enumerate(sizes)]
+    offsets = spark.createDataFrame(before, "_p long, _before long")
+    return at.withColumn("_p", F.shiftright("_m", 33)).join(F.broadcast(offsets), "_p").withColumn("_n", F.col("_before") + F.col("_m").bitwiseAND((1 << 33) - 1) + 1).drop("_m", "_p", "_before")
+
+
 def upsert(existing: DataFrame, incoming: DataFrame, order: str, key: Sequence[str] = ()) -> DataFrame:
     """existing with incoming's cells put in; incoming has a column order, its rows' place.
 
@@ -88,9 +105,11 @@ def upsert(existing: DataFrame, incoming: DataFrame, order: str, key: Sequence[s
         side = existing.groupBy(*[F.upper(c).alias(f"_k{i}") for i, c in enumerate(key)]).agg(F.count(F.lit(1)).alias("_n"), F.min("Id").alias("_id"))
         rows = rows.drop("Id").join(side, [F.upper(rows[c]) == side[f"_k{i}"] for i, c in enumerate(key)], "left")
         rows = rows.withColumn("Id", F.when(F.col("_n") > 1, F.raise_error(F.lit("fault:UpsertKeyAmbiguous")).cast("string")).otherwise(F.col("_id"))).drop("_n", "_id", *[f"_k{i}" for i in range(len(key))])
-    top = existing.agg(F.coalesce(F.max(F.col("Id").try_cast("long")), F.lit(0)).alias("_top"))
-    free = F.row_number().over(Window.partitionBy(F.col("Id").isNull()).orderBy(order))
-    rows = rows.crossJoin(F.broadcast(top)).withColumn("Id", F.coalesce("Id", (F.col("_top") + free).cast("string"))).drop("_top")
+    fresh = _numbered(rows.where(F.col("Id").isNull()), order)
+    if fresh is not None:
+        top = existing.agg(F.coalesce(F.max(F.col("Id").try_cast("long")), F.lit(0)).alias("_top"))  # one row
+        fresh = fresh.crossJoin(F.broadcast(top)).withColumn("Id", (F.col("_top") + F.col("_n")).cast("string")).drop("_top", "_n")
+        rows = rows.where(F.col("Id").isNotNull()).unionByName(fresh)
     given = [c for c in members if c in rows.columns]
     last = rows.groupBy(F.upper("Id").alias("_k")).agg(F.min_by("Id", order).alias("_new"), *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(f"_b_{c}") for c in given])
     both = existing.withColumn("_k", F.upper("Id")).join(last, "_k", "full_outer")
@@ -111,6 +130,44 @@ def read_model(xml: str) -> Model:
     return Model(root.get("name"), tuple(entities))
 
 
+def model_xml(model: Model) -> str:
+    """The XML text of a model, as read_model() takes it; members in the model's order."""
+    root = ElementTree.Element("Model", name=model.name)
+    entities = ElementTree.SubElement(root, "Entities")
+    for e in model.entities:
+        at = ElementTree.SubElement(entities, "Entity", name=e.name)
+        for kind, members in (("Property", e.properties), ("Relationship", e.relationships)):
+            group = ElementTree.SubElement(at, "Properties" if kind == "Property" else "Relationships") if members else None
+            for m in members:
+                names = {"name": m.name} if kind == "Property" else {"entity": m.entity} | ({"role": m.role} if m.role else {})
+                ElementTree.SubElement(group, kind, **names, **({} if m.required else {"isRequired": "false"}))
+    return ElementTree.tostring(root, encoding="unicode")
+
+
+def publish_xml(ws: Workspace, path: str) -> str:
+    """A new version of a workspace under path: its model and its records; gives the version's path.
+
+    Records are written first, then the model; _SUCCESS beside it comes last, so read_published() sees whole versions
+    only, and an earlier one stays until the new one is there.
+    """
+    spark = next(iter(ws.data.values())).sparkSession
+    version = f"{path.rstrip('/')}/{uuid.uuid4().hex}"
+    write_xml(ws, f"{version}/records")
+    spark.createDataFrame([(ws.model.signature(),)], "signature string").coalesce(1).write.text(f"{version}/contract")
+    spark.createDataFrame([(model_xml(ws.model),)], "xml string").coalesce(1).write.text(f"{version}/model")
+    return version
+
+
+def read_published(spark: SparkSession, version: str) -> Workspace:
+    """A version that publish_xml() gave; faults where the model's contract is not the one that was written."""
+    model = read_model("\n".join(r.value for r in spark.read.text(f"{version}/model", wholetext=True).collect()))
+    (contract,) = spark.read.text(f"{version}/contract").collect()
+    if contract.value != model.signature():
+        raise ImportFault(f"ModelContractMismatch: {model.name}")
+    data = {e.name: read_xml(spark, Model(model.name, (e,)), f"{version}/records/{e.name}")[e.name] for e in model.entities}
+    return Workspace(model, data)
+
+
 def read_xml(spark: SparkSession, model: Model, path: str) -> Workspace:
     """Records from instance files: an element for each, ids and references as attributes, properties as child elements."""
     data = {}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -76,6 +77,11 @@ def to_parquet(ws: Workspace, path: str) -> None:
         ws[e.name].select(*e.columns).write.mode("overwrite").parquet(f"{path}/{e.name}")
 
 
+def _name(*parts: str) -> str:
+    """A name in standard SQL's quotes, with the schema if there is one."""
+    return ".".join('"' + p.replace('"', '""') + '"' for p in parts if p)
+
+
 def from_jdbc(spark: SparkSession, model: Model, url: str, schema: str = "dbo", split: dict[str, tuple[str, int, int, int]] | None = None, **options: str) -> Workspace:
     """One table an entity; filters, column choices, limits and counts are pushed to the database.
 
@@ -84,7 +90,7 @@ def from_jdbc(spark: SparkSession, model: Model, url: str, schema: str = "dbo",
     """
 
     def read(e: Entity) -> DataFrame:
-        reader = spark.read.format("jdbc").options(url=url, dbtable=f"{schema}.{e.name}" if schema else e.name, **options)
+        reader = spark.read.format("jdbc").options(url=url, dbtable=_name(schema, e.name), **options)
         if split and e.name in split:
             column, low, high, parts = split[e.name]
             reader = reader.options(partitionColumn=column, lowerBound=low, upperBound=high, numPartitions=parts)
@@ -106,21 +112,21 @@ def bounded_jdbc(spark: SparkSession, url: str, entity: Entity, conditions: Sequ
             raise ValueError(f"RecordQueryFieldNotFound: {name}")
         if op not in ("Equal", "Contains"):
             raise ValueError(f"RecordQueryOperatorInvalid: {op}")
-        quoted = "'" + value.replace("'", "''") + "'"
-        key = f"UPPER(COALESCE({known[name.upper()]}, ''))"
-        tests.append(f"{key} = UPPER({quoted})" if op == "Equal" else f"POSITION(UPPER({quoted}) IN {key}) > 0")
+        key, plain = f"UPPER(COALESCE({_name(known[name.upper()])}, ''))", value.replace("'", "''")
+        like = re.sub(r"([%_!\[])", r"!\1", plain)
+        tests.append(f"{key} = UPPER('{plain}')" if op == "Equal" else f"{key} LIKE UPPER('%{like}%') ESCAPE '!'")
     where = " WHERE " + " AND ".join(tests) if tests else ""
-    table = f"{schema}.{entity.name}" if schema else entity.name
+    table, key = _name(schema, entity.name), _name("Id")
     ask = lambda sql: spark.read.format("jdbc").options(url=url, query=sql, **options).load()
     total = ask(f"SELECT COUNT(*) AS n FROM {table}{where}").first()[0]
-    rows = ask(f"SELECT {', '.join(entity.columns)} FROM {table}{where} ORDER BY UPPER(Id), Id FETCH FIRST {int(limit)} ROWS ONLY")
+    rows = ask(f"SELECT {', '.join(map(_name, entity.columns))} FROM {table}{where} ORDER BY UPPER({key}), {key} OFFSET 0 ROWS FETCH NEXT {int(limit)} ROWS ONLY")
     return total, rows.toDF(*entity.columns)
 
 
 def to_jdbc(ws: Workspace, url: str, schema: str = "dbo", mode: str = "append", verify: bool = True, **options: str) -> None:
     """One table an entity. verify reads what was written back and faults where rows are missing or differ."""
     for e in ws.model.entities:
-        table, rows = f"{schema}.{e.name}" if schema else e.name, ws[e.name].select(*e.columns)
+        table, rows = _name(schema, e.name), ws[e.name].select(*e.columns)
         rows.write.format("jdbc").options(url=url, dbtable=table, **options).mode(mode).save()
         if verify:
             back = ws[e.name].sparkSession.read.format("jdbc").options(url=url, dbtable=table, **options).load().toDF(*e.columns)

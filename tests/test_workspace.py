@@ -181,3 +181,78 @@ def test_stream(spark, tmp_path):
 def test_combine_keeps_both(spark):
     other = Workspace(Model("N", (Entity("Third"),)), {"Third": spark.createDataFrame([("t",)], "Id string")})
     assert {e.name for e in V.combine("B", [workspace(spark), other]).model.entities} == {"Group", "Item", "Third"}
+
+
+def test_synchronize_reaches_what_is_desired(spark):
+    left = workspace(spark)
+    right = O.set_property("Item", "i1", "Note", "new")(O.delete_record("Item", "i2")(O.insert_record("Item", "i3", Name="z", GroupId="g1")(left)))
+    out = V.synchronize(left, right)
+    assert rows(out["Item"].select("Id", "Note", "GroupId")) == rows(right["Item"].select("Id", "Note", "GroupId"))
+    assert rows(V.synchronize(right, left)["Item"]) == rows(left["Item"].select(*MODEL.entity("Item").columns))
+    renamed = left.with_data("Item", left["Item"].withColumn("Id", F.upper("Id")))
+    assert {r.operation for r in V.sync_plan(left, renamed, "Item").collect()} == {"RenameRecord"}
+    assert rows(V.synchronize(left, renamed)["Item"]) == rows(renamed["Item"])
+
+
+def test_first_difference(spark):
+    left = workspace(spark)
+    assert tables.first_difference(left, left).isEmpty()
+    right = O.set_property("Item", "i2", "Note", "changed")(O.set_property("Item", "i2", "Name", "other")(left))
+    assert rows(tables.first_difference(left, right)) == [("Item", "i2", "Name", "y", "other")]
+    fewer = O.delete_record("Item", "i1")(left)
+    assert rows(tables.first_difference(left, fewer)) == [("Item", "i1", "Id", "i1", None)]
+
+
+def test_record_levels(spark):
+    df = spark.createDataFrame([("root", None), ("A", "ROOT"), ("b", "a"), ("x", "y"), ("y", "x"), ("z", "gone")], "Id string, ParentId string")
+    assert rows(V.record_levels(df, "ParentId")) == [("A", 1), ("b", 2), ("root", 0)]
+
+
+def test_cycle_samples_and_roles():
+    loop = Model("L", (Entity("A", (), (Relationship("B", required=False),)), Entity("B", (), (Relationship("C", required=False), Relationship("A", required=False))), Entity("C", (), (Relationship("A", required=False),)), Entity("S", (), (Relationship("S", "Parent", False),))))
+    g = V.graph_stats(loop)
+    assert g["cycles"] == [["A", "B", "C"], ["S"]] and g["cycle_samples"] == [["A", "B", "A"], ["S", "S"]]
+
+
+def test_query_by_role(spark):
+    n, found = V.query_records(workspace(spark)["Item"], [("group", "Equal", "G2"), ("name", "Contains", "Y")])
+    assert (n, rows(found.select("Id"))) == (1, [("i2",)])
+
+
+def test_numbers_of_new_records_follow_the_order(spark):
+    old = spark.createDataFrame([("7", "a"), ("x", "b")], "Id string, Name string")
+    new = spark.range(0, 500, 1, 9).select(F.when(F.col("id") == 3, "x").alias("Id"), F.concat(F.lit("n"), F.col("id")).alias("Name"), (1000 - F.col("id")).alias("ord"))
+    got = {r.Id: r.Name for r in files.upsert(old, new, "ord").collect()}
+    want = {"7": "a", "x": "n3"} | {str(8 + k): f"n{i}" for k, i in enumerate(i for i in range(499, -1, -1) if i != 3)}
+    assert got == want
+
+
+def test_published_versions(spark, tmp_path):
+    ws = workspace(spark)
+    assert files.read_model(files.model_xml(MODEL)) == MODEL
+    version = files.publish_xml(ws, str(tmp_path / "pub"))
+    back = files.read_published(spark, version)
+    assert back.model == MODEL and all(rows(back[e.name]) == rows(ws[e.name]) for e in MODEL.entities)
+    spark.createDataFrame([("other",)], "s string").coalesce(1).write.mode("overwrite").text(f"{version}/contract")
+    with pytest.raises(files.ImportFault, match="ModelContractMismatch"):
+        files.read_published(spark, version)
+
+
+def test_jdbc(spark):
+    """A database in memory: write and verify, read in parts, and a query that the database answers."""
+    url = "jdbc:derby:memory:records;create=true"
+    driver = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    ws = workspace(spark, [{"Id": str(i), "Name": f"It's {i}%", "Note": "" if i % 2 else "n", "GroupId": "g1"} for i in range(1, 31)])
+    try:
+        spark._jvm.java.lang.Class.forName(driver["driver"])
+        statement = spark._jvm.java.sql.DriverManager.getConnection(url).createStatement()
+    except Exception:
+        pytest.skip("no database driver here")
+    for e in MODEL.entities:
+        statement.execute(f'CREATE TABLE "{e.name}" (' + ", ".join(f'"{c}" VARCHAR(99)' for c in e.columns) + ")")
+    tables.to_jdbc(ws, url, schema="", **driver)
+    back = tables.from_jdbc(spark, MODEL, url, schema="", **driver)
+    assert all(rows(back[e.name]) == rows(ws[e.name]) for e in MODEL.entities)
+    n, found = tables.bounded_jdbc(spark, url, MODEL.entity("Item"), [("Name", "Contains", "'S 1"), ("group", "Equal", "G1"), ("Note", "Equal", "")], 3, schema="", **driver)
+    assert n == 6 and [r.Id for r in found.collect()] == ["1", "11", "13"] and found.columns == MODEL.entity("Item").columns
+    assert tables.bounded_jdbc(spark, url, MODEL.entity("Item"), [("Name", "Contains", "3%")], 9, schema="", **driver)[0] == 3
