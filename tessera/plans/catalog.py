@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..model import Entity, Model, Property, Relationship, Workspace
+from ..operators import diffs as D
 from ..operators import operations as O
 from ..operators import relational as R
 from ..operators import services as V
@@ -538,6 +539,24 @@ def aligned_diff(spark, sf):
     return V.diff_cells(view(left), view(right)).select("side", "id", "member", "value")
 
 
+@query(
+    f"SELECT 'ModelLeftPropertyInstanceNotInRight' AS entity, 'Customer:' || CAST(c_custkey AS VARCHAR) || ':Segment' AS Id, c_mktsegment AS value {_BOTH} AND c_custkey % 5 = 0"
+    f" UNION ALL SELECT 'ModelLeftPropertyInstanceNotInRight', 'Customer:' || CAST(c_custkey AS VARCHAR) || ':Name', c_name {_BOTH} AND c_custkey % 11 = 0"
+    f" UNION ALL SELECT 'ModelRightPropertyInstanceNotInLeft', 'Customer:' || CAST(c_custkey AS VARCHAR) || ':Segment', 'NEW' {_BOTH} AND c_custkey % 5 = 0"
+    " UNION ALL SELECT CASE WHEN c_custkey % 9 = 0 THEN 'ModelLeftEntityInstanceNotInRight' ELSE 'ModelRightEntityInstanceNotInLeft' END, 'Customer:' || CAST(c_custkey AS VARCHAR), NULL FROM customer WHERE (c_custkey % 7 = 0) <> (c_custkey % 9 = 0)"
+)
+def diff_workspace(spark, sf):
+    """What a diff stored as a workspace says that the sides lack, with the values of cells."""
+    ws, out = D.equal_diff(*_two(spark, sf)), None
+    for side, other in (("Left", "Right"), ("Right", "Left")):
+        rows = ws[f"Model{side}EntityInstanceNotIn{other}"].select("Id", F.lit(None).cast("string").alias("value"), F.lit(f"Model{side}EntityInstanceNotIn{other}").alias("entity"))
+        values = ws[f"Model{side}PropertyInstance"].select("Id", F.col("Value").alias("value"))
+        cells = ws[f"Model{side}PropertyInstanceNotIn{other}"].select("Id").join(values, "Id").withColumn("entity", F.lit(f"Model{side}PropertyInstanceNotIn{other}"))
+        part = rows.unionByName(cells)
+        out = part if out is None else out.unionByName(part)
+    return out.select("entity", "Id", "value")
+
+
 _NEW = "FROM customer WHERE c_custkey % 7 = 0 AND c_custkey % 9 <> 0"
 
 

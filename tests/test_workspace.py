@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.model import Entity, Model, Property, Relationship, Workspace
+from tessera.operators import diffs as D
 from tessera.operators import operations as O
 from tessera.operators import services as V
 from tessera.plans.direction import Direction, DirectionFault
@@ -256,3 +257,16 @@ def test_jdbc(spark):
     n, found = tables.bounded_jdbc(spark, url, MODEL.entity("Item"), [("Name", "Contains", "'S 1"), ("group", "Equal", "G1"), ("Note", "Equal", "")], 3, schema="", **driver)
     assert n == 6 and [r.Id for r in found.collect()] == ["1", "11", "13"] and found.columns == MODEL.entity("Item").columns
     assert tables.bounded_jdbc(spark, url, MODEL.entity("Item"), [("Name", "Contains", "3%")], 9, schema="", **driver)[0] == 3
+
+
+def test_diff_workspaces_are_valid(spark):
+    left = workspace(spark)
+    right = O.set_property("Item", "i1", "Note", "new")(O.delete_record("Item", "i2")(left))
+    ws = D.equal_diff(left, right)
+    assert not D.EQUAL.issues() and ws.issues().isEmpty() and len(D.EQUAL.entities) == 12 and len(D.ALIGNED.entities) == 18
+    assert rows(ws["ModelLeftEntityInstanceNotInRight"]) == [("Item:i2", "Item:i2")]
+    assert rows(ws["ModelRightPropertyInstanceNotInLeft"].select("Id")) == [("Item:i1:Note",)]
+    other = Model("Other", (Entity("Team", (Property("Title"),)),))
+    maps = D.alignment(MODEL, other, {"Group": "Team"}, {("Group", "Name"): "Title"}, spark)
+    assert not D.ALIGNMENT.issues() and maps.issues().isEmpty()
+    assert rows(maps["PropertyMap"]) == [("Group:Name", "Group:Name", "Team:Title")]
