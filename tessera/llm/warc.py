@@ -17,7 +17,9 @@ from .common import read, scratch
 
 #: Smaller payloads are always written in full.
 REVISIT_FROM = 1000
+#: Records of an archive at most, and payload bytes; an archive is read as one value, which must stay under 2 GB.
 RECORDS_PER_FILE = 1000
+BYTES_PER_FILE = 512_000_000
 CHUNK = 65536
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -80,14 +82,20 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["member"])
 
 
-def write(records: DataFrame, path: str) -> None:
+def write(records: DataFrame, path: str, largest: int | None = None) -> None:
     """Archives under path, RECORDS_PER_FILE records each at most; records as from planned().
 
+    largest is the size of the largest payload; archives hold fewer records where as many of it would pass
+    BYTES_PER_FILE. It is looked up if it isn't given.
+
     Spark's text writer puts the bytes down as they are, so any file system that Spark writes to will do, and a task
     that is run again replaces its file.
     """
+    if largest is None:
+        largest = records.agg(F.max(F.octet_length("payload"))).first()[0]
+    most = max(1, min(RECORDS_PER_FILE, BYTES_PER_FILE // max(1, largest or 0)))
     members = records.select("page_id", "url", "payload", "record_type", "refers_to").mapInArrow(_members, "member binary")
-    members.select(F.col("member").cast("string").alias("value")).write.option("lineSep", "\0").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    members.select(F.col("member").cast("string").alias("value")).write.option("lineSep", "\0").option("maxRecordsPerFile", most).text(path)
 
 
 class BadRecord(ValueError):
@@ -204,6 +212,6 @@ FROM p LEFT JOIN t ON p.h = t.h
 
 
 def op3_warc(spark, sf_dir: str) -> DataFrame:
-    path = scratch(spark, "warc")
-    write(planned(read(spark, sf_dir, "pages")), path)
+    path, pages = scratch(spark, "warc"), read(spark, sf_dir, "pages")
+    write(planned(pages), path, pages.agg(F.max(F.octet_length("html"))).first()[0])
     return load(spark, path, ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
