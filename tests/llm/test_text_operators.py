@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 from tessera.llm import licenses, lines, mixing, quality, simhash
 from tessera.llm.graph import components
 
+from .. import oracle
+
 SPACE = " \t\n\x0b\f\r"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -78,12 +81,28 @@ def test_quality_rules(spark):
 
 
 def test_quality_other_languages_and_columns(spark):
-    docs = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(30)), "xx", None, 0), (2, " ".join(f"w{i}" for i in range(30)), None, None, 0)], SCHEMA).withColumns({"n_words": F.lit("mine"), "kept": F.lit("mine")})
+    r = random.Random(3)
+    prose = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(r.randrange(2, 9))) for _ in range(n))
+    texts = [(1, prose(80), "xx"), (2, prose(80), None), (3, " ".join(f"{i}#%" for i in range(80)), None), (4, prose(80), "en"), (5, " ".join(r.choice(["the", "of"]) + "\t" * r.randrange(4) for _ in range(99)), "xx")]
+    docs = spark.createDataFrame([(i, t, lang, None, 0) for i, t, lang in texts], SCHEMA).withColumns({"n_words": F.lit("mine"), "kept": F.lit("mine")})
     assert quality.good(docs).columns == docs.columns
-    assert sorted(x.doc_id for x in quality.good(docs).collect()) == [1, 2]
+    assert sorted(x.doc_id for x in quality.good(docs).collect()) == [1, 2, 4]
     assert quality.good(docs.where("false")).count() == 0
 
 
+def test_quality_verdicts_do_not_depend_on_neighbours(spark):
+    docs = spark.read.parquet(oracle.DATA + "/documents.parquet")
+    every = {x.doc_id: x.kept for x in quality.judged(docs).collect()}
+    some = {x.doc_id: x.kept for x in quality.judged(docs.where("doc_id % 7 = 3")).collect()}
+    assert some and all(every[i] == k for i, k in some.items())
+
+
+def test_quality_of_a_very_long_text(spark):
+    text = "\n".join(f"line number {i} of a very long text, the end of which is far" for i in range(20_000))
+    (row,) = quality.judged(spark.createDataFrame([(1, text, "en", "s", 0)], SCHEMA)).collect()
+    assert (row.n_words, row.word_chars, row.n_symbols, row.n_dup_lines, row.n_repeat_words) == quality_base(text)
+
+
 def test_simhash_fingerprints():
     for t in ["", "a", "A b", "a b c d e f g", "x " * 500, "é ü ñ a b"]:
         w = re.findall(r"[^\x20\x09-\x0D]+", lower(t))
@@ -125,6 +144,66 @@ def test_every_near_pair_meets_at_an_anchor():
         assert met
 
 
+def near_one_anchor(n, seed):
+    """Distinct fingerprints whose low halves lie within 2 bits of one word."""
+    r = random.Random(seed)
+    out = set()
+    while len(out) < n:
+        low = 0
+        for bit in r.sample(range(31), r.randrange(3)):
+            low ^= 1 << bit
+        high = r.getrandbits(7) if r.random() < 0.5 else r.getrandbits(32)
+        out.add(high << 32 | low)
+    return sorted(out)
+
+
+def test_hot_anchors_are_dealt_to_smaller_groups(spark, monkeypatch):
+    signed = [f - (1 << 64) if f >> 63 else f for f in near_one_anchor(2000, 4)]
+    fps = spark.createDataFrame([(f,) for f in signed], "fp long")
+    sizes = {}
+    for hot in (10_000, 200):
+        monkeypatch.setattr(simhash, "HOT_HOMES", hot)
+        per = simhash.dealt(fps).groupBy("anchor", "salt").agg(F.count("*").alias("n"), F.sum(F.col("home").cast("int")).alias("h"), F.countDistinct("fp").alias("d")).where("h > 0").collect()
+        sizes[hot] = max(x.n for x in per)
+        assert all(x.n == x.d for x in per) and max(x.h for x in per) <= (2000 if hot > 2000 else 2 * hot)
+    assert sizes[200] < sizes[10_000] / 2
+
+
+@pytest.mark.parametrize("limit", [3, 40, 20_000])
+def test_large_groups_pass_by(monkeypatch, limit):
+    """Groups that are held and groups that pass by in batches give the components that home to all pairs give."""
+    monkeypatch.setattr(simhash, "HOT_HOMES", limit)
+    r = random.Random(limit)
+    rows = []
+    for anchor in (1, 2, 3, 9):
+        fps = near_one_anchor(r.choice([2, 150, 400]), anchor)
+        rows += sorted((anchor, 0, -h, f) for f, h in ((f, int(r.random() < (1 if anchor == 2 else 0.1))) for f in fps))
+    batches = [
+        pa.RecordBatch.from_arrays([pa.array([x[0] for x in part], pa.int64()), pa.array([x[1] for x in part], pa.int32()), pa.array(np.array([x[3] for x in part], dtype=np.uint64).view(np.int64)), pa.array([bool(x[2]) for x in part])], ["anchor", "salt", "fp", "home"])
+        for part in (rows[i : i + 37] for i in range(0, len(rows), 37))
+    ]
+    edges = [(a % (1 << 64), b % (1 << 64)) for x in simhash._compare(iter(batches)) for a, b in zip(x.column("a").to_pylist(), x.column("b").to_pylist())]
+    assert len(edges) <= 2 * len(rows)  # never all pairs
+
+    def groups(pairs):
+        parent = {x[3]: x[3] for x in rows}
+
+        def find(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for a, b in pairs:
+            parent[find(a)] = find(b)
+        return {frozenset(y for y in parent if find(y) == k) for k in {find(x) for x in parent}}
+
+    all_near = {(x[3], y[3]) for x in rows for y in rows if bin(x[3] ^ y[3]).count("1") <= 3}
+    homes = {(x[0], x[3]) for x in rows if x[2]}
+    met = {(x[3], y[3]) for x in rows for y in rows if x[0] == y[0] and (x[0], x[3]) in homes and (x[3], y[3]) in all_near}
+    got, least, most = groups(edges), groups(met), groups(all_near)
+    assert all(any(a <= b for b in got) for a in least) and all(any(a <= b for b in most) for a in got)
+
+
 @pytest.mark.parametrize("hot", [simhash.HOT_HOMES, 5])
 def test_links_join_all_near_fingerprints(spark, monkeypatch, hot):
     monkeypatch.setattr(simhash, "HOT_HOMES", hot)
@@ -226,7 +305,7 @@ def license_brute(t):
     s, out = sh(words(t or "")), set()
     for i, (name, text) in enumerate(licenses.TEMPLATES):
         own = set(sh(words(text)))
-        width = 1 << (len(own) - 1).bit_length()
+        width = next(w for w in licenses.WIDTHS if w >= len(own))
         best = max((len(own & set(s[k : k + 2 * width])) / len(own) for k in range(0, len(s), width)), default=0)
         if best >= 0.8:
             out.add((name, i, round(best, 6)))
@@ -254,3 +333,36 @@ def test_licenses(spark):
 def test_digest_is_of_what_stays(spark):
     x = lines.dedup_lines(documents(spark, [(1, "a\nb")])).select(F.sha2(F.col("_kept").cast("binary"), 256)).first()[0]
     assert x == hashlib.sha256(b"a\nb").hexdigest()
+
+
+def test_bands_retrieve_what_windows_hold(spark, tmp_path):
+    """Recall of the bands: damaged copies of templates of all sizes against exact containment in every window."""
+    r = random.Random(8)
+    words = [f"w{i}" for i in range(3000)]
+    passage = lambda n: [r.choice(words) for _ in range(n)]
+    sizes = [5, 6, 9, 12, 20, 33, 70, 140, 300, 900]
+    templates = [(f"L{n}", " ".join(passage(n))) for n in sizes for _ in range(3)]
+    for i, (name, text) in enumerate(templates):
+        (tmp_path / f"{name}-{i}.txt").write_text(text)
+    texts = []
+    for i in range(240):
+        ws = templates[i % len(templates)][1].split()
+        for _ in range(len(ws) // 60):
+            ws[r.randrange(len(ws))] = "changed"
+        texts.append((i, " ".join(passage(r.randrange(400)) + ws + passage(r.randrange(400)))))
+    table = licenses.read_templates(spark, str(tmp_path))
+    assert table.count() == len(templates) and {x.license.split("-")[0] for x in table.collect()} == {n for n, _ in templates}
+    got = {(x.doc_id, x.template): x.containment for x in licenses.scan(documents(spark, texts), templates).collect()}
+    want = {}
+    for i, t in texts:
+        s = [tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)]
+        for j, (_, u) in enumerate(templates):
+            own = {tuple(u.split()[k : k + 5]) for k in range(len(u.split()) - 4)}
+            width = next(w for w in licenses.WIDTHS if w >= len(own))
+            best = max(len(own & set(s[a : a + 2 * width])) / len(own) for a in range(0, len(s), width))
+            if best >= 0.8:
+                want[i, j] = best
+    assert set(got) <= set(want) and len(want) > 150 and len(got) >= 0.995 * len(want)
+    assert all(abs(got[k] - want[k]) < 1e-9 for k in got)
+    assert licenses.scan(documents(spark, texts), [("none", "too short")]).count() == 0
+    assert licenses.scan(documents(spark, texts), table).count() == len(got)
