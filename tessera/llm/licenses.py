@@ -1,17 +1,21 @@
 """License scans with DataFrame functions only: MinHash bands over overlapping windows retrieve templates, exact containment verifies.
 
-Templates are grouped by size: one of P shingles or fewer (P a power of two, over half of it used) is looked for in
-windows of 2 P shingles that start every P, so any stretch of P shingles lies within one. If a window holds 0.8 of a
-template their Jaccard similarity is 0.8 T / (2 P + 0.2 T) >= 0.19 for T > P / 2. With BANDS bands of one row such a
-pair stays unseen with a chance of 0.81 ** 64 < 2e-6. Windows without any shingle of a template have similarity 0 and
-get no signature.
+Templates are grouped by size: one of P shingles or fewer (P a power of four, the least of WIDTHS that will do) is
+looked for in windows of 2 P shingles that start every P, so any stretch of P shingles lies within one. Signatures
+come from one permutation: the range of the hashes is cut into equal parts, the bands, and a band's value is the
+smallest hash in its part. A window and a template meet if any band agrees; where both have hashes in a band it does
+so with the chance of their Jaccard similarity.
+
+A shared shingle stays silent only if a smaller hash of the window falls in its band, with a chance of 2 P / (2 B) at
+most. Templates of up to 64 shingles may share one only, so their windows get B = 65,536 bands: 0.0003 for P = 16 and
+0.001 for P = 64, where a window that holds 0.8 of a template has 14 in common. Larger templates share 0.8 * 65 at
+least and need no more than B = 1,024: for P = 256 all of those stay silent with a chance under 0.25 ** 52.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections.abc import Sequence
 
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,8 +23,12 @@ from .common import let, read, row_key
 
 SHINGLE_WORDS = 5
 MIN_CONTAINMENT = 0.8
-BANDS = 64
+WIDTHS = tuple(4**k for k in range(2, 12))
+#: Bits of a hash that name its band, for windows of templates of up to 64 shingles, and for larger ones.
+SMALL_BITS, LARGE_BITS = 16, 10
 BREAK = r"[^\p{L}\p{N}]+"
+#: Rows of the templates' tables up to which they are sent to every executor; larger ones are joined by shuffles.
+BROADCAST_ROWS = 200_000
 
 # License identifiers and the public wording of their notices.
 TEMPLATES = [
@@ -41,21 +49,21 @@ TEMPLATES = [
     ("MIT", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so'),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("Unlicense", "This is free and unencumbered software released into the public domain"),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("GPL-notice", "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."),
+    ("MPL-2.0", "If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at"),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0."),
+    ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work"),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely"),
+    ("BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("BSD", 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.'),
+    ("MIT", 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.'),
 ]
 
 
-def _template_shingles(text: str) -> list[int]:
-    """The distinct shingle hashes of a template, as shingles() gives them."""
-    ws = "".join(c if c.isalnum() else " " for c in text.lower()).split()
-    out = set()
-    for i in range(len(ws) - SHINGLE_WORDS + 1):
-        h = 42
-        for w in ws[i : i + SHINGLE_WORDS]:
-            h = xxhash.xxh64_intdigest(w.encode(), h)
-        out.add(h - (1 << 64) if h >> 63 else h)
-    return sorted(out)
-
-
 def shingles(text: Column) -> Column:
     """Hashes of each SHINGLE_WORDS words in a row; words are runs of letters and numbers, lower-cased."""
     ws = F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), BREAK), "")
@@ -63,42 +71,55 @@ def shingles(text: Column) -> Column:
     return let(ws, lambda w: F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(n)]))).otherwise(F.array().cast("array<bigint>")))
 
 
-def _windows(s: Column, hits: Column, width: int, known: list[int]) -> Column:
-    """The windows of 2 * width shingles around hits of one size of template."""
-    block = lambda i: F.floor(i / width).cast("int") * width
-    own = F.filter(hits, lambda i: F.get(s, i).isin(known))
-    starts = F.array_distinct(F.flatten(F.transform(own, lambda i: F.array(block(i), block(i) - width))))
-    return F.transform(F.filter(starts, lambda x: x >= 0), lambda x: F.struct(F.lit(width).alias("width"), x.cast("int").alias("start"), F.slice(s, x + 1, 2 * width).alias("part")))
+def signature(window: Column, bits: int) -> Column:
+    """The smallest hash of each of 2 ** bits bands that a window has a hash in."""
+    band = lambda x: F.shiftrightunsigned(x, 64 - bits)
+    # in the order of signed numbers the hashes of a band stand together, smallest first
+    return let(F.sort_array(window), lambda w: F.filter(w, lambda x, i: (i == 0) | (band(x) != band(F.get(w, i - 1)))))
+
+
+def _signature(window: Column, width: Column) -> Column:
+    return F.when(width <= 64, signature(window, SMALL_BITS)).otherwise(signature(window, LARGE_BITS))
+
+
+def template_table(spark: SparkSession, templates: Sequence[tuple[str, str]] | DataFrame) -> DataFrame:
+    """(template, license, width, own) of templates: a list of (license, text), numbered by place, or a DataFrame with
+    the columns template, license and text. Templates under five words have no shingles and go."""
+    df = templates if isinstance(templates, DataFrame) else spark.createDataFrame([(i, *t) for i, t in enumerate(templates)], "template int, license string, text string")
+    own = df.select("template", "license", F.array_distinct(shingles(F.col("text"))).alias("own")).where(F.size("own") > 0)
+    return own.withColumn("width", F.array_min(F.filter(F.array(*map(F.lit, WIDTHS)), lambda w: w >= F.size("own"))))
 
 
-def signature(part: Column) -> Column:
-    """BANDS MinHash values of a window's shingles."""
-    return F.transform(F.sequence(F.lit(1), F.lit(BANDS)), lambda k: F.array_min(F.transform(part, lambda x: F.xxhash64(x, k))))
+def read_templates(spark: SparkSession, path: str) -> DataFrame:
+    """Templates from a folder of files, one license text each; the license is the file's name without its ending."""
+    files = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.txt|\.md)?$", 1).alias("license"), F.col("value").alias("text"))
+    return files.select(F.xxhash64("license", "text").alias("template"), "license", "text")
 
 
-def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, doc_id: str = "doc_id") -> DataFrame:
+def scan(docs: DataFrame, templates: Sequence[tuple[str, str]] | DataFrame | None = None, doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, license, template, containment): the templates that a window of a document holds MIN_CONTAINMENT of or more.
 
-    template is its number in the list; containment is the share of its shingles in the best window. Documents
-    without a match have no row; null and empty texts, and those under five words, have none. Repeated rows are
-    reported once. The templates are a parameter of fixed size, and their bands are sent to every executor.
+    template is its number; containment is the share of its shingles in the best window. Documents without a match
+    have no row; null and empty texts, and those under five words, have none. Repeated rows are reported once. The
+    widths that templates have are the one thing read to plan; their bands are a table that is sent to every executor
+    only while it has BROADCAST_ROWS rows at most.
     """
-    templates = TEMPLATES if templates is None else templates
-    spark: SparkSession = docs.sparkSession
-    sizes: dict[int, list[tuple[int, str, list[int]]]] = defaultdict(list)
-    for i, (name, text) in enumerate(templates):
-        if own := _template_shingles(text):
-            sizes[1 << (len(own) - 1).bit_length()].append((i, name, own))
-    known = {p: sorted({h for _, _, own in t for h in own}) for p, t in sizes.items()}
-    every = sorted({h for own in known.values() for h in own})
-    hits = lambda s: F.filter(F.transform(s, lambda x, i: F.when(x.isin(every), i)), lambda i: i.isNotNull())
-    around = let(shingles(F.col("text")), lambda s: let(hits(s), lambda h: F.when(F.size(h) > 0, F.flatten(F.array(*[_windows(s, h, p, own) for p, own in known.items()])))))
-    found = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col("text")).select("doc_id", *row_key(), F.explode(around).alias("w")).select("doc_id", "_k", "_h", "w.*")
-    banded = found.select("*", F.posexplode(signature(F.col("part"))).alias("band", "value"))
-    table = spark.createDataFrame([(p, i, name, own) for p, t in sizes.items() for i, name, own in t], "width int, template int, license string, own array<bigint>")
-    bands = F.broadcast(table.select("*", F.posexplode(signature(F.col("own"))).alias("band", "value")))  # len(templates) * BANDS rows
+    table = template_table(docs.sparkSession, TEMPLATES if templates is None else templates)
+    counts = {r.width: (r.n, r.s) for r in table.groupBy("width").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("own")).alias("s")).collect()}  # a row for each width
+    if not counts:
+        return docs.select(F.col(f"`{doc_id}`").alias("doc_id")).where("false").select("doc_id", F.lit("").alias("license"), F.lit(0).alias("template"), F.lit(0.0).alias("containment"))
+    sent = (lambda x: F.broadcast(x)) if sum(s for _, s in counts.values()) <= BROADCAST_ROWS else (lambda x: x)
+    starts = lambda n, w: F.transform(F.sequence(F.lit(0), F.floor((n - 1) / w).cast("int")), lambda i: F.struct(F.lit(w).alias("width"), (i * w).alias("start")))
+    # the first and the last window of a text may be short; a window at the end lies in the one before and goes
+    inner = lambda n, w: F.filter(starts(n, w), lambda x: (x["start"] == 0) | (x["start"] + w < n))
+    rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col("text")).select("doc_id", *row_key(), shingles(F.col("text")).alias("s")).where(F.size("s") > 0)
+    windows = rows.select("*", F.explode(F.flatten(F.array(*[inner(F.size("s"), w) for w in sorted(counts)]))).alias("x")).select("doc_id", "_k", "_h", "s", "x.width", "x.start")
+    part = F.slice("s", F.col("start") + 1, 2 * F.col("width"))
+    banded = windows.select("doc_id", "_k", "_h", "width", part.alias("part")).select("*", F.explode(_signature(F.col("part"), F.col("width"))).alias("value"))
+    bands = sent(table.select("width", "template", F.explode(_signature(F.col("own"), F.col("width"))).alias("value")))
+    met = banded.join(bands, ["width", "value"]).join(sent(table.select("template", "license", "own")), "template")
     share = F.size(F.array_intersect(F.array_distinct("part"), "own")) / F.size("own")
-    matched = banded.join(bands, ["width", "band", "value"]).withColumn("containment", share).where(F.col("containment") >= MIN_CONTAINMENT)
+    matched = met.withColumn("containment", share).where(F.col("containment") >= MIN_CONTAINMENT)
     return matched.groupBy("doc_id", "_k", "_h", "license", "template").agg(F.max("containment").alias("containment")).select("doc_id", "license", "template", "containment")
 
 
@@ -110,7 +131,7 @@ def _sql() -> str:
 WITH t0 AS (SELECT * FROM (VALUES {quoted}) AS v(template, license, text)),
 t1 AS (SELECT template, license, {words("text")} AS w FROM t0),
 t AS (SELECT template, license, list_distinct({sh}) AS own FROM t1),
-p AS (SELECT *, CAST(pow(2, ceil(log2(len(own)))) AS BIGINT) AS width FROM t),
+p AS (SELECT *, greatest({WIDTHS[0]}, CAST(pow(4, ceil(log2(len(own)) / 2)) AS BIGINT)) AS width FROM t WHERE len(own) > 0),
 d1 AS (SELECT doc_id, {words("text")} AS w FROM documents),
 d AS (SELECT doc_id, {sh} AS s FROM d1 WHERE len(w) >= 5),
 h AS (SELECT d.doc_id, d.s, p.* FROM d JOIN p ON list_has_any(d.s, p.own)),
