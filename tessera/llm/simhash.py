@@ -23,7 +23,7 @@ from .graph import components
 SHINGLE_WORDS = 3
 SEED = 42
 MAX_BITS = 3
-#: Homes at one anchor beyond which its comparisons are dealt out by salt.
+#: Homes at one anchor beyond which its comparisons are dealt out by salt; larger groups are not held, they pass by.
 HOT_HOMES = 20_000
 
 
@@ -76,39 +76,99 @@ def _to_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array((word | np.uint64(block << 32)).view(np.int64)), pa.array(part[rows].view(np.int64)), pa.array(home)], ["anchor", "fp", "home"])
 
 
-def _links(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning star for each group of linked fingerprints among those at one anchor."""
-    left, a, b = fp, [], []
-    while len(left) > 1:
-        first, front, left = left[0], left[:1], left[1:]
-        while len(front) and len(left):
-            hit = np.zeros(len(left), bool)
-            for i in range(0, len(front), 256):
-                hit |= (np.bitwise_count(front[i : i + 256, None] ^ left[None, :]) <= MAX_BITS).any(axis=0)
-            front, left = left[hit], left[~hit]
-            a.append(np.full(len(front), first))
-            b.append(front)
-    return (np.concatenate(a), np.concatenate(b)) if a else (fp[:0], fp[:0])
+def _stars(fp: np.ndarray, homes: np.ndarray) -> np.ndarray:
+    """For each fingerprint the place of the first home of its group of linked ones, -1 for guests without links.
+
+    Groups grow from homes; what one reaches leaves the rest at once, so a group of copies costs little.
+    """
+    of, rest = np.full(len(fp), -1, dtype=np.int64), np.arange(len(fp))
+    for h in np.flatnonzero(homes):
+        if of[h] >= 0:
+            continue
+        of[h] = h
+        rest = rest[rest != h]
+        front = np.array([h])
+        while len(front) and len(rest):
+            block, front = front[:256], front[256:]
+            hit = (np.bitwise_count(fp[block, None] ^ fp[None, rest]) <= MAX_BITS).any(axis=0)
+            new, rest = rest[hit], rest[~hit]
+            of[new] = h
+            front = np.concatenate([front, new])
+    return of
+
+
+class _Large:
+    """A group with too many guests to hold: they pass by its homes."""
+
+    def __init__(self) -> None:
+        self.homes, self.of = np.zeros(0, dtype=np.uint64), None
+
+    def among_homes(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Edges among the homes, once all have come."""
+        if self.of is None:
+            self.of = _stars(self.homes, np.ones(len(self.homes), bool))
+            far = self.of != np.arange(len(self.homes))
+            yield self.homes[self.of[far]], self.homes[far]
+
+    def meet(self, fp: np.ndarray, home: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Edges of the next rows, homes first; each guest gets one to every group of homes that it links."""
+        if home.any():
+            self.homes = np.concatenate([self.homes, fp[home]])
+        guests = fp[~home]
+        if not len(guests) or not len(self.homes):
+            return
+        yield from self.among_homes()
+        for i in range(0, len(guests), 256):
+            some = guests[i : i + 256]
+            hit = np.bitwise_count(self.homes[:, None] ^ some[None, :]) <= MAX_BITS
+            low = np.where(hit, self.of[:, None], len(self.homes)).min(axis=0)
+            met = low < len(self.homes)
+            yield self.homes[low[met]], some[met]
+            high = np.where(hit, self.of[:, None], -1).max(axis=0)
+            for k in np.flatnonzero(met & (high > low)):
+                groups = np.unique(self.of[hit[:, k]])
+                if len(groups) > 1:
+                    yield np.full(len(groups), some[k]), self.homes[groups]
+                    self.of[np.isin(self.of, groups)] = groups[0]
+
+
+def _batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges among rows sorted by anchor and salt; the last group of a batch waits for the next."""
-    rest = None
+    """Edges among rows sorted by anchor, salt and homes first; the last group of a batch waits for the next, a large one passes by."""
+    rest = [np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.uint64), np.zeros(0, bool)]
+    large, key = None, None
     for b in batches:
         now = [b.column(c).to_numpy(zero_copy_only=False) for c in ("anchor", "salt", "fp", "home")]
-        now = now if rest is None else [np.concatenate(x) for x in zip(rest, now, strict=True)]
+        now[2] = now[2].view(np.uint64)
+        if large is not None:
+            n = int(np.argmax((now[0] != key[0]) | (now[1] != key[1]))) if (now[0][-1], now[1][-1]) != key else len(now[0])
+            yield from (_batch(*x) for x in large.meet(now[2][:n], now[3][:n]) if len(x[0]))
+            now = [x[n:] for x in now]
+            if not len(now[0]):
+                continue
+            yield from (_batch(*x) for x in large.among_homes() if len(x[0]))
+            large = None
+        now = [np.concatenate(x) for x in zip(rest, now, strict=True)]
         new = np.flatnonzero((np.diff(now[0]) != 0) | (np.diff(now[1]) != 0)) + 1
         cut = new[-1] if len(new) else 0
         rest = [x[cut:] for x in now]
         if cut:
             yield from _edges([x[:cut] for x in now])
-    if rest is not None:
+        if len(rest[0]) > 2 * HOT_HOMES:
+            large, key = _Large(), (rest[0][0], rest[1][0])
+            yield from (_batch(*x) for x in large.meet(rest[2], rest[3]) if len(x[0]))
+            rest = [x[:0] for x in rest]
+    if large is not None:
+        yield from (_batch(*x) for x in large.among_homes() if len(x[0]))
+    elif len(rest[0]):
         yield from _edges(rest)
 
 
 def _edges(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
     anchor, salt, fp, home = rows
-    fp = fp.view(np.uint64)
     starts = np.concatenate([[0], np.flatnonzero((np.diff(anchor) != 0) | (np.diff(salt) != 0)) + 1, [len(anchor)]])
     sizes, homes = np.diff(starts), np.add.reduceat(home.astype(np.int64), starts[:-1]) if len(anchor) else np.zeros(0)
     out_a, out_b = [], []
@@ -117,30 +177,40 @@ def _edges(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
     out_a.append(fp[ok])
     out_b.append(fp[ok + 1])
     for g in np.flatnonzero((sizes > 2) & (homes > 0)):
-        a, b = _links(fp[starts[g] : starts[g + 1]])
-        out_a.append(a)
-        out_b.append(b)
+        part = fp[starts[g] : starts[g + 1]]
+        of = _stars(part, home[starts[g] : starts[g + 1]])
+        far = (of >= 0) & (of != np.arange(len(part)))
+        out_a.append(part[of[far]])
+        out_b.append(part[far])
     a, b = np.concatenate(out_a), np.concatenate(out_b)
     if len(a):
-        yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
+        yield _batch(a, b)
 
 
-def links(fps: DataFrame) -> DataFrame:
-    """Edges (a, b) that join all linked fingerprints of fps(fp), whose rows are distinct."""
+def dealt(fps: DataFrame) -> DataFrame:
+    """(anchor, salt, fp, home): what is compared together, for fps(fp) of distinct rows.
+
+    An anchor with more than HOT_HOMES homes is dealt to S x S groups: homes are dealt to S, all that come to the
+    anchor to S, and each group holds one part of either. So a group shrinks as S grows, and each home still meets
+    all others.
+    """
     at = fps.mapInArrow(_to_anchors, "anchor long, fp long, home boolean")
     hot = stored(at.where("home").groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT_HOMES), "hot-anchors")
     if hot.isEmpty():
-        at = at.withColumn("salt", F.lit(0))
-    else:  # homes go to one salt, the others to each
-        salts = F.ceil(F.col("n") / HOT_HOMES).cast("int")
-        at = at.join(hot, "anchor", "left").withColumn(
-            "salt", F.explode(F.when(F.col("n").isNull(), F.array(F.lit(0))).when(F.col("home"), F.array(F.pmod(F.hash("fp"), salts))).otherwise(F.sequence(F.lit(0), salts - 1)))
-        )
-        # a home is also compared with the homes of the other salts
-        again = at.where(F.col("home") & F.col("n").isNotNull()).withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).withColumn("home", F.lit(False))
-        at = at.unionByName(again).groupBy("anchor", "salt", "fp").agg(F.max("home").alias("home"))
-    dealt = at.select("anchor", "salt", "fp", "home").repartition("anchor", "salt").sortWithinPartitions("anchor", "salt")
-    return dealt.mapInArrow(_compare, "a long, b long")
+        return at.withColumn("salt", F.lit(0)).select("anchor", "salt", "fp", "home")
+    salts = F.ceil(F.col("n") / HOT_HOMES).cast("int")
+    own, every = F.pmod(F.hash("fp"), salts), F.sequence(F.lit(0), salts - 1)
+    cell = lambda row, column, home: F.struct((row * salts + column).alias("salt"), home.alias("home"))
+    as_guest = F.transform(every, lambda i: cell(i, own, F.col("home") & (i == own)))
+    as_home = F.filter(F.transform(every, lambda j: F.when(j != own, cell(own, j, F.lit(True)))), lambda x: x.isNotNull())
+    cells = F.when(F.col("n").isNull(), F.array(F.struct(F.lit(0).alias("salt"), F.col("home")))).otherwise(F.concat(as_guest, F.when(F.col("home"), as_home).otherwise(F.filter(as_guest, lambda x: F.lit(False)))))
+    # hot anchors are few: each has more than HOT_HOMES distinct fingerprints, but no bound is known, so no hint
+    return at.join(hot, "anchor", "left").select("anchor", "fp", F.explode(cells).alias("c")).select("anchor", "c.salt", "fp", "c.home")
+
+
+def links(fps: DataFrame) -> DataFrame:
+    """Edges (a, b) that join all linked fingerprints of fps(fp), whose rows are distinct."""
+    return dealt(fps).repartition("anchor", "salt").sortWithinPartitions("anchor", "salt", F.desc("home")).mapInArrow(_compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
