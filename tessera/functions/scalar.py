@@ -128,21 +128,43 @@ def _guard(bad: Column, code: str, value: Column) -> Column:
     return F.when(bad, F.raise_error(F.lit(FAULT + code)).cast("string")).otherwise(value)
 
 
+#: Characters that UTF-16 writes as two units, in which lengths and places count.
+_PAIRS = r"[\x{10000}-\x{10FFFF}]"
+
+
+def _units(c: Column) -> Column:
+    """The UTF-16 units of a text as cells: a character, or one followed by 1 or 2 for either half of a pair."""
+    chars = F.filter(F.split(c, ""), lambda ch: ch != "")
+    return F.flatten(F.transform(chars, lambda ch: F.when(ch.rlike(_PAIRS), F.array(F.concat(ch, F.lit("1")), F.concat(ch, F.lit("2")))).otherwise(F.array(ch))))
+
+
+def _cut(c: Column, start: Column, count: Column) -> Column:
+    """count units from start, both within bounds; half a pair that is left becomes U+FFFD."""
+    cells = F.slice(_units(c), F.greatest(start, F.lit(1)), F.greatest(count, F.lit(0)))
+    half = F.lit("\ufffd")
+    one = lambda x, i: F.when(F.char_length(x) == 1, x).when(F.right(x, F.lit(1)) == "1", F.when(i == F.size(cells) - 1, half).otherwise(F.left(x, F.lit(1)))).otherwise(F.when(i == 0, half).otherwise(F.lit("")))
+    return F.array_join(F.transform(cells, one), "")
+
+
 def substring(x, start, count) -> Column:
-    """count characters from the 1-based start; places before the first use up the count; a negative count faults."""
+    """count UTF-16 units from the 1-based start; places before the first use up the count; a negative count faults."""
     c, s, n = col(x), text(start).cast("int"), text(count).cast("int")
     left = F.greatest(F.lit(0), n - F.greatest(F.lit(0), F.lit(1) - s))
-    return _guard(n < 0, "SubstringLengthInvalid", F.substring(c, F.greatest(s, F.lit(1)), left))
+    plain = F.substring(c, F.greatest(s, F.lit(1)), left)
+    return _guard(n < 0, "SubstringLengthInvalid", F.when(c.rlike(_PAIRS), _cut(c, s, left)).otherwise(plain))
 
 
 def left(x, n) -> Column:
-    k = text(n).cast("int")
-    return _guard(k < 0, "LeftLengthInvalid", F.left(col(x), k))
+    """The first n UTF-16 units."""
+    c, k = col(x), text(n).cast("int")
+    return _guard(k < 0, "LeftLengthInvalid", F.when(c.rlike(_PAIRS), _cut(c, F.lit(1), k)).otherwise(F.left(c, k)))
 
 
 def right(x, n) -> Column:
-    k = text(n).cast("int")
-    return _guard(k < 0, "RightLengthInvalid", F.right(col(x), k))
+    """The last n UTF-16 units."""
+    c, k = col(x), text(n).cast("int")
+    size = F.size(_units(c))
+    return _guard(k < 0, "RightLengthInvalid", F.when(c.rlike(_PAIRS), _cut(c, size - F.least(k, size) + 1, k)).otherwise(F.right(c, k)))
 
 
 def coalesce(*xs) -> Column:

@@ -90,7 +90,12 @@ def string_agg(x, separator: str, by: Sequence[tuple[Column, bool]], order: Sequ
 
 
 def row_number(partition: Sequence[Column], by: Sequence[tuple[Column, bool]], order: Sequence[Column]) -> Column:
-    """1-based number of the row in its partition; nulls first ascending, last descending; ties by row order."""
+    """1-based number of the row in its partition; nulls first ascending, last descending; ties by row order.
+
+    Without a partition all rows would lie in one task: ranges.row_numbers() numbers them by ranges.
+    """
+    if not partition:
+        raise ValueError("RowNumberPartitionMissing: use ranges.row_numbers")
     parts = [k.asc_nulls_first() if up else k.desc_nulls_last() for k, up in by] + [c.asc_nulls_first() for c in order]
     return F.row_number().over(Window.partitionBy(*partition).orderBy(*parts)).cast("long")
 
@@ -141,17 +146,18 @@ def recursive(anchor: DataFrame, member: Callable[[DataFrame], DataFrame], level
     """The union of anchor, member(anchor), member(member(anchor)) and so on until an iteration has no rows.
 
     Each iteration is checkpointed, so plans stay small and a lost executor costs nothing; level names a column with
-    the iteration. An iteration with the rows of the one before faults: counts and sums of hashes tell, and only
-    where those agree are the rows compared.
+    the iteration. Up to limit iterations may have rows. An iteration with the rows of the one before, text compared
+    in any case, faults: counts and sums of hashes tell, and only where those agree are the rows compared.
     """
     spark = anchor.sparkSession
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
+    folded = lambda df: df.select(*[k.alias(f"_k{i}") for i, k in enumerate(keys(df, df.columns))])
     now, out, i, before = anchor.checkpoint(), None, 0, None
-    while (mark := tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*now.columns).cast("decimal(38,0)"))).first()))[0]:
-        if i > limit:
+    while (mark := tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*keys(now, now.columns)).cast("decimal(38,0)"))).first()))[0]:
+        if i >= limit:
             raise RuntimeError("CommonTableExpressionRecursionLimitExceeded")
-        if before is not None and mark == before[0] and now.exceptAll(before[1]).isEmpty():
+        if before is not None and mark == before[0] and folded(now).exceptAll(folded(before[1])).isEmpty():
             raise RuntimeError("CommonTableExpressionRecursionDidNotAdvance")
         part = now.withColumn(level, F.lit(i).cast("long")) if level else now
         out = part if out is None else out.union(part)

@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import fold
-from ..model import Model, Workspace, dependency_order
-from .relational import recursive
+from ..model import Entity, Model, Relationship, Workspace, dependency_order
+from . import ordering, ranges
 
 # record queries
 
@@ -37,10 +37,7 @@ def query_records(df: DataFrame, conditions: Sequence[tuple[str, str, str]], lim
 
 def page(df: DataFrame, offset: int, size: int) -> DataFrame:
     """size rows by Id from offset, which is held between 0 and the last full page's start."""
-    if size <= 0:
-        raise ValueError("PageSizeInvalid")
-    start = max(0, min(offset, df.count() - size))
-    return df.orderBy(fold("Id"), "Id").offset(start).limit(size)
+    return ranges.page(df, [fold("Id"), F.col("Id")], offset, size)
 
 
 def references(ws: Workspace, entity: str, record_id: str | None = None) -> DataFrame:
@@ -236,8 +233,7 @@ def synchronize(current: Workspace, desired: Workspace) -> Workspace:
     order, cycle = dependency_order({e.name: [r.entity for r in e.relationships] for e in current.model.entities})
     data = {n: synchronized(current, sync_plan(current, desired, n), n) for n in [*order, *cycle]}
     for n in data:
-        want = desired[n].select(*current.model.entity(n).columns)
-        if not data[n].exceptAll(want).isEmpty() or not want.exceptAll(data[n]).isEmpty():
+        if not ordering.differences(data[n], desired[n]).isEmpty():
             raise ValueError(f"SynchronizationVerificationFailed: {n}")
     return Workspace(current.model, data)
 
@@ -245,19 +241,16 @@ def synchronize(current: Workspace, desired: Workspace) -> Workspace:
 def record_levels(df: DataFrame, parent: str) -> DataFrame:
     """(Id, level) of records that refer to others of their kind: 0 without a parent, then one more than the parent's.
 
-    The order in which records can be made; those on a cycle, or with a parent that isn't there, have no level.
+    The order in which records can be made; a cycle or a parent that isn't there faults.
     """
-    keys = df.select("Id", F.upper("Id").alias("_k"), F.upper(F.col(parent)).alias("_p"))
-    top = keys.where(F.col("_p").isNull()).select("Id", "_k")
-    below = lambda t: t.select(F.col("_k").alias("_p")).join(keys, "_p").select("Id", "_k")
-    return recursive(top, below, level="level").select("Id", "level")
+    tree = Model("Tree", (Entity("Node", (), (Relationship("Node", "Parent", False),)),))
+    return ordering.record_levels(Workspace(tree, {"Node": df.select("Id", F.col(parent).alias("ParentId"))}), optional=True).select("Id", "level")
 
 
 def merge(target: Workspace, left: Workspace, right: Workspace) -> Workspace:
     """right's records under target's model, if target holds just what left does."""
     for e in left.model.entities:
-        a, b = target[e.name].select(*e.columns), left[e.name].select(*e.columns)
-        if not (a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()):
+        if not ordering.differences(target[e.name].select(*e.columns), left[e.name]).isEmpty():
             raise ValueError(f"MergePreconditionFailed: {e.name}")
     return Workspace(target.model, {e.name: right[e.name].select(*e.columns) for e in target.model.entities})
 

@@ -12,10 +12,11 @@ from ..functions import scalar as S
 from ..model import Entity, Model, Property, Relationship, Workspace
 from ..operators import diffs as D
 from ..operators import operations as O
+from ..operators import ordering, ranges
 from ..operators import relational as R
 from ..operators import services as V
 from ..session import shared_folder
-from ..sources import files
+from ..sources import files, imports, shards
 from ..sources.tables import as_text, first_difference, star
 from .direction import Direction
 
@@ -160,6 +161,28 @@ def inner_theta(spark, sf):
     return R.join(a, b, (F.col("a.RegionId") == F.col("b.RegionId")) & S.compare(F.col("a.Name"), "<", F.col("b.Name"))).select(F.col("a.Name").alias("a"), F.col("b.Name").alias("b"))
 
 
+_NEAR = "o_totalprice >= 100 * c_acctbal AND o_totalprice < 100 * c_acctbal + 40"
+
+
+@query(f"SELECT CAST(c_custkey AS VARCHAR) AS CustomerId, CAST(o_orderkey AS VARCHAR) AS OrderId FROM customer JOIN orders ON {_NEAR}")
+def theta_band(spark, sf):
+    """Orders whose price lies in a band over a hundred times a customer's balance: no equality."""
+    c = spark.read.parquet(f"{sf}/customer.parquet").select(F.col("c_custkey").cast("string").alias("CustomerId"), (100 * F.col("c_acctbal")).alias("balance"))
+    o = spark.read.parquet(f"{sf}/orders.parquet").select(F.col("o_orderkey").cast("string").alias("OrderId"), F.col("o_totalprice").alias("price"))
+    price, balance = F.col("price"), F.col("balance")
+    return ranges.theta_join(c, o, [(balance, "<=", price), (balance + 40, ">", price)]).select("CustomerId", "OrderId")
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS CustomerId, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON o_custkey > c_custkey AND o_orderpriority LIKE '1-%' AND o_orderstatus = 'P' GROUP BY c_custkey")
+def theta_left(spark, sf):
+    """How many urgent open orders belong to customers of greater ids; also none."""
+    ws = star(spark, sf, typed=True)
+    c = ws["Customer"].select(F.col("Id").alias("CustomerKey"))
+    o = ws["Order"].where(S.like("Priority", "1-%") & S.equal(F.col("Status"), "p")).select(F.col("Id").alias("OrderKey"), F.col("CustomerId").alias("Owner"))
+    met = ranges.theta_join(c, o, [(F.col("CustomerKey"), "<", F.col("Owner"))], "left")
+    return met.groupBy(F.col("CustomerKey").cast("string").alias("CustomerId")).agg(F.count("OrderKey").alias("n"))
+
+
 @query("SELECT CAST(c_custkey AS VARCHAR) AS Id, CAST(o_orderkey AS VARCHAR) AS OrderId FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderstatus = 'P'")
 def left_join(spark, sf):
     ws = star(spark, sf, typed=True)
@@ -291,6 +314,13 @@ def row_number_partitioned(spark, sf):
     return star(spark, sf, typed=True)["Order"].select(*as_text("Id"), R.row_number([F.col("CustomerId")], [(S.fold("Priority"), True)], by_id()).alias("n"))
 
 
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS Id, CAST(row_number() OVER (ORDER BY upper(o_orderpriority) DESC, o_orderdate, o_orderkey) AS BIGINT) AS n FROM orders")
+def row_number_global(spark, sf):
+    """Numbers over all orders, without a partition."""
+    o = star(spark, sf, typed=True)["Order"]
+    return ranges.row_numbers(o, [(S.fold("Priority"), False), (F.col("Date"), True)], [F.col("Id")], "n").select(*as_text("Id"), "n")
+
+
 @query("SELECT customer, Id FROM (SELECT CAST(o_custkey AS VARCHAR) AS customer, CAST(o_orderkey AS VARCHAR) AS Id, row_number() OVER (PARTITION BY o_custkey ORDER BY upper(o_orderpriority) DESC, CAST(o_orderkey AS VARCHAR)) AS n FROM orders) WHERE n = 1")
 def row_number_top1_derived(spark, sf):
     o = star(spark, sf, typed=True)["Order"].withColumn("n", R.row_number([F.col("CustomerId")], [(S.fold("Priority"), False)], by_id()))
@@ -304,6 +334,25 @@ def scalar_subquery_corr(spark, sf):
     return R.scalar(ws["Nation"].withColumn("k", F.col("RegionId")), inner, ["k"], "v", "region").select(*as_text("Id"), "region")
 
 
+@query("SELECT CAST(o.o_orderkey AS VARCHAR) AS Id, CAST((SELECT max(i.o_orderkey) FROM orders i WHERE i.o_custkey = o.o_custkey AND i.o_orderdate < o.o_orderdate) AS VARCHAR) AS last_key, (SELECT count(*) FROM orders i WHERE i.o_custkey = o.o_custkey AND i.o_orderdate <= o.o_orderdate) AS so_far FROM orders o")
+def scalar_subquery_below(spark, sf):
+    """A customer's earlier orders: correlation by an equality and an order."""
+    o = star(spark, sf, typed=True)["Order"].select("Id", "CustomerId", "Date")
+    last = ranges.correlated(o, o, ["CustomerId"], F.col("Date"), "<", F.col("Date"), F.col("Id"), "max", "last_key")
+    both = ranges.correlated(last, o, ["CustomerId"], F.col("Date"), "<=", F.col("Date"), F.lit(1), "count", "so_far")
+    return both.select(*as_text("Id", "last_key"), "so_far")
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS Id, (SELECT max(o_totalprice) FROM orders WHERE o_totalprice <= 20 * c_acctbal) AS below, (SELECT min(o_totalprice) FROM orders WHERE o_totalprice > 20 * c_acctbal) AS above FROM customer")
+def scalar_subquery_nearest(spark, sf):
+    """The nearest prices below and above a number: correlation by an order alone."""
+    c = spark.read.parquet(f"{sf}/customer.parquet").select(F.col("c_custkey").cast("string").alias("Id"), (20 * F.col("c_acctbal")).alias("x"))
+    o = spark.read.parquet(f"{sf}/orders.parquet").select("o_totalprice")
+    price, x = F.col("o_totalprice"), F.col("x")
+    below = ranges.correlated(c, o, [], x, "<=", price, price, "max", "below")
+    return ranges.correlated(below, o, [], x, ">", price, price, "min", "above").select("Id", "below", "above")
+
+
 @query("WITH a AS (SELECT c_mktsegment AS s, c_nationkey AS n FROM customer), b AS (SELECT s, n, count(*) AS k FROM a GROUP BY s, n), c AS (SELECT s, max(k) AS most FROM b GROUP BY s) SELECT b.s AS segment, n_name AS nation, b.k AS customers FROM b JOIN c ON b.s = c.s AND b.k = c.most JOIN nation ON n_nationkey = b.n")
 def cte_chain(spark, sf):
     ws = star(spark, sf, typed=True)
@@ -451,6 +500,13 @@ def page_window(spark, sf):
     return V.page(star(spark, sf)["Customer"], 10**9, 10).select("Id")
 
 
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS Id, o_orderdate::DATE::VARCHAR AS Date FROM orders ORDER BY CAST(o_orderkey AS VARCHAR) LIMIT 25 OFFSET (SELECT count(*) // 2 FROM orders)")
+def page_window_middle(spark, sf):
+    """A page from the middle of the orders."""
+    o = star(spark, sf)["Order"]
+    return V.page(o, o.count() // 2, 25).select("Id", "Date")
+
+
 @query("SELECT CAST(o_orderkey AS VARCHAR) AS id, 'CustomerId' AS member, 'Customer' AS entity, CAST(o_custkey AS VARCHAR) AS target FROM orders")
 def relationship_list(spark, sf):
     return V.references(star(spark, sf), "Order").select("id", "member", "entity", "target")
@@ -599,6 +655,109 @@ def record_order(spark, sf):
     return V.record_levels(n, "ParentId")
 
 
+_LEVELS = [("Region", "r_regionkey", "region", 0), ("Nation", "n_nationkey", "nation JOIN region ON n_regionkey = r_regionkey", 1), ("Customer", "c_custkey", "customer JOIN nation ON c_nationkey = n_nationkey", 2), ("Supplier", "s_suppkey", "supplier JOIN nation ON s_nationkey = n_nationkey", 2), ("Part", "p_partkey", "part", 0), ("Order", "o_orderkey", "orders JOIN customer ON o_custkey = c_custkey", 3), ("Event", "event_id", "events", 0)]
+
+
+@query(" UNION ALL ".join(f"SELECT '{n}' AS entity, CAST({k} AS VARCHAR) AS Id, CAST({d} AS BIGINT) AS level FROM {t}" for n, k, t, d in _LEVELS) + " UNION ALL SELECT 'Line', concat_ws(':', l_orderkey, l_linenumber, l_partkey, l_suppkey, strftime(l_shipdate, '%Y-%m-%d %H:%M:%S')), 4 FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey")
+def record_levels(spark, sf):
+    """The level of every record of the star, so that each comes after those that it refers to."""
+    return ordering.record_levels(star(spark, sf))
+
+
+def _trade(spark, sf, side: str) -> Workspace:
+    """Nations and customers, as one of two states: some of either are missing, renamed, changed, or recommended by others."""
+    ws, k = star(spark, sf), F.col("Id").cast("long")
+    model = Model("Trade", (Entity("Customer", (Property("Name", False), Property("Segment")), (Relationship("Nation"), Relationship("Customer", "Friend", False))), Entity("Nation", (Property("Name"),))))
+    nations = ws["Nation"].where(k % 7 != (3 if side == "left" else 5)).select(F.concat(F.lit("n"), "Id").alias("Id"), "Name")
+    c = ws["Customer"].where(F.col("NationId").cast("long") % 7 != (3 if side == "left" else 5)).where(k % 5 != (1 if side == "left" else 2))
+    other = k + (10 if side == "left" else 5)
+    friend = F.when((k % 4 == 0) | (k % 4 == (1 if side == "left" else 2)), F.concat(F.lit("c"), other.cast("string")))
+    spelt = F.concat(F.when(k % 11 == 0, F.lit("C")).otherwise(F.lit("c")), "Id") if side == "right" else F.concat(F.lit("c"), "Id")
+    name = F.when(k % 3 != 0, F.col("Name")) if side == "left" else F.when(k % 6 != 0, F.col("Name"))
+    segment = F.when(k % 8 == 0, F.lit("NEW")).otherwise(F.col("Segment")) if side == "right" else F.col("Segment")
+    customers = c.select(spelt.alias("Id"), name.alias("Name"), segment.alias("Segment"), F.concat(F.lit("n"), "NationId").alias("NationId"), friend.alias("_f"))
+    ids = customers.select(F.lower("Id").alias("_f"), F.lit(True).alias("_known"))
+    whole = customers.join(ids, "_f", "left").select("Id", "Name", "Segment", "NationId", F.when(F.col("_known"), F.col("_f")).alias("FriendId"))
+    return Workspace(model, {"Customer": whole, "Nation": nations})
+
+
+def _trade_sql(name: str, gone: int, drop: int, step: int, more: int, spelt: str, names: int, segment: str) -> str:
+    base = f"SELECT c_custkey AS k, {spelt} || c_custkey AS Id, CASE WHEN c_custkey % {names} <> 0 THEN c_name END AS Name, {segment} AS Segment, 'n' || c_nationkey AS NationId, CASE WHEN c_custkey % 4 IN (0, {more}) THEN c_custkey + {step} END AS f FROM customer WHERE c_nationkey % 7 <> {gone} AND c_custkey % 5 <> {drop}"
+    return f"{name}b AS ({base}), {name}c AS (SELECT a.k, a.Id, a.Name, a.Segment, a.NationId, CASE WHEN b.k IS NOT NULL THEN 'c' || a.f END AS FriendId FROM {name}b a LEFT JOIN {name}b b ON a.f = b.k), {name}n AS (SELECT 'n' || n_nationkey AS Id, n_name AS Name FROM nation WHERE n_nationkey % 7 <> {gone})"
+
+
+_SIDES = _trade_sql("l", 3, 1, 10, 1, "'c'", 3, "c_mktsegment") + ", " + _trade_sql("r", 5, 2, 5, 2, "CASE WHEN c_custkey % 11 = 0 THEN 'C' ELSE 'c' END", 6, "CASE WHEN c_custkey % 8 = 0 THEN 'NEW' ELSE c_mktsegment END")
+
+
+def _plan_sql() -> str:
+    p = lambda stage, level, op, entity, e, i, member="NULL", value="NULL", cells="NULL", m=0: f"SELECT {stage} AS stage, {level} AS level, '{op}' AS operation, '{entity}' AS entity, {e} AS e, {i} AS id, {member} AS member, {value} AS value, {cells} AS cells, {m} AS m FROM "
+    both, new, gone = "lc a JOIN rc b ON a.k = b.k", "rc b ANTI JOIN lc a ON a.k = b.k", "lc a ANTI JOIN rc b ON a.k = b.k"
+    filled = "array_to_string(list_filter([CASE WHEN b.Name IS NOT NULL THEN 'Name=' || b.Name END, 'NationId=' || b.NationId, 'Segment=' || b.Segment], lambda x: x IS NOT NULL), '|')"
+    steps = [p(1, 0, "RenameRecord", "Customer", 0, "a.Id", "'Id'", "b.Id") + f"{both} WHERE a.Id <> b.Id"]
+    steps += [p(2, 1, "InsertRecord", "Customer", 0, "b.Id", cells=filled) + f"{new} WHERE NOT EXISTS (SELECT 1 FROM ln WHERE ln.Id = b.NationId)", p(2, 0, "InsertRecord", "Customer", 0, "b.Id", cells=filled) + f"{new} WHERE EXISTS (SELECT 1 FROM ln WHERE ln.Id = b.NationId)", p(2, 0, "InsertRecord", "Nation", 1, "b.Id", cells="'Name=' || b.Name") + "rn b ANTI JOIN ln a ON a.Id = b.Id"]
+    for m, (c, kind) in enumerate((("Name", "Property"), ("Segment", "Property"), ("NationId", "Relationship"), ("FriendId", "Relationship")), 1):
+        steps.append(p(3, 0, f"Set{kind}", "Customer", 0, "b.Id", f"'{c}'", f"b.{c}", m=m) + f"{both} WHERE b.{c} IS NOT NULL AND b.{c} IS DISTINCT FROM a.{c}")
+        steps.append(p(3, 0, f"Clear{kind}", "Customer", 0, "b.Id", f"'{c}'", m=m) + f"{both} WHERE b.{c} IS NULL AND a.{c} IS NOT NULL")
+    steps += [p(4, 0, "SetRelationship", "Customer", 0, "b.Id", "'FriendId'", "b.FriendId", m=4) + f"{new} WHERE b.FriendId IS NOT NULL", p(5, 0, "ClearRelationship", "Customer", 0, "a.Id", "'FriendId'", m=4) + f"{gone} WHERE a.FriendId IS NOT NULL"]
+    steps += [p(6, 1, "DeleteRecord", "Customer", 0, "a.Id") + f"{gone} WHERE NOT EXISTS (SELECT 1 FROM rn WHERE rn.Id = a.NationId)", p(6, 0, "DeleteRecord", "Customer", 0, "a.Id") + f"{gone} WHERE EXISTS (SELECT 1 FROM rn WHERE rn.Id = a.NationId)", p(6, 0, "DeleteRecord", "Nation", 1, "a.Id") + "ln a ANTI JOIN rn b ON a.Id = b.Id"]
+    return f"WITH {_SIDES}, steps AS ({' UNION ALL '.join(steps)}) SELECT CAST(row_number() OVER (ORDER BY stage, CASE WHEN stage = 6 THEN -level ELSE level END, e, upper(id), m) AS BIGINT) AS step, operation, entity, id, member, value, cells FROM steps"
+
+
+@query(_plan_sql())
+def sync_plan_ordered(spark, sf):
+    """Every operation between two states of customers and nations, numbered so that references stay whole."""
+    plan = ordering.ordered_plan(_trade(spark, sf, "left"), _trade(spark, sf, "right"))
+    cells = F.array_join(F.array_sort(F.transform(F.map_entries("cells"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), "|")
+    return plan.select("step", "operation", "entity", "id", "member", "value", cells.alias("cells"))
+
+
+@query(f"WITH {_SIDES} SELECT 'Customer' AS entity, Id, Name, Segment, NationId, FriendId FROM rc UNION ALL SELECT 'Nation', Id, Name, NULL, NULL, NULL FROM rn")
+def sync_plan_ordered_applied(spark, sf):
+    """The ordered plan applied stage by stage, the state checked after each."""
+    left, right = _trade(spark, sf, "left"), _trade(spark, sf, "right")
+    out, none = ordering.applied(left, ordering.ordered_plan(left, right)), F.lit(None).cast("string")
+    nations = out["Nation"].select(F.lit("Nation").alias("entity"), "Id", "Name", none.alias("Segment"), none.alias("NationId"), none.alias("FriendId"))
+    return out["Customer"].select(F.lit("Customer").alias("entity"), "Id", "Name", "Segment", "NationId", "FriendId").unionByName(nations)
+
+
+def _persons(spark, sf) -> tuple[Workspace, Workspace]:
+    """The right side of _two() under another model."""
+    left, right = _two(spark, sf)
+    model = Model("Persons", (Entity("Person", (Property("Title", False), Property("Kind"), Property("Extra"))), Entity("Loose")))
+    people = right["Customer"].select("Id", F.col("Name").alias("Title"), F.col("Segment").alias("Kind"), F.lit("x").alias("Extra"))
+    return left, Workspace(model, {"Person": people, "Loose": people.select("Id")})
+
+
+def _aligned_diff(spark, sf) -> tuple[Workspace, Workspace]:
+    left, right = _persons(spark, sf)
+    maps = D.alignment(left.model, right.model, {"Customer": "Person"}, {("Customer", "Name"): "Title", ("Customer", "Segment"): "Kind"}, spark)
+    return left, D.aligned_diff(left, right, maps)
+
+
+@query(
+    f"SELECT 'ModelLeftPropertyInstanceNotInRight' AS entity, 'Customer:Person:' || CAST(c_custkey AS VARCHAR) || ':Customer:Segment' AS Id, c_mktsegment AS value {_BOTH} AND c_custkey % 5 = 0"
+    f" UNION ALL SELECT 'ModelLeftPropertyInstanceNotInRight', 'Customer:Person:' || CAST(c_custkey AS VARCHAR) || ':Customer:Name', c_name {_BOTH} AND c_custkey % 11 = 0"
+    f" UNION ALL SELECT 'ModelRightPropertyInstanceNotInLeft', 'Customer:Person:' || CAST(c_custkey AS VARCHAR) || ':Customer:Segment', 'NEW' {_BOTH} AND c_custkey % 5 = 0"
+    " UNION ALL SELECT CASE WHEN c_custkey % 9 = 0 THEN 'ModelLeftEntityInstanceNotInRight' ELSE 'ModelRightEntityInstanceNotInLeft' END, 'Customer:Person:' || CAST(c_custkey AS VARCHAR), NULL FROM customer WHERE (c_custkey % 7 = 0) <> (c_custkey % 9 = 0)"
+)
+def aligned_diff_workspace(spark, sf):
+    """What the sides of two models lack of each other, as a diff through an alignment stores it."""
+    (_, ws), out = _aligned_diff(spark, sf), None
+    for side, other in (("Left", "Right"), ("Right", "Left")):
+        rows = ws[f"Model{side}EntityInstanceNotIn{other}"].select("Id", F.lit(None).cast("string").alias("value"), F.lit(f"Model{side}EntityInstanceNotIn{other}").alias("entity"))
+        values = ws[f"Model{side}PropertyInstance"].select("Id", F.col("Value").alias("value"))
+        part = rows.unionByName(ws[f"Model{side}PropertyInstanceNotIn{other}"].select("Id").join(values, "Id").withColumn("entity", F.lit(f"Model{side}PropertyInstanceNotIn{other}")))
+        out = part if out is None else out.unionByName(part)
+    return out.select("entity", "Id", "value")
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS Id, CASE WHEN c_custkey % 11 <> 0 THEN c_name END AS Name, CASE WHEN c_custkey % 5 = 0 THEN 'NEW' ELSE c_mktsegment END AS Segment FROM customer WHERE c_custkey % 9 <> 0")
+def aligned_merge(spark, sf):
+    """What a diff through an alignment makes of its left side."""
+    left, diff = _aligned_diff(spark, sf)
+    return D.merge_aligned(left, diff)["Customer"]
+
+
 # files
 
 
@@ -614,6 +773,18 @@ def xml_round_trip(spark, sf):
     return files.read_published(spark, version)["Nation"]
 
 
+@query("SELECT CAST(c_custkey AS VARCHAR) AS Id, c_name AS Name, CASE WHEN c_custkey = 7 THEN 'changed' ELSE c_mktsegment END AS Segment, CAST(c_nationkey AS VARCHAR) AS NationId FROM customer")
+def xml_shards(spark, sf):
+    """A workspace published twice as XML shards; the second version lists what has not changed again, and is read."""
+    ws, path = star(spark, sf), f"{shared_folder(spark)}/shards-{uuid.uuid4().hex}"
+    names = ("Region", "Nation", "Customer")
+    some = Workspace(Model("Geo", tuple(ws.model.entity(n) for n in names)), {n: ws[n] for n in names})
+    first = shards.publish(some, path, "")
+    changed = some.with_data("Customer", some["Customer"].withColumn("Segment", F.when(F.col("Id") == "7", F.lit("changed")).otherwise(F.col("Segment"))))
+    shards.publish(changed, path, first.fingerprint)
+    return shards.opened(spark, path, verify=True)[0]["Customer"]
+
+
 @query("SELECT CAST(c_custkey AS VARCHAR) AS Id, c_name AS Name, c_mktsegment AS Segment, CAST(c_nationkey AS VARCHAR) AS NationId FROM customer")
 def csv_round_trip(spark, sf):
     """An entity exported as CSV, read again and imported."""
@@ -646,7 +817,75 @@ def csv_merge_plan(spark, sf):
 def bulk_upsert(spark, sf):
     n = star(spark, sf)["Nation"].select("Id", "Name")
     rows = [(str(i), f"{c}{i}", 10 * k + i) for k, c in enumerate("ab") for i in range(3)] + [(None, "new", 99), ("1", None, 98)]
-    return files.upsert(n, R.values(spark, ["Id", "Name", "ord"], rows).drop("_row"), "ord")
+    return files.upsert(n, R.values(spark, ["Id", "Name", "ord"], rows).drop("_row"), "ord", auto_id=True)
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS Id, c_name AS Name, CASE WHEN c_custkey % 3 = 0 THEN 'by id' WHEN c_custkey % 5 = 0 THEN 'BY ' || lower(c_name) ELSE c_mktsegment END AS Segment FROM customer UNION ALL SELECT 'x' || CAST(c_custkey AS VARCHAR), 'new ' || c_name, 'by id' FROM customer WHERE c_custkey % 100 = 1")
+def bulk_upsert_key(spark, sf):
+    """Customers named by Id, known or new, or else by their name in any case, of which there is one."""
+    c = star(spark, sf)["Customer"].select("Id", "Name", "Segment")
+    k, none = F.col("Id").cast("long"), F.lit(None).cast("string")
+    by_id = c.where(k % 3 == 0).select(F.concat(F.lit(" "), "Id").alias("Id"), none.alias("Name"), F.lit("by id").alias("Segment"))
+    by_name = c.where((k % 5 == 0) & (k % 3 != 0)).select(none.alias("Id"), F.concat(F.lower("Name"), F.lit(" ")).alias("Name"), F.concat(F.lit("BY "), F.lower("Name")).alias("Segment"))
+    new = c.where(k % 100 == 1).select(F.concat(F.lit("x"), "Id").alias("Id"), F.concat(F.lit("new "), "Name").alias("Name"), F.lit("by id").alias("Segment"))
+    rows = by_id.unionByName(by_name).unionByName(new).withColumn("ord", F.monotonically_increasing_id())
+    out = files.upsert(c, rows, "ord", ["Name"])
+    # a key's spelling is a cell like others
+    return out.join(c.select("Id", F.col("Name").alias("_n")), "Id", "left").select("Id", F.coalesce("_n", "Name").alias("Name"), "Segment")
+
+
+_AUTO = "(SELECT o_orderkey AS ord, CASE WHEN o_orderkey % 7 = 0 THEN 100000000 + o_orderkey * 3 END AS g FROM orders WHERE o_orderkey % 2 = 1)"
+
+
+@query(f"WITH r AS (SELECT ord, g, count(*) FILTER (WHERE g IS NULL) OVER (ORDER BY ord) AS c FROM {_AUTO}), s AS (SELECT ord, g, c, max(CASE WHEN g IS NOT NULL THEN g - c END) OVER (ORDER BY ord) AS s FROM r), n AS (SELECT coalesce(g, greatest((SELECT max(c_custkey) FROM customer), coalesce(s, 0)) + c) AS id, ord FROM s) SELECT CAST(id AS VARCHAR) AS Id, 'order ' || max(ord) AS Name FROM n GROUP BY id UNION ALL SELECT CAST(c_custkey AS VARCHAR), c_name FROM customer")
+def bulk_upsert_auto(spark, sf):
+    """Orders as new customers: some with ids of their own, the others with the next number at their place."""
+    c = star(spark, sf)["Customer"].select("Id", "Name")
+    o = star(spark, sf, typed=True)["Order"].where(F.col("Id") % 2 == 1)
+    rows = o.select(F.when(F.col("Id") % 7 == 0, (100000000 + F.col("Id") * 3).cast("string")).alias("Id"), F.concat(F.lit("order "), "Id").alias("Name"), F.col("Id").alias("ord"))
+    return files.upsert(c, rows, "ord", auto_id=True)
+
+
+def _import_rows(spark, sf) -> tuple[Workspace, DataFrame]:
+    """Customers with optional sponsors, and rows for some of them and for new ones, as a CSV file would bring them."""
+    ws, k = star(spark, sf), F.col("Id").cast("long")
+    model = Model("Import", (Entity("Nation", (Property("Name"),)), Entity("Customer", (Property("Name"), Property("Segment", False)), (Relationship("Nation"), Relationship("Customer", "Sponsor", False)))))
+    old = ws["Customer"].where(k % 4 != 0).select("Id", "Name", "Segment", "NationId", F.lit(None).cast("string").alias("SponsorId"))
+    rows = ws["Customer"].where(k % 3 != 0).select("Id", "Name", F.when(k % 5 != 0, F.lit("NEW")).alias("segment"), "NationId", F.when(k % 2 == 0, F.when(k > 4, (k - 4).cast("string"))).alias("SponsorId"))
+    there = rows.select(F.col("Id").alias("SponsorId"), F.lit(True).alias("_ok")).unionByName(old.select("Id", F.lit(True)).toDF("SponsorId", "_ok")).distinct()
+    rows = rows.join(there, "SponsorId", "left").select("Id", "Name", "segment", "NationId", F.when(F.col("_ok"), F.col("SponsorId")).alias("SponsorId"))
+    return Workspace(model, {"Nation": ws["Nation"].select("Id", "Name"), "Customer": old}), rows
+
+
+_IMPORT = "i0 AS (SELECT c_custkey AS k, c_name AS Name, CASE WHEN c_custkey % 5 <> 0 THEN 'NEW' END AS Segment, CAST(c_nationkey AS VARCHAR) AS NationId, CASE WHEN c_custkey % 2 = 0 AND c_custkey > 4 AND NOT ((c_custkey - 4) % 3 = 0 AND (c_custkey - 4) % 4 = 0) THEN c_custkey - 4 END AS sk FROM customer WHERE c_custkey % 3 <> 0), i AS (SELECT *, k % 4 = 0 AS fresh, CAST(sk AS VARCHAR) AS SponsorId, coalesce(sk % 4 = 0, false) AS late, CAST(k AS VARCHAR) AS id FROM i0)"
+
+
+def _import_sql() -> str:
+    p = lambda op, late, place, member="NULL", value="NULL", cells="NULL": f"SELECT {late} AS late, {place} AS place, '{op}' AS operation, id, {member} AS member, {value} AS value, {cells} AS cells FROM i WHERE "
+    filled = "array_to_string(list_filter(['Name=' || Name, 'NationId=' || NationId, CASE WHEN Segment IS NOT NULL THEN 'Segment=' || Segment END], lambda x: x IS NOT NULL), '|')"
+    steps = [p("InsertRecord", "false", 0, cells=filled) + "fresh", p("SetProperty", "false", 1, "'Name'", "Name") + "NOT fresh", p("SetProperty", "false", 2, "'Segment'", "Segment") + "NOT fresh AND Segment IS NOT NULL", p("ClearProperty", "false", 2, "'Segment'") + "NOT fresh AND Segment IS NULL"]
+    steps += [p("SetRelationship", "false", 3, "'NationId'", "NationId") + "NOT fresh", p("SetRelationship", "late", 4, "'SponsorId'", "SponsorId") + "SponsorId IS NOT NULL", p("ClearRelationship", "false", 4, "'SponsorId'") + "NOT fresh AND SponsorId IS NULL"]
+    return f"WITH {_IMPORT}, steps AS ({' UNION ALL '.join(steps)}) SELECT CAST(row_number() OVER (ORDER BY late, id, place) AS BIGINT) AS step, operation, id, member, value, cells FROM steps"
+
+
+@query(_import_sql())
+def csv_import_plan(spark, sf):
+    """Rows brought into an entity that is there: inserts, cells, and last the references to records that are only coming."""
+    ws, rows = _import_rows(spark, sf)
+    cells = F.array_join(F.array_sort(F.transform(F.map_entries("cells"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), "|")
+    return imports.import_plan(ws, "Customer", rows).select("step", "operation", "id", "member", "value", cells.alias("cells"))
+
+
+@query(f"WITH {_IMPORT} SELECT id AS Id, Name, Segment, NationId, SponsorId FROM i UNION ALL SELECT CAST(c_custkey AS VARCHAR), c_name, c_mktsegment, CAST(c_nationkey AS VARCHAR), NULL FROM customer WHERE c_custkey % 3 = 0 AND c_custkey % 4 <> 0")
+def csv_import_applied(spark, sf):
+    ws, rows = _import_rows(spark, sf)
+    return imports.imported(ws, "Customer", imports.import_plan(ws, "Customer", rows))["Customer"]
+
+
+@query("SELECT CAST(1 AS BIGINT) AS step, 'AddEntity' AS operation, NULL AS id, NULL AS member, NULL AS value UNION ALL SELECT 2, 'AddProperty', NULL, 'Name', 'true' UNION ALL SELECT 3, 'AddProperty', NULL, 'Segment', CASE WHEN (SELECT count(*) FROM customer WHERE c_custkey % 5 = 0) = 0 THEN 'true' ELSE 'false' END UNION ALL SELECT 3 + row_number() OVER (ORDER BY CAST(c_custkey AS VARCHAR)), 'InsertRecord', CAST(c_custkey AS VARCHAR), NULL, NULL FROM customer")
+def csv_import_new_entity(spark, sf):
+    rows = star(spark, sf)["Customer"].select("Id", "Name", F.when(F.col("Id").cast("long") % 5 != 0, F.col("Segment")).alias("Segment"))
+    return imports.import_plan(Workspace(Model("Empty")), "Client", rows).select("step", "operation", "id", "member", "value")
 
 
 # operations
@@ -759,7 +998,7 @@ def flagship(spark, sf):
     o, c = ws["Order"].alias("o"), ws["Customer"].alias("c")
     each = R.join(o, c, F.col("o.CustomerId") == F.col("c.Id")).groupBy(F.col("c.Segment").alias("segment"), F.col("o.Status").alias("status")).agg(F.count(F.lit(1)).alias("n"), F.count(S.case([(S.like("o.Priority", "1-%"), "u")])).alias("u"))
     total = each.groupBy("segment").agg(F.sum("n").alias("orders"), R.string_agg("status", ",", [(S.fold("status"), True)], [F.col("status")]).alias("statuses"), F.sum("u").alias("urgent"))
-    return total.withColumn("rank", R.row_number([], [(-F.col("orders"), True)], [F.col("segment")]))
+    return ranges.row_numbers(total, [(F.col("orders"), False)], [F.col("segment")], "rank")
 
 
 @query("SELECT c_mktsegment AS segment, n_name AS nation, l_returnflag AS flag, count(*) AS lines FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderpriority <> '5-LOW' GROUP BY c_mktsegment, n_name, l_returnflag")

@@ -10,8 +10,10 @@ from xml.etree import ElementTree
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scalar import fold
 from ..model import ID_PATTERN, Entity, Model, Property, Relationship, Workspace
-from ..session import shared_folder
+from ..operators.ordering import record_levels
+from ..operators.ranges import correlated, kept, numbered
 
 
 class ImportFault(ValueError):
@@ -78,43 +80,95 @@ def export_csv(ws: Workspace, entity: str, path: str) -> None:
     ws[e.name].select(*columns).orderBy("Id").write.mode("overwrite").options(header=True, quote='"', escape='"', emptyValue="").csv(path)
 
 
-def _numbered(rows: DataFrame, order: str) -> DataFrame | None:
-    """rows with _n, their number from 1 by order; None for no rows. Each task numbers its range; only the ranges' sizes are gathered."""
-    spark = rows.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    # checkpointed, as ranges are sampled anew each time
-    at = rows.repartitionByRange(order).sortWithinPartitions(order).withColumn("_m", F.monotonically_increasing_id()).checkpoint()
-    sizes = sorted(at.groupBy(F.shiftright("_m", 33).alias("p")).agg(F.count(F.lit(1)).alias("n")).collect())
-    if not sizes:
-        return None
-    before = [(p, sum(n for _, n in sizes[:i])) for i, (p, _) in enumerate(sizes)]
-    offsets = spark.createDataFrame(before, "_p long, _before long")
-    return at.withColumn("_p", F.shiftright("_m", 33)).join(F.broadcast(offsets), "_p").withColumn("_n", F.col("_before") + F.col("_m").bitwiseAND((1 << 33) - 1) + 1).drop("_m", "_p", "_before")
+# bulk upserts
 
 
-def upsert(existing: DataFrame, incoming: DataFrame, order: str, key: Sequence[str] = ()) -> DataFrame:
-    """existing with incoming's cells put in; incoming has a column order, its rows' place.
+def read_upsert(spark: SparkSession, path: str, order: str = "ord") -> DataFrame:
+    """Rows of a tab- or comma-separated text file with order, their place: tabs in the first line tell which.
 
-    Rows find their record by Id, or by the key columns in any case, which must name one record. Without either they
-    get the next free numbers as ids. Of rows for the same record the last filled cell of each member counts.
+    Cells are trimmed and not quoted; empty lines are left out. A blank header name faults, as does, when it is met, a
+    row with more or fewer cells than the header.
     """
+    read = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("m"))
+    lines = numbered(read.where(F.col("value") != ""), [F.asc(c) for c in ("f", "b", "m")], "_n")
+    head = lines.where("_n = 1").first()
+    if head is None:
+        raise ImportFault("UpsertHeaderMissing")
+    tab = "\t" if "\t" in head.value else ","
+    names = [h.replace("\ufeff", "").strip() for h in head.value.split(tab)]
+    if not all(names):
+        raise ImportFault("UpsertHeaderInvalid")
+    parts = F.split("value", tab, -1)
+    right = F.when(F.size(parts) == len(names), parts).otherwise(F.raise_error(F.lit("fault:UpsertColumnCountInvalid")).cast("array<string>"))
+    rows = lines.where("_n > 1").select(right.alias("_parts"), F.col("_n").alias(order))
+    return rows.select(*[F.trim(F.col("_parts")[i]).alias(n) for i, n in enumerate(names)], order)
+
+
+def _by_key(rows: DataFrame, existing: DataFrame, key: Sequence[str]) -> DataFrame:
+    """rows, without ids, with the Id of the one record whose key columns they name in any case."""
+    side = existing.groupBy(*[fold(c).alias(f"_k{i}") for i, c in enumerate(key)]).agg(F.countDistinct(F.upper("Id")).alias("_n"), F.min("Id").alias("_id"))
+    given = rows.withColumns({f"_g{i}": F.trim(c) for i, c in enumerate(key)})
+    met = given.join(side, [fold(f"_g{i}") == F.col(f"_k{i}") for i in range(len(key))], "left")
+    blank = F.exists(F.array(*[F.coalesce(F.col(f"_g{i}"), F.lit("")) == "" for i in range(len(key))]), lambda x: x)
+    fault = lambda code: F.raise_error(F.lit(f"fault:{code}")).cast("string")
+    found = F.when(blank, fault("UpsertKeyMissing")).when(F.col("_n").isNull(), fault("UpsertKeyNotFound")).when(F.col("_n") > 1, fault("UpsertKeyAmbiguous")).otherwise(F.col("_id"))
+    return met.withColumn("Id", found).select(*rows.columns)
+
+
+def _by_number(rows: DataFrame, existing: DataFrame, order: str) -> DataFrame:
+    """rows with numbers for missing ids: one more than the largest among existing ids, those given before, and those made before.
+
+    The n-th made id is n more than the largest start, where a number g that is given after m made ones starts at
+    g - m; both are lookups along the order of the rows.
+    """
+    top = existing.agg(F.coalesce(F.max(F.col("Id").try_cast("long")), F.lit(0)).alias("top"), F.count(F.when(F.col("Id").try_cast("long").isNull(), 1)).alias("bad")).first()
+    if top.bad:
+        raise ImportFault("UpsertAutoIdNotNumeric")
+    rows = kept(rows, "upsert-rows")
+    made = rows.where(F.col("Id").isNull())
+    counted = correlated(rows, made, [], F.col(order), "<=", F.col(order), F.lit(1), "count", "_c")
+    given = counted.where(F.col("Id").try_cast("long").isNotNull()).select(order, (F.col("Id").try_cast("long") - F.col("_c")).alias("_s"))
+    started = correlated(counted.where(F.col("Id").isNull()), given, [], F.col(order), "<", F.col(order), F.col("_s"), "max", "_s")
+    fresh = started.withColumn("Id", (F.greatest(F.lit(top.top).cast("long"), F.coalesce("_s", F.lit(top.top).cast("long"))) + F.col("_c")).cast("string"))
+    return rows.where(F.col("Id").isNotNull()).unionByName(fresh.select(*rows.columns))
+
+
+def upsert(existing: DataFrame, incoming: DataFrame, order: str, key: Sequence[str] = (), auto_id: bool = False, entity: Entity | None = None) -> DataFrame:
+    """existing with incoming's cells put in; incoming has a column order, its rows' place, all different.
+
+    A row finds its record by its trimmed Id if it has one, new or not. Without one it gets the next number with
+    auto_id, for which all existing ids must be numbers; else the key columns must name one record in any case; else
+    it faults. Of rows for the same record the last filled cell of each member counts, and the first row's spelling
+    of a new id. A column that existing lacks faults. With entity, required references of new records to their own
+    kind are followed, and a cycle or an open one faults. What to do step by step is ordering.ordered_plan() of the
+    table before and after.
+    """
+    known = {c.upper(): c for c in existing.columns}
+    if unknown := [c for c in incoming.columns if c.upper() not in known and c != order]:
+        raise ImportFault(f"UpsertColumnUnknown: {unknown[0]}")
+    rows = incoming.toDF(*[c if c == order else known[c.upper()] for c in incoming.columns])
+    if "Id" not in rows.columns:
+        rows = rows.withColumn("Id", F.lit(None).cast("string"))
+    rows = rows.withColumn("Id", F.when(F.trim("Id") != "", F.trim("Id")))
+    if auto_id:
+        rows = _by_number(rows, existing, order)
+    elif key:
+        rows = rows.where(F.col("Id").isNotNull()).unionByName(_by_key(rows.where(F.col("Id").isNull()), existing, [known[k.upper()] for k in key]))
+    else:
+        rows = rows.withColumn("Id", F.coalesce("Id", F.raise_error(F.lit("fault:UpsertIdMissing")).cast("string")))
     members = [c for c in existing.columns if c != "Id"]
-    rows = incoming
-    if key:
-        side = existing.groupBy(*[F.upper(c).alias(f"_k{i}") for i, c in enumerate(key)]).agg(F.count(F.lit(1)).alias("_n"), F.min("Id").alias("_id"))
-        rows = rows.drop("Id").join(side, [F.upper(rows[c]) == side[f"_k{i}"] for i, c in enumerate(key)], "left")
-        rows = rows.withColumn("Id", F.when(F.col("_n") > 1, F.raise_error(F.lit("fault:UpsertKeyAmbiguous")).cast("string")).otherwise(F.col("_id"))).drop("_n", "_id", *[f"_k{i}" for i in range(len(key))])
-    fresh = _numbered(rows.where(F.col("Id").isNull()), order)
-    if fresh is not None:
-        top = existing.agg(F.coalesce(F.max(F.col("Id").try_cast("long")), F.lit(0)).alias("_top"))  # one row
-        fresh = fresh.crossJoin(F.broadcast(top)).withColumn("Id", (F.col("_top") + F.col("_n")).cast("string")).drop("_top", "_n")
-        rows = rows.where(F.col("Id").isNotNull()).unionByName(fresh)
     given = [c for c in members if c in rows.columns]
     last = rows.groupBy(F.upper("Id").alias("_k")).agg(F.min_by("Id", order).alias("_new"), *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(f"_b_{c}") for c in given])
     both = existing.withColumn("_k", F.upper("Id")).join(last, "_k", "full_outer")
     cell = lambda c: F.coalesce(f"_b_{c}", c).alias(c) if c in given else F.col(c)
-    return both.select(F.coalesce("Id", "_new").alias("Id"), *[cell(c) for c in members])
+    out = both.select(F.coalesce("Id", "_new").alias("Id"), *[cell(c) for c in members], F.col("Id").isNull().alias("_fresh"))
+    own = [r for r in entity.relationships if r.required and r.entity.upper() == entity.name.upper()] if entity is not None else []
+    if own:
+        out = kept(out, "upserted")
+        alone = Model("Upsert", (Entity(entity.name, (), tuple(own)),))
+        side = lambda df: Workspace(alone, {entity.name: df.select("Id", *[r.column for r in own])})
+        record_levels(side(out.where("_fresh")), present=side(out.where("NOT _fresh")))
+    return out.drop("_fresh")
 
 
 # XML

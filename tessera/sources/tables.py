@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..model import Entity, Model, Property, Relationship, Workspace
+from ..operators.ordering import differences
 
 _P, _R = Property, Relationship
 STAR = Model(
@@ -130,27 +131,55 @@ def to_jdbc(ws: Workspace, url: str, schema: str = "dbo", mode: str = "append",
         rows.write.format("jdbc").options(url=url, dbtable=table, **options).mode(mode).save()
         if verify:
             back = ws[e.name].sparkSession.read.format("jdbc").options(url=url, dbtable=table, **options).load().toDF(*e.columns)
-            lost = rows.exceptAll(back) if mode == "append" else first_difference(Workspace(Model("w", (e,)), {e.name: rows}), Workspace(Model("w", (e,)), {e.name: back}))
+            lost = differences(rows, back).where("_n > 0") if mode == "append" else first_difference(Workspace(Model("w", (e,)), {e.name: rows}), Workspace(Model("w", (e,)), {e.name: back}))
             if not lost.isEmpty():
                 raise RuntimeError(f"WriteVerificationFailed: {e.name}")
 
 
+def model_difference(left: Model, right: Model) -> str | None:
+    """The first difference of two models' contracts by name, whatever the order of members: a text, or None."""
+    if left.name != right.name:
+        return f"ModelName: {left.name}, {right.name}"
+    if len(left.entities) != len(right.entities):
+        return f"EntityCount: {len(left.entities)}, {len(right.entities)}"
+    theirs = {e.name.upper(): e for e in right.entities}
+    for a in left.entities:
+        b = theirs.get(a.name.upper())
+        if b is None or b.name != a.name:
+            return f"{'EntityMissing' if b is None else 'EntitySpelling'}: {a.name}"
+        for kind, ours, other in (("Property", a.properties, b.properties), ("Relationship", a.relationships, b.relationships)):
+            if len(ours) != len(other):
+                return f"{kind}Count: {a.name}, {len(ours)}, {len(other)}"
+            name = lambda m: m.name if isinstance(m, Property) else m.column
+            known = {name(m).upper(): m for m in other}
+            for m in ours:
+                if known.get(name(m).upper()) != m:
+                    return f"{kind}{'Differs' if name(m).upper() in known else 'Missing'}: {a.name}.{name(m)}"
+    return None
+
+
 def first_difference(left: Workspace, right: Workspace) -> DataFrame:
     """(entity, id, member, left, right): the first cell by entity, id and member that two workspaces of one model do not share.
 
-    No row if they hold the same. A record that one side lacks differs in its Id.
+    No row if they hold the same; models that differ fault with the first difference. A record that one side lacks
+    differs in its Id. References compare in any case, all else as it is. Of records that share an id all count, so
+    that one written twice, or in place of another, shows.
     """
-    if left.model.signature() != right.model.signature():
-        raise ValueError("WorkspaceModelMismatch")
+    if (apart := model_difference(left.model, right.model)) is not None:
+        raise ValueError(f"WorkspaceModelMismatch: {apart}")
     out = None
     for place, e in enumerate(left.model.entities):
-        flat = lambda ws, e=e: ws[e.name].select(F.col("Id").alias("id"), F.posexplode(F.array(*e.columns)).alias("at", "v"))
-        a, b = (flat(ws).groupBy("id", "at").agg(F.max("v").alias(side), F.count(F.lit(1)).alias(f"n_{side}")) for ws, side in ((left, "left"), (right, "right")))
-        apart = a.join(b, ["id", "at"], "full_outer").where(~(F.col("left").eqNullSafe(F.col("right")) & F.col("n_left").eqNullSafe(F.col("n_right"))))
+        links = {r.column for r in e.relationships}
+        cells = F.array(*[F.struct(F.col(c).alias("v"), (F.upper(c) if c in links else F.col(c)).alias("key")) for c in e.columns])
+        flat = lambda ws, side, cells=cells, e=e: ws[e.name].select(F.col("Id").alias("id"), F.lit(side).alias("side"), F.posexplode(cells).alias("at", "c"))
+        both = flat(left, 1).unionByName(flat(right, -1))
+        of = lambda side: F.max(F.when(F.col("side") == side, F.col("c.v")))
+        # sums of digests tell multisets of values apart
+        apart = both.groupBy("id", "at").agg(of(1).alias("left"), of(-1).alias("right"), F.sum("side").alias("n"), F.sum(F.xxhash64("c.key").cast("decimal(38,0)") * F.col("side")).alias("h")).where("n <> 0 OR h <> 0")
         one = apart.select(F.lit(place).alias("_e"), F.lit(e.name).alias("entity"), "id", F.element_at(F.array(*map(F.lit, e.columns)), F.col("at") + 1).alias("member"), F.col("at").alias("_a"), "left", "right").orderBy("id", "_a").limit(1)
         out = one if out is None else out.union(one)
     return out.orderBy("_e").limit(1).drop("_e", "_a")
 
 
 def same_rows(a: DataFrame, b: DataFrame) -> bool:
-    return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+    return differences(a, b).isEmpty()

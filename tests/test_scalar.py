@@ -131,3 +131,28 @@ def test_recursion(spark):
     assert rows(got) == [("a", "root/a"), ("b", "root/b"), ("c", "root/a/c"), ("root", "root")]
     with pytest.raises(RuntimeError, match="DidNotAdvance"):
         R.recursive(n.select("Id"), lambda t: t)
+
+
+def test_recursion_stops_at_its_limit_and_at_repeats_in_any_case(spark):
+    start = spark.createDataFrame([(0,)], "n int")
+    step = lambda most: lambda t: t.select((F.col("n") + 1).alias("n")).where(F.col("n") < most)
+    assert R.recursive(start, step(3), limit=3).count() == 3
+    with pytest.raises(RuntimeError, match="RecursionLimitExceeded"):
+        R.recursive(start, step(4), limit=3)
+    flip = lambda t: t.select(F.when(F.col("s") == "a", "A").otherwise("a").alias("s"))
+    with pytest.raises(RuntimeError, match="RecursionDidNotAdvance"):
+        R.recursive(spark.createDataFrame([("a",)], "s string"), flip, limit=9)
+
+
+def test_places_count_utf16_units(spark):
+    """Texts with characters of two units against Python's UTF-16."""
+    texts = ["a😀b", "😀", "😀𐀀x😁", "plain", "", "é😀"]
+    cut = lambda t, a, b: t.encode("utf-16-le")[2 * a : 2 * b].decode("utf-16-le", "replace")
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for n in range(6):
+        for s in range(-1, 6):
+            got = [tuple(r) for r in df.select(S.substring("t", s, n), S.left("t", n), S.right("t", n), S.length("t")).collect()]
+            for t, (sub, left, right, size) in zip(texts, got):
+                units = len(t.encode("utf-16-le")) // 2
+                a, b = max(0, s - 1), max(0, s - 1 + n)
+                assert (sub, left, right, size) == (cut(t, a, max(a, b)), cut(t, 0, n), cut(t, max(0, units - n), units), units)

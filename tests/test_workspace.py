@@ -149,9 +149,53 @@ def test_csv(spark, tmp_path):
 def test_upsert(spark):
     old = spark.createDataFrame([("1", "a", "p"), ("2", "b", "q")], "Id string, Name string, Kind string")
     new = spark.createDataFrame([("1", "A", None, 1), ("1", None, "P", 2), (None, "c", "r", 3)], "Id string, Name string, Kind string, ord int")
-    assert rows(files.upsert(old, new, "ord")) == [("1", "A", "P"), ("2", "b", "q"), ("3", "c", "r")]
-    by_name = spark.createDataFrame([(None, "B", "Q", 1)], "Id string, Name string, Kind string, ord int")
-    assert rows(files.upsert(old, by_name, "ord", ["Name"])) == [("1", "a", "p"), ("2", "B", "Q")]
+    assert rows(files.upsert(old, new, "ord", auto_id=True)) == [("1", "A", "P"), ("2", "b", "q"), ("3", "c", "r")]
+    by_name = spark.createDataFrame([(None, "B ", "Q", 1)], "Id string, Name string, Kind string, ord int")
+    assert rows(files.upsert(old, by_name, "ord", ["Name"])) == [("1", "a", "p"), ("2", "B ", "Q")]
+    # an Id goes before the key, also a new one
+    both = spark.createDataFrame([(" 2 ", "a", "x", 1), ("9", "a", "y", 2)], "Id string, name string, Kind string, ord int")
+    assert rows(files.upsert(old, both, "ord", ["Name"])) == [("1", "a", "p"), ("2", "a", "x"), ("9", "a", "y")]
+
+
+@pytest.mark.parametrize(
+    ("row", "key", "fault"),
+    [((None, "c", 1), ["Name"], "fault:UpsertKeyNotFound"), ((None, "A", 1), ["Name"], "fault:UpsertKeyAmbiguous"), ((None, " ", 1), ["Name"], "fault:UpsertKeyMissing"), ((" ", "b", 1), [], "fault:UpsertIdMissing")],
+)
+def test_upsert_faults(spark, row, key, fault):
+    old = spark.createDataFrame([("1", "a"), ("2", "b"), ("3", "A")], "Id string, Name string")
+    with pytest.raises(Exception, match=fault):
+        files.upsert(old, spark.createDataFrame([row], "Id string, Name string, ord int"), "ord", key).collect()
+
+
+def test_upsert_checks_columns_numbers_and_self_references(spark):
+    old = spark.createDataFrame([("1", "1"), ("2", "1")], "Id string, ParentId string")
+    new = lambda *rs: spark.createDataFrame([(*r, i) for i, r in enumerate(rs)], "Id string, ParentId string, ord int")
+    with pytest.raises(files.ImportFault, match="UpsertColumnUnknown: Other"):
+        files.upsert(old, new(("3", "1")).withColumn("Other", F.lit(1)), "ord")
+    with pytest.raises(files.ImportFault, match="UpsertAutoIdNotNumeric"):
+        files.upsert(old.union(spark.createDataFrame([("x", "1")])), new((None, "1")), "ord", auto_id=True)
+    tree = Entity("Node", (), (Relationship("Node", "Parent"),))
+    assert files.upsert(old, new(("5", "4"), ("4", "3"), ("3", "2")), "ord", entity=tree).count() == 5
+    with pytest.raises(ValueError, match="RequiredRelationshipCycle: Node:3, Node:4"):
+        files.upsert(old, new(("3", "4"), ("4", "3")), "ord", entity=tree)
+    with pytest.raises(ValueError, match="RelationshipTargetMissing: Node:3"):
+        files.upsert(old, new(("3", "9")), "ord", entity=tree)
+
+
+@pytest.mark.parametrize(("text", "want"), [("\ufeffId\tName \r\n1\t a, b\r\n\r\n2\t\r\n", [("1", "a, b", 2), ("2", "", 3)]), ("Id,Name\n1,x\n,y", [("", "y", 3), ("1", "x", 2)])])
+def test_upsert_text(spark, tmp_path, text, want):
+    (tmp_path / "in.txt").write_text(text, newline="")
+    df = files.read_upsert(spark, str(tmp_path / "in.txt"))
+    assert df.columns == ["Id", "Name", "ord"] and rows(df) == want
+
+
+def test_upsert_text_faults(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("Id,\n1,x")
+    with pytest.raises(files.ImportFault, match="UpsertHeaderInvalid"):
+        files.read_upsert(spark, str(tmp_path / "a.txt"))
+    (tmp_path / "b.txt").write_text("Id,Name\n1,x,y")
+    with pytest.raises(Exception, match="fault:UpsertColumnCountInvalid"):
+        files.read_upsert(spark, str(tmp_path / "b.txt")).collect()
 
 
 def test_xml_and_parquet_round_trip(spark, tmp_path):
@@ -204,9 +248,27 @@ def test_first_difference(spark):
     assert rows(tables.first_difference(left, fewer)) == [("Item", "i1", "Id", "i1", None)]
 
 
+def test_first_difference_of_repeated_ids_and_models(spark):
+    one = Model("W", (Entity("E", (Property("Name"),), (Relationship("E", "Other", False),)),))
+    ws = lambda *rs: Workspace(one, {"E": spark.createDataFrame(rs, "Id string, Name string, OtherId string")})
+    assert tables.first_difference(ws(("1", "a", "X"), ("1", "b", None)), ws(("1", "b", None), ("1", "a", "x"))).isEmpty()
+    assert rows(tables.first_difference(ws(("1", "a", None), ("1", "b", None)), ws(("1", "b", None), ("1", "b", None))).select("id", "member")) == [("1", "Name")]
+    assert tables.first_difference(ws(("1", "a", None)), ws(("1", "A", None))).count() == 1
+    reordered = Model("M", (MODEL.entities[1], MODEL.entities[0]))
+    assert tables.model_difference(MODEL, reordered) is None
+    optional = MODEL.with_entity("Group", Entity("Group", (Property("Name", False),)))
+    assert tables.model_difference(MODEL, optional) == "PropertyDiffers: Group.Name"
+    assert tables.model_difference(MODEL, Model("N")) == "ModelName: M, N" and tables.model_difference(MODEL, Model("M")) == "EntityCount: 2, 0"
+
+
 def test_record_levels(spark):
-    df = spark.createDataFrame([("root", None), ("A", "ROOT"), ("b", "a"), ("x", "y"), ("y", "x"), ("z", "gone")], "Id string, ParentId string")
-    assert rows(V.record_levels(df, "ParentId")) == [("A", 1), ("b", 2), ("root", 0)]
+    nodes = [("root", None), ("A", "ROOT"), ("b", "a")]
+    df = lambda *more: spark.createDataFrame([*nodes, *more], "Id string, ParentId string")
+    assert rows(V.record_levels(df(), "ParentId")) == [("A", 1), ("b", 2), ("root", 0)]
+    with pytest.raises(ValueError, match="RequiredRelationshipCycle: Node:X, Node:Y"):
+        V.record_levels(df(("x", "y"), ("y", "x"), ("behind", "x")), "ParentId")
+    with pytest.raises(ValueError, match="RelationshipTargetMissing: Node:Z"):
+        V.record_levels(df(("z", "gone")), "ParentId")
 
 
 def test_cycle_samples_and_roles():
@@ -221,10 +283,20 @@ def test_query_by_role(spark):
 
 
 def test_numbers_of_new_records_follow_the_order(spark):
-    old = spark.createDataFrame([("7", "a"), ("x", "b")], "Id string, Name string")
-    new = spark.range(0, 500, 1, 9).select(F.when(F.col("id") == 3, "x").alias("Id"), F.concat(F.lit("n"), F.col("id")).alias("Name"), (1000 - F.col("id")).alias("ord"))
-    got = {r.Id: r.Name for r in files.upsert(old, new, "ord").collect()}
-    want = {"7": "a", "x": "n3"} | {str(8 + k): f"n{i}" for k, i in enumerate(i for i in range(499, -1, -1) if i != 3)}
+    """Numbers given before a row raise the next one; those after don't."""
+    old = spark.createDataFrame([("7", "a"), ("3", "b")], "Id string, Name string")
+    given = {3: "3", 100: "600", 101: "x", 200: "20", 450: "9999"}
+    new = spark.range(0, 500, 1, 9).select(F.create_map(*[F.lit(x) for p in given.items() for x in p])[F.col("id").cast("int")].alias("Id"), F.concat(F.lit("n"), F.col("id")).alias("Name"), (1000 - F.col("id")).alias("ord"))
+    got = {r.Id: r.Name for r in files.upsert(old, new, "ord", auto_id=True).collect()}
+    want, top = {"7": "a", "3": "b"}, 7
+    for i in range(499, -1, -1):
+        k = given.get(i)
+        if k is None:
+            top += 1
+            k = str(top)
+        elif k.isdigit():
+            top = max(top, int(k))
+        want[k] = f"n{i}"
     assert got == want
 
 
