@@ -14,8 +14,8 @@ from .shards import content_digest
 from .tables import _name
 
 RETRIES = 3
-#: The type of text columns that ids and references, and properties, get in new tables.
-ID_TYPE, TEXT_TYPE = "VARCHAR(450)", "VARCHAR(4000)"
+#: Lengths of the columns of ids and references, and of properties, in new tables.
+ID_CHARS, TEXT_CHARS = 450, 4000
 
 
 def _quoted(text: str) -> str:
@@ -40,7 +40,7 @@ def id_ranges(spark: SparkSession, url: str, table: str, parts: int, **options:
     cuts: list[str] = []
     for at in places:
         found = _ask(spark, url, f"SELECT {key} AS k FROM {table} ORDER BY {key} OFFSET {at} ROWS FETCH NEXT 1 ROWS ONLY", options)
-        cut = found[0].k if found else None
+        cut = found[0][0] if found else None  # a database may change the case of names
         if cut is not None:
             literal = _quoted(cut) if isinstance(cut, str) else str(cut)
             if literal not in cuts:
@@ -131,26 +131,45 @@ def create_tables(spark: SparkSession, model: Model, url: str, schema: str = "db
             _run(c, _create(e, _name(schema, e.name), schema if keys else None))
 
 
-def _create(e: Entity, table: str, keys_in: str | None) -> str:
-    lines = [f"{_name('Id')} {ID_TYPE} NOT NULL"]
-    lines += [f"{_name(p.name)} {TEXT_TYPE}{' NOT NULL' if p.required else ''}" for p in e.properties]
-    lines += [f"{_name(r.column)} {ID_TYPE}{' NOT NULL' if r.required else ''}" for r in e.relationships]
+def _chars(e: Entity) -> dict[str, int]:
+    return {"Id": ID_CHARS} | {p.name: TEXT_CHARS for p in e.properties} | {r.column: ID_CHARS for r in e.relationships}
+
+
+def _create(e: Entity, table: str, keys_in: str | None, marks: int = 0) -> str:
+    """CREATE TABLE; marks are characters by which optional columns are longer."""
+    free = _optional(e)
+    lines = [f"{_name(c)} VARCHAR({n + marks * (c in free)}){'' if c in free else ' NOT NULL'}" for c, n in _chars(e).items()]
     if keys_in is not None:
         lines.append(f"PRIMARY KEY ({_name('Id')})")
         lines += [f"FOREIGN KEY ({_name(r.column)}) REFERENCES {_name(keys_in, r.entity)} ({_name('Id')})" for r in e.relationships]
     return f"CREATE TABLE {table} ({', '.join(lines)})"
 
 
+def _optional(e: Entity) -> set[str]:
+    return {p.name for p in e.properties if not p.required} | {r.column for r in e.relationships if not r.required}
+
+
 def _staged(ws: Workspace, e: Entity, url: str, table: str, parts: int, options: dict) -> None:
-    """Rows in their staging table, held against what was sent by a sum of row digests; repeated tasks show as extra rows."""
-    rows, spark = ws[e.name].select(*e.columns), ws[e.name].sparkSession
+    """Rows in their staging table, held against what was sent by a sum of row digests; repeated tasks show as extra rows.
+
+    Spark writes a null under the type that its dialect has for texts, which some databases refuse, so optional cells
+    are marked: - for null, + before a value.
+    """
+    marked = lambda c: F.coalesce(F.concat(F.lit("+"), c), F.lit("-")).alias(c) if c in _optional(e) else F.col(c)
+    rows, spark = ws[e.name].select(*[marked(c) for c in e.columns]), ws[e.name].sparkSession
     rows.write.format("jdbc").options(url=url, dbtable=table, **options).mode("append").save()
     back: DataFrame = spark.read.jdbc(url, table, predicates=id_ranges(spark, url, table, parts, **options), properties=options)
-    sent, found = (df.agg(content_digest(e.columns).alias("d")).first().d for df in (rows, back.select(*e.columns)))
+    sent, found = (df.agg(content_digest(e.columns).alias("d")).first().d for df in (rows, back.toDF(*e.columns)))
     if sent != found:
         raise RuntimeError(f"WriteVerificationFailed: {e.name}")
 
 
+def _source(e: Entity, table: str) -> str:
+    """A staging table's rows as they were sent."""
+    plain = lambda c: f"CASE WHEN {_name(c)} = '-' THEN NULL ELSE {{fn SUBSTRING({_name(c)}, 2, {_chars(e)[c]})}} END AS {_name(c)}" if c in _optional(e) else _name(c)
+    return f"(SELECT {', '.join(map(plain, e.columns))} FROM {table})"
+
+
 def write(ws: Workspace, url: str, schema: str = "dbo", mode: str = "replace", parts: int = 8, **options: str) -> None:
     """Brings the tables to ws's records (replace), or adds and changes only (merge), all entities in one transaction.
 
@@ -169,27 +188,27 @@ def write(ws: Workspace, url: str, schema: str = "dbo", mode: str = "replace", p
     try:
         for e in order:
             with _transaction(spark, url, options) as c:
-                _run(c, _create(e, staging[e.name], None))
+                _run(c, _create(e, staging[e.name], None, marks=1))
             made.append(e.name)
             _staged(ws, e, url, staging[e.name], parts, options)
         same = lambda e: " AND ".join(f"(t.{_name(x)} = s.{_name(x)} OR (t.{_name(x)} IS NULL AND s.{_name(x)} IS NULL))" for x in e.columns[1:]) or "1 = 1"
         with _transaction(spark, url, options) as c:
             for e in order:  # references first lead to rows that stay
-                t, s = target[e.name], staging[e.name]
+                t, s = target[e.name], _source(e, staging[e.name])
                 listed = ", ".join(map(_name, e.columns))
-                _run(c, f"INSERT INTO {t} ({listed}) SELECT {listed} FROM {s} WHERE {key} NOT IN (SELECT {key} FROM {t})")
+                _run(c, f"INSERT INTO {t} ({listed}) SELECT {listed} FROM {s} s WHERE {key} NOT IN (SELECT {key} FROM {t})")
             for e in order:
-                t, s = target[e.name], staging[e.name]
-                apart = f"EXISTS (SELECT 1 FROM {s} s WHERE s.{key} = t.{key} AND NOT ({same(e)}))".replace("t.", f"{t}.")
+                t, s = target[e.name], _source(e, staging[e.name])
+                apart = f"{key} IN (SELECT s.{key} FROM {s} s JOIN {t} t ON s.{key} = t.{key} WHERE NOT ({same(e)}))"
                 if e.columns[1:]:
                     _run(c, f"UPDATE {t} SET " + ", ".join(f"{_name(x)} = (SELECT s.{_name(x)} FROM {s} s WHERE s.{key} = {t}.{key})" for x in e.columns[1:]) + f" WHERE {apart}")
             if mode == "replace":
                 for e in reversed(order):
                     _run(c, f"DELETE FROM {target[e.name]} WHERE {key} NOT IN (SELECT {key} FROM {staging[e.name]})")
             for e in order:
-                t, s = target[e.name], staging[e.name]
+                t, s = target[e.name], _source(e, staging[e.name])
                 lost = _number(c, f"SELECT COUNT(*) FROM {s} s WHERE NOT EXISTS (SELECT 1 FROM {t} t WHERE t.{key} = s.{key} AND {same(e)})")
-                extra = _number(c, f"SELECT COUNT(*) FROM {t}") - _number(c, f"SELECT COUNT(*) FROM {s}") if mode == "replace" else 0
+                extra = _number(c, f"SELECT COUNT(*) FROM {t}") - _number(c, f"SELECT COUNT(*) FROM {s} s") if mode == "replace" else 0
                 if lost or extra:
                     raise RuntimeError(f"WriteVerificationFailed: {e.name}")
     finally:
