@@ -12,7 +12,7 @@ from ..functions import scalar as S
 from ..model import Entity, Model, Property, Relationship, Workspace
 from ..operators import diffs as D
 from ..operators import operations as O
-from ..operators import ordering, ranges
+from ..operators import graph, ordering, ranges
 from ..operators import relational as R
 from ..operators import services as V
 from ..session import shared_folder
@@ -39,17 +39,34 @@ def by_id() -> list[Column]:
     return [S.fold(F.col("Id").cast("string"))]
 
 
-_FIXTURE = "(VALUES ('s1', 'Beta', 'K1', 'b,a', 'r2'), ('s2', 'alpha', 'K1', NULL, 'r1'), ('s3', '', 'K2', 'x', NULL)) AS s(Id, Name, Kind, Tags, RoleId)"
-_PIECES = "(VALUES ('  both  ', 1), ('tab' || chr(9), 2), ('Ångström', 3), ('text   ', 4), ('', 5), (NULL, 6), ('abcABCabc', 7)) AS p(t, n)"
+_FIXTURE = """(SELECT 's' || c_custkey AS Id, CASE c_custkey % 5 WHEN 0 THEN '' WHEN 1 THEN 'Alpha' WHEN 2 THEN 'alpha' ELSE c_name END AS Name, 'K' || (1 + c_custkey % 2) AS Kind,
+CASE c_custkey % 3 WHEN 1 THEN lower(c_mktsegment) || ',' || c_nationkey WHEN 2 THEN 'x' END AS Tags, CASE c_custkey % 4 WHEN 1 THEN 'R1' WHEN 2 THEN 'r2' WHEN 3 THEN 'r1' END AS RoleId FROM customer)"""
+_PIECES = """(SELECT p_partkey AS n, CASE p_partkey % 7 WHEN 0 THEN '  ' || p_name || '  ' WHEN 1 THEN p_type || chr(9) WHEN 2 THEN 'Ångström ' || p_brand WHEN 3 THEN p_type || '   ' WHEN 4 THEN '' WHEN 5 THEN chr(9) || ' ' END AS t FROM part)"""
 
 
-def fixture(spark: SparkSession) -> DataFrame:
-    """Three rows with mixed case, an empty and a missing text."""
-    return R.values(spark, ["Id", "Name", "Kind", "Tags", "RoleId"], [("s1", "Beta", "K1", "b,a", "r2"), ("s2", "alpha", "K1", None, "r1"), ("s3", "", "K2", "x", None)])
+def _by_rest(k: Column, n: int, cells: dict[int, Column]) -> Column:
+    out = F
+    for rest, cell in cells.items():
+        out = out.when(k % n == rest, cell)
+    return out
 
 
-def pieces(spark: SparkSession) -> DataFrame:
-    return R.values(spark, ["t", "n"], [("  both  ", 1), ("tab\t", 2), ("Ångström", 3), ("text   ", 4), ("", 5), (None, 6), ("abcABCabc", 7)])
+def fixture(spark, sf) -> DataFrame:
+    """Customers with names in mixed case, some empty, some equal but for case, and lists and roles that some lack."""
+    c = star(spark, sf, typed=True)["Customer"]
+    k, one = F.col("Id"), F.lit
+    name = _by_rest(k, 5, {0: one(""), 1: one("Alpha"), 2: one("alpha")}).otherwise(F.col("Name"))
+    tags = _by_rest(k, 3, {1: F.concat(F.lower("Segment"), one(","), F.col("NationId").cast("string")), 2: one("x")})
+    role = _by_rest(k, 4, {1: one("R1"), 2: one("r2"), 3: one("r1")})
+    return c.select(F.concat(one("s"), k.cast("string")).alias("Id"), name.alias("Name"), F.concat(one("K"), (1 + k % 2).cast("string")).alias("Kind"), tags.alias("Tags"), role.alias("RoleId"))
+
+
+def pieces(spark, sf) -> DataFrame:
+    """Texts of parts with spaces and tabs around them, longer letters, blanks, and some that are missing."""
+    p = star(spark, sf, typed=True)["Part"]
+    one = F.lit
+    t = _by_rest(F.col("Id"), 7, {0: F.concat(one("  "), "Name", one("  ")), 1: F.concat("Type", one("\t")), 2: F.concat(one("Ångström "), "Brand"), 3: F.concat("Type", one("   ")), 4: one(""), 5: one("\t ")})
+    return p.select(t.alias("t"), F.col("Id").alias("n"))
 
 
 def mixed_status(ws: Workspace) -> DataFrame:
@@ -69,14 +86,21 @@ def scan_project(spark, sf):
     return star(spark, sf)["Nation"].select("Id", "Name", "RegionId")
 
 
-@query("SELECT CAST(1 AS BIGINT) AS one, 'x' AS label")
+@query("SELECT CAST(1 AS BIGINT) AS one, 'x' AS label, (SELECT count(*) FROM orders) AS n, (SELECT max(upper(c_mktsegment)) FROM customer) AS last")
 def select_no_from(spark, sf):
-    return spark.range(1).select(F.lit(1).cast("long").alias("one"), F.lit("x").alias("label"))
+    """A row from nothing but expressions, scalar subqueries among them."""
+    ws = star(spark, sf)
+    row = spark.range(1).select(F.lit(1).cast("long").alias("one"), F.lit("x").alias("label"))
+    row = R.scalar(row, ws["Order"].agg(F.count(F.lit(1)).alias("v")), [], "v", "n")
+    return R.scalar(row, ws["Customer"].agg(F.max(S.fold("Segment")).alias("v")), [], "v", "last")
 
 
-@query("SELECT * FROM (VALUES (CAST(2 AS BIGINT), 'two'), (1, 'one'), (3, NULL)) AS v(n, label)")
+@query("SELECT v.n, v.label, count(n_nationkey) AS nations FROM (VALUES (CAST(2 AS BIGINT), 'two'), (1, 'one'), (9, NULL)) AS v(n, label) LEFT JOIN nation ON n_regionkey = v.n GROUP BY v.n, v.label")
 def values_table(spark, sf):
-    return R.values(spark, ["n", "label"], [(2, "two"), (1, "one"), (3, None)]).drop("_row")
+    """Inline rows joined with a table."""
+    v = R.values(spark, ["n", "label"], [(2, "two"), (1, "one"), (9, None)])
+    met = R.join(v, star(spark, sf, typed=True)["Nation"], F.col("n") == F.col("RegionId"), "left")
+    return met.groupBy("n", "label").agg(F.count("Id").alias("nations"))
 
 
 @query("SELECT CAST(r_regionkey AS VARCHAR) AS key, upper(r_name) AS label FROM region")
@@ -94,7 +118,7 @@ def where_cmp(spark, sf):
 
 @query(f"SELECT Id FROM {_FIXTURE} WHERE NOT (upper(RoleId) = 'R2' AND upper(Kind) = 'K1') OR (RoleId IS NULL AND Tags IS NOT NULL)")
 def where_3vl(spark, sf):
-    return fixture(spark).where(~(S.equal(F.col("RoleId"), "r2") & S.equal(F.col("Kind"), "k1")) | (F.col("RoleId").isNull() & F.col("Tags").isNotNull())).select("Id")
+    return fixture(spark, sf).where(~(S.equal(F.col("RoleId"), "r2") & S.equal(F.col("Kind"), "k1")) | (F.col("RoleId").isNull() & F.col("Tags").isNotNull())).select("Id")
 
 
 @query("SELECT CAST(c_custkey AS VARCHAR) AS Id FROM customer WHERE upper(c_mktsegment) IN ('BUILDING', 'MACHINERY')")
@@ -104,7 +128,7 @@ def in_list(spark, sf):
 
 @query(f"SELECT count(*) AS n FROM {_FIXTURE} WHERE NOT (upper(Kind) IN ('K1', NULL))")
 def not_in_null(spark, sf):
-    return fixture(spark).where(~S.within(F.col("Kind"), ["k1", None])).agg(F.count(F.lit(1)).alias("n"))
+    return fixture(spark, sf).where(~S.within(F.col("Kind"), ["k1", None])).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT CAST(p_partkey AS VARCHAR) AS Id, p_type AS Type FROM part WHERE p_type ILIKE '%m_l%' OR p_type ILIKE 's%d'")
@@ -119,7 +143,7 @@ def like_set(spark, sf):
 
 @query(f"SELECT Id FROM {_FIXTURE} WHERE Tags IS NULL OR RoleId IS NULL")
 def is_null(spark, sf):
-    return fixture(spark).where(F.col("Tags").isNull() | F.col("RoleId").isNull()).select("Id")
+    return fixture(spark, sf).where(F.col("Tags").isNull() | F.col("RoleId").isNull()).select("Id")
 
 
 @query("SELECT CAST(c_custkey AS VARCHAR) AS Id FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority LIKE '1-%')")
@@ -210,7 +234,7 @@ def cross_apply_split(spark, sf):
 
 @query(f"SELECT Id, unnest(CASE WHEN Tags IS NULL THEN [NULL] ELSE string_split(Tags, ',') END) AS tag FROM {_FIXTURE}")
 def outer_apply_split(spark, sf):
-    return R.split(fixture(spark), "Tags", ",", outer=True, value="tag").select("Id", "tag")
+    return R.split(fixture(spark, sf), "Tags", ",", outer=True, value="tag").select("Id", "tag")
 
 
 @query("SELECT CAST(c_custkey AS VARCHAR) AS Id, a.n, a.first_priority FROM customer LEFT JOIN LATERAL (SELECT count(*) AS n, min(o_orderpriority) AS first_priority FROM orders WHERE o_custkey = c_custkey) a ON true")
@@ -374,7 +398,7 @@ def cte_recursive_path(spark, sf):
 
 @query(f"SELECT Id, concat(coalesce(Name, ''), '-', coalesce(Tags, ''), '-', '1') AS c FROM {_FIXTURE}")
 def concat_null(spark, sf):
-    return fixture(spark).select("Id", S.concat(F.col("Name"), "-", F.col("Tags"), "-", 1).alias("c"))
+    return fixture(spark, sf).select("Id", S.concat(F.col("Name"), "-", F.col("Tags"), "-", 1).alias("c"))
 
 
 @query("SELECT CAST(p_partkey AS VARCHAR) AS Id, lower(p_brand) AS lo, upper(p_name) AS up FROM part")
@@ -384,17 +408,17 @@ def upper_lower(spark, sf):
 
 @query(f"SELECT CAST(n AS BIGINT) AS n, trim(t, ' ') AS b, ltrim(t, ' ') AS l, rtrim(t, ' ') AS r FROM {_PIECES}")
 def trim_family(spark, sf):
-    return pieces(spark).select("n", S.trim("t").alias("b"), S.trim("t", "left").alias("l"), S.trim("t", "right").alias("r"))
+    return pieces(spark, sf).select("n", S.trim("t").alias("b"), S.trim("t", "left").alias("l"), S.trim("t", "right").alias("r"))
 
 
 @query(f"SELECT CAST(n AS BIGINT) AS n, length(rtrim(t, ' ')) AS len FROM {_PIECES}")
 def len_trailing(spark, sf):
-    return pieces(spark).select("n", S.length("t").alias("len"))
+    return pieces(spark, sf).select("n", S.length("t").alias("len"))
 
 
 @query(f"SELECT CAST(n AS BIGINT) AS n, CAST(CASE WHEN t IS NULL OR regexp_matches(t, '^\\s*$') THEN 1 ELSE 0 END AS BIGINT) AS blank FROM {_PIECES}")
 def is_blank(spark, sf):
-    return pieces(spark).select("n", S.is_blank("t").alias("blank"))
+    return pieces(spark, sf).select("n", S.is_blank("t").alias("blank"))
 
 
 @query("SELECT CAST(p_partkey AS VARCHAR) AS Id, regexp_replace(p_type, 'ard', '$x', 'gi') AS t FROM part")
@@ -414,7 +438,7 @@ def left_right(spark, sf):
 
 @query(f"SELECT Id, coalesce(Tags, RoleId, 'none') AS c, CASE WHEN upper(Name) = 'ALPHA' THEN NULL ELSE Name END AS n, CASE WHEN upper(RoleId) = 'R1' THEN 'yes' ELSE 'no' END AS i FROM {_FIXTURE}")
 def coalesce_nullif_iif(spark, sf):
-    return fixture(spark).select("Id", S.coalesce(F.col("Tags"), F.col("RoleId"), "none").alias("c"), S.nullif(F.col("Name"), "ALPHA").alias("n"), S.iif(S.equal(F.col("RoleId"), "r1"), "yes", "no").alias("i"))
+    return fixture(spark, sf).select("Id", S.coalesce(F.col("Tags"), F.col("RoleId"), "none").alias("c"), S.nullif(F.col("Name"), "ALPHA").alias("n"), S.iif(S.equal(F.col("RoleId"), "r1"), "yes", "no").alias("i"))
 
 
 @query("SELECT CAST(o_orderkey AS VARCHAR) AS Id, CASE WHEN o_orderstatus = 'F' THEN 'filled' WHEN o_orderpriority LIKE '1%' THEN 'urgent' END AS c FROM orders")
@@ -422,10 +446,16 @@ def case_searched(spark, sf):
     return star(spark, sf)["Order"].select("Id", S.case([(S.equal(F.col("Status"), "f"), "filled"), (S.like("Priority", "1%"), "urgent")]).alias("c"))
 
 
-@query("SELECT CAST(n AS BIGINT) AS n, CAST(TRY_CAST(CASE WHEN regexp_matches(t, '^\\s*[+-]?[0-9]+\\s*$') THEN trim(t) END AS INTEGER) AS BIGINT) AS v FROM (VALUES (1, ' 12 '), (2, '+5'), (3, '1.5'), (4, ''), (5, '2147483648'), (6, '-2147483648'), (7, '1e3'), (8, NULL), (9, '99999999999999999999999999999999999999999999')) AS p(n, t)")
+_NUMBERS = "(SELECT p_partkey AS n, CASE p_partkey % 9 WHEN 0 THEN ' ' || p_partkey || ' ' WHEN 1 THEN '+' || p_size WHEN 2 THEN p_size || '.5' WHEN 3 THEN '' WHEN 4 THEN CAST(2147483647 + p_partkey AS VARCHAR) WHEN 5 THEN CAST(-2147483648 + p_partkey AS VARCHAR) WHEN 6 THEN p_size || 'e3' WHEN 8 THEN repeat('9', 40) || p_size END AS t FROM part)"
+
+
+@query(f"SELECT CAST(n AS BIGINT) AS n, CAST(TRY_CAST(CASE WHEN regexp_matches(t, '^\\s*[+-]?[0-9]+\\s*$') THEN trim(t) END AS INTEGER) AS BIGINT) AS v FROM {_NUMBERS}")
 def try_convert(spark, sf):
-    rows = [(1, " 12 "), (2, "+5"), (3, "1.5"), (4, ""), (5, "2147483648"), (6, "-2147483648"), (7, "1e3"), (8, None), (9, "9" * 44)]
-    return R.values(spark, ["n", "t"], rows).select("n", S.to_int("t").alias("v"))
+    p = star(spark, sf, typed=True)["Part"]
+    k, size, one = F.col("Id"), F.col("Size"), F.lit
+    far = lambda n: (one(n).cast("long") + k).cast("string")
+    t = _by_rest(k, 9, {0: F.concat(one(" "), k.cast("string"), one(" ")), 1: F.concat(one("+"), size), 2: F.concat(size, one(".5")), 3: one(""), 4: far(2147483647), 5: far(-2147483648), 6: F.concat(size, one("e3")), 8: F.concat(one("9" * 40), size)})
+    return p.select(k.alias("n"), S.to_int(t).alias("v"))
 
 
 # sources by name, parameters, conversions
@@ -946,44 +976,57 @@ def batch_operations(spark, sf):
 # graph and search
 
 
-_ENTITIES = "(VALUES ('Region'), ('Nation'), ('Customer'), ('Supplier'), ('Part'), ('Order'), ('Line'), ('Event')) AS n(x)"
-_EDGES = "(VALUES ('Nation', 'Region'), ('Customer', 'Nation'), ('Supplier', 'Nation'), ('Order', 'Customer'), ('Line', 'Order'), ('Line', 'Part'), ('Line', 'Supplier')) AS e(s, t)"
-_DEGREES = f"SELECT x AS entity, (SELECT count(DISTINCT s) FROM {_EDGES} WHERE t = x) AS in_degree, (SELECT count(DISTINCT t) FROM {_EDGES} WHERE s = x) AS out_degree FROM {_ENTITIES}"
+_KEYS = {"Region": "region", "Nation": "nation", "Customer": "customer", "Supplier": "supplier", "Part": "part", "Order": "orders", "Line": "lineitem", "Event": "events"}
+_LINKS = [("Nation", "Region", "n_regionkey"), ("Customer", "Nation", "c_nationkey"), ("Supplier", "Nation", "s_nationkey"), ("Order", "Customer", "o_custkey"), ("Line", "Order", "l_orderkey"), ("Line", "Part", "l_partkey"), ("Line", "Supplier", "l_suppkey")]
+_GRAPH = "WITH RECURSIVE n AS (" + " UNION ALL ".join(f"SELECT '{n}' AS x FROM {t} HAVING count(*) > 0" for n, t in _KEYS.items()) + "), e AS (" + " UNION ALL ".join(f"SELECT '{s}' AS s, '{t}' AS t, '{t}Id' AS m, count({c}) AS r FROM {_KEYS[s]} HAVING count({c}) > 0" for s, t, c in _LINKS) + ")"
+_DEGREES = "SELECT x AS entity, (SELECT count(DISTINCT s) FROM e WHERE t = x) AS in_degree, (SELECT count(DISTINCT t) FROM e WHERE s = x) AS out_degree FROM n"
 
 
-@query(_DEGREES)
+@query(f"{_GRAPH} {_DEGREES}")
 def graph_degree(spark, sf):
-    return V.degrees(spark, star(spark, sf).model)
+    """Which entities' records refer to each other."""
+    return graph.degrees(*graph.record_graph(star(spark, sf)))
 
 
-@query(f"SELECT * FROM ({_DEGREES}) ORDER BY out_degree DESC, upper(entity) LIMIT 3")
+@query(f"{_GRAPH} SELECT * FROM ({_DEGREES}) ORDER BY out_degree DESC, upper(entity) LIMIT 3")
 def graph_top_degrees(spark, sf):
-    return V.top_degrees(spark, star(spark, sf).model, "out_degree", 3)
+    return graph.top_degrees(*graph.record_graph(star(spark, sf)), "out_degree", 3)
 
 
-@query(f"SELECT s AS entity, t || 'Id' AS member FROM {_EDGES} WHERE t = 'Nation' ORDER BY upper(s)")
+@query(f"{_GRAPH} SELECT s AS entity, m AS member, r AS references FROM e WHERE t = 'Nation'")
 def graph_inbound(spark, sf):
-    return spark.createDataFrame(V.inbound(star(spark, sf).model, "nation"), "entity string, member string")
+    return graph.inbound(graph.record_graph(star(spark, sf))[1], "nation")
 
 
 @query(
-    f"""WITH RECURSIVE e AS (SELECT * FROM {_EDGES}), n AS (SELECT * FROM {_ENTITIES}), both_ways AS (SELECT s, t FROM e UNION SELECT t, s FROM e),
+    f"""{_GRAPH}, both_ways AS (SELECT s, t FROM e UNION SELECT t, s FROM e),
 walk AS (SELECT s, t, CAST(1 AS BIGINT) AS d FROM e UNION ALL SELECT w.s, e.t, d + 1 FROM walk w JOIN e ON w.t = e.s),
 reach AS (SELECT x AS a, x AS b FROM n UNION SELECT r.a, t FROM reach r JOIN both_ways ON r.b = s)
 SELECT (SELECT count(*) FROM n) AS entities, (SELECT count(*) FROM e) AS edges, (SELECT count(DISTINCT least) FROM (SELECT min(b) AS least FROM reach GROUP BY a)) AS components, (SELECT max(d) FROM walk) AS max_depth,
-(SELECT string_agg(x, ',' ORDER BY x) FROM n WHERE x NOT IN (SELECT t FROM e)) AS roots, (SELECT string_agg(x, ',' ORDER BY x) FROM n WHERE x NOT IN (SELECT s FROM e)) AS sinks"""
+(SELECT string_agg(x, ',' ORDER BY x) FROM n WHERE x NOT IN (SELECT t FROM e)) AS roots, (SELECT string_agg(x, ',' ORDER BY x) FROM n WHERE x NOT IN (SELECT s FROM e)) AS sinks, (SELECT count(DISTINCT (s, t)) / (SELECT count(*) FROM n) FROM e) AS average_in"""
 )
 def graph_measures(spark, sf):
-    g = V.graph_stats(star(spark, sf).model)
-    return spark.createDataFrame([(g["entities"], g["edges"], g["components"], g["max_depth"], ",".join(g["roots"]), ",".join(g["sinks"]))], "entities long, edges long, components long, max_depth long, roots string, sinks string")
+    out = graph.measures(*graph.record_graph(star(spark, sf)))
+    return out.select("entities", "edges", "components", "max_depth", "roots", "sinks", "average_in")
 
 
-@query("WITH RECURSIVE e AS (SELECT * FROM (VALUES ('A', 'B'), ('B', 'C'), ('C', 'A'), ('C', 'D'), ('D', 'D')) AS v(s, t)), p AS (SELECT s AS origin, t AS place, s || '>' || t AS path FROM e UNION ALL SELECT p.origin, e.t, path || '>' || e.t FROM p JOIN e ON p.place = e.s WHERE p.place <> p.origin AND length(path) < 12) SELECT min(path) AS sample FROM p WHERE origin = place AND origin IN ('A', 'D') GROUP BY origin")
+_PAGES = "(SELECT DISTINCT c_mktsegment AS s, o_orderpriority AS t FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'P' UNION SELECT DISTINCT o_orderpriority, c_mktsegment FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'P' AND o_orderkey % 7 = 0 UNION SELECT n_name, n_name FROM nation WHERE n_nationkey % 6 = 1)"
+
+
+@query(
+    f"WITH RECURSIVE e AS (SELECT * FROM {_PAGES} AS v(s, t)), r AS (SELECT s AS a, t AS b FROM e UNION SELECT r.a, e.t FROM r JOIN e ON r.b = e.s), c AS (SELECT x.a AS name, min(x.b) AS loop FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY x.a),"
+    " i AS (SELECT e.s, e.t, p.loop FROM e JOIN c p ON e.s = p.name JOIN c q ON e.t = q.name AND p.loop = q.loop), w AS (SELECT loop, t AS place, loop || '>' || t AS path, 1 AS d FROM i WHERE s = loop UNION ALL SELECT w.loop, i.t, w.path || '>' || i.t, d + 1 FROM w JOIN i ON w.loop = i.loop AND w.place = i.s WHERE w.place <> w.loop AND d < 4)"
+    " SELECT loop, arg_min(path, (d, path)) AS sample FROM w WHERE place = loop GROUP BY loop"
+)
 def graph_cycle_samples(spark, sf):
-    """A shortest path around each cycle of a model with two."""
-    link = lambda *names: tuple(Relationship(n, required=False) for n in names)
-    model = Model("Loops", (Entity("A", (), link("B")), Entity("B", (), link("C")), Entity("C", (), link("A", "D")), Entity("D", (), (Relationship("D", "Parent", False),))))
-    return spark.createDataFrame([(">".join(x),) for x in V.graph_stats(model)["cycle_samples"]], "sample string")
+    """A shortest path around each loop of a graph of segments, priorities and nations that orders make."""
+    ws = star(spark, sf, typed=True)
+    o, c = ws["Order"].where(S.equal(F.col("Status"), "p")).alias("o"), ws["Customer"].alias("c")
+    met = o.join(c, F.col("o.CustomerId") == F.col("c.Id")).select(F.col("o.Id").alias("k"), "Segment", "Priority").distinct()
+    there = met.select(F.col("Segment").alias("source"), F.col("Priority").alias("target"))
+    back = met.where("k % 7 = 0").select(F.col("Priority").alias("source"), F.col("Segment").alias("target"))
+    own = ws["Nation"].where("Id % 6 = 1").select(F.col("Name").alias("source"), F.col("Name").alias("target"))
+    return graph.loop_samples(there.unionByName(back).unionByName(own))
 
 
 @query("SELECT Id, Name, CAST(CASE WHEN upper(Name) = 'NATION_1' THEN 0 WHEN starts_with(upper(Name), 'NATION_1') THEN 1 ELSE 2 END AS INTEGER) AS rank FROM (SELECT CAST(n_nationkey AS VARCHAR) AS Id, n_name AS Name FROM nation) WHERE contains(upper(Name), 'NATION_1') ORDER BY rank, upper(Name), Name LIMIT 25")

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from tessera.model import Entity, Model, Property, Relationship, Workspace
 from tessera.operators import diffs as D
+from tessera.operators import graph
 from tessera.operators import operations as O
 from tessera.operators import services as V
 from tessera.plans.direction import Direction, DirectionFault
@@ -92,13 +93,14 @@ def test_profile_and_suggestions(spark):
     assert (s.entity, s.property, s.target, s.weak, s.matched_rows, s.blockers, s.score) == ("Order", "ProductId", "Product", False, 5, 0, 1.0)
 
 
-def test_graph():
-    g = V.graph_stats(MODEL)
-    assert (g["components"], g["max_depth"], g["roots"], g["sinks"], g["cycles"]) == (1, 1, ["Item"], ["Group"], [])
+def test_graph(spark):
+    m = graph.measures(*graph.model_graph(spark, MODEL)).first()
+    assert (m.components, m.max_depth, m.roots, m.sinks, m.loops) == (1, 1, "Item", "Group", 0)
     loop = Model("L", (Entity("A", (), (Relationship("B", required=False),)), Entity("B", (), (Relationship("A", required=False),)), Entity("C")))
-    g = V.graph_stats(loop)
-    assert (g["components"], g["max_depth"], g["cycles"], g["isolated"]) == (2, None, [["A", "B"]], ["C"])
-    assert V.inbound(MODEL, "group") == [("Item", "GroupId")]
+    m = graph.measures(*graph.model_graph(spark, loop)).first()
+    assert (m.components, m.max_depth, m.loops, m.isolated) == (2, None, 1, "C")
+    nodes, edges = graph.record_graph(workspace(spark))
+    assert rows(nodes) == [("Group",), ("Item",)] and rows(edges) == [("Item", "Group", "GroupId", 2)]
 
 
 def direction(**more):
@@ -271,10 +273,16 @@ def test_record_levels(spark):
         V.record_levels(df(("z", "gone")), "ParentId")
 
 
-def test_cycle_samples_and_roles():
-    loop = Model("L", (Entity("A", (), (Relationship("B", required=False),)), Entity("B", (), (Relationship("C", required=False), Relationship("A", required=False))), Entity("C", (), (Relationship("A", required=False),)), Entity("S", (), (Relationship("S", "Parent", False),))))
-    g = V.graph_stats(loop)
-    assert g["cycles"] == [["A", "B", "C"], ["S"]] and g["cycle_samples"] == [["A", "B", "A"], ["S", "S"]]
+def test_graph_of_a_model_with_loops(spark):
+    model = Model("L", (Entity("A", (), (Relationship("B", required=False),)), Entity("B", (), (Relationship("C", required=False), Relationship("A", required=False))), Entity("C", (), (Relationship("A", required=False),)), Entity("S", (), (Relationship("S", "Parent", False),)), Entity("X", (), (Relationship("A"), Relationship("A", "Other"))), Entity("Y")))
+    nodes, edges = graph.model_graph(spark, model)
+    assert rows(graph.loops(edges)) == [("A", "A"), ("A", "B"), ("A", "C"), ("S", "S")]
+    assert rows(graph.loop_samples(edges)) == [("A", "A>B>A"), ("S", "S>S")]
+    m = graph.measures(nodes, edges).first()
+    assert (m.entities, m.edges, m.distinct_edges, m.components, m.max_depth, m.loops, m.roots, m.sinks, m.isolated) == (6, 7, 6, 3, None, 2, "X,Y", "Y", "Y")
+    assert rows(graph.inbound(edges, "a").select("entity", "member")) == [("B", "AId"), ("C", "AId"), ("X", "AId"), ("X", "OtherId")]
+    line = Model("P", tuple(Entity(n, (), (Relationship(t),) if t else ()) for n, t in (("A", "B"), ("B", "C"), ("C", ""))))
+    assert graph.depth(*graph.model_graph(spark, line)) == 2 and graph.loop_samples(graph.model_graph(spark, line)[1]).isEmpty()
 
 
 def test_query_by_role(spark):
