@@ -19,16 +19,18 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import let, read, row_key
+from .common import let, read, row_key, stored
 
 SHINGLE_WORDS = 5
 MIN_CONTAINMENT = 0.8
-WIDTHS = tuple(4**k for k in range(2, 12))
+WIDTHS = tuple(4**k for k in range(2, 16))
 #: Bits of a hash that name its band, for windows of templates of up to 64 shingles, and for larger ones.
 SMALL_BITS, LARGE_BITS = 16, 10
 BREAK = r"[^\p{L}\p{N}]+"
-#: Rows of the templates' tables up to which they are sent to every executor; larger ones are joined by shuffles.
-BROADCAST_ROWS = 200_000
+#: Rows up to which tables of template bands and of candidates are sent to every executor; larger ones meet by shuffles.
+BROADCAST_ROWS = 500_000
+#: Parts that the windows of one band value are dealt to where they are shuffled.
+SALTS = 16
 
 # License identifiers and the public wording of their notices.
 TEMPLATES = [
@@ -96,30 +98,57 @@ def read_templates(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.xxhash64("license", "text").alias("template"), "license", "text")
 
 
+def _starts(n: Column, width: int) -> Column:
+    """The windows of a text of n shingles; one at the end that lies in the window before is left out."""
+    starts = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / width).cast("int")), lambda i: F.struct(F.lit(width).alias("width"), (i * width).alias("start")))
+    return F.filter(starts, lambda x: (x["start"] == 0) | (x["start"] + width < n))
+
+
+def candidates(docs: DataFrame, table: DataFrame, widths: Sequence[int], small: bool) -> DataFrame:
+    """(_k, _h, template, width, start): windows that share a band's value with a template; stored, each once.
+
+    A window leaves its task as the values of its bands, a few numbers each. With small the templates' bands are sent
+    to every executor and nothing else moves before the matches; else both are shuffled by value, and a value that
+    very many windows hold is dealt to SALTS parts, each with the templates of that value.
+    """
+    rows = docs.select(*row_key(), shingles(F.col("text")).alias("s")).where(F.size("s") > 0)
+    at = rows.select("*", F.explode(F.flatten(F.array(*[_starts(F.size("s"), w) for w in widths]))).alias("x")).select("_k", "_h", "x.width", "x.start", F.slice("s", F.col("x.start") + 1, 2 * F.col("x.width")).alias("part"))
+    banded = at.select("_k", "_h", "width", "start", F.explode(_signature(F.col("part"), F.col("width"))).alias("value"))
+    bands = table.select("width", "template", F.explode(_signature(F.col("own"), F.col("width"))).alias("value"))
+    if small:
+        met = banded.join(F.broadcast(bands), ["width", "value"])  # BROADCAST_ROWS at most
+    else:
+        salt = F.pmod(F.xxhash64("_k", "_h", "start"), F.lit(SALTS)).cast("int")
+        met = banded.withColumn("salt", salt).join(bands.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["width", "value", "salt"])
+    return stored(met.select("_k", "_h", "template", "width", "start").distinct(), "license-candidates")
+
+
 def scan(docs: DataFrame, templates: Sequence[tuple[str, str]] | DataFrame | None = None, doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, license, template, containment): the templates that a window of a document holds MIN_CONTAINMENT of or more.
 
     template is its number; containment is the share of its shingles in the best window. Documents without a match
     have no row; null and empty texts, and those under five words, have none. Repeated rows are reported once. The
-    widths that templates have are the one thing read to plan; their bands are a table that is sent to every executor
-    only while it has BROADCAST_ROWS rows at most.
+    widths that templates have are the one thing read to plan. Documents with candidate windows are read once more,
+    and only those windows are held against their templates, shingle by shingle.
     """
     table = template_table(docs.sparkSession, TEMPLATES if templates is None else templates)
-    counts = {r.width: (r.n, r.s) for r in table.groupBy("width").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("own")).alias("s")).collect()}  # a row for each width
+    counts = {r.width: r.s for r in table.groupBy("width").agg(F.sum(F.size("own")).alias("s")).collect()}  # a row for each width
+    own = F.col(f"`{doc_id}`").alias("doc_id")
+    if None in counts:
+        raise ValueError(f"TemplateTooLong: over {WIDTHS[-1]} shingles")
     if not counts:
-        return docs.select(F.col(f"`{doc_id}`").alias("doc_id")).where("false").select("doc_id", F.lit("").alias("license"), F.lit(0).alias("template"), F.lit(0.0).alias("containment"))
-    sent = (lambda x: F.broadcast(x)) if sum(s for _, s in counts.values()) <= BROADCAST_ROWS else (lambda x: x)
-    starts = lambda n, w: F.transform(F.sequence(F.lit(0), F.floor((n - 1) / w).cast("int")), lambda i: F.struct(F.lit(w).alias("width"), (i * w).alias("start")))
-    # the first and the last window of a text may be short; a window at the end lies in the one before and goes
-    inner = lambda n, w: F.filter(starts(n, w), lambda x: (x["start"] == 0) | (x["start"] + w < n))
-    rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col("text")).select("doc_id", *row_key(), shingles(F.col("text")).alias("s")).where(F.size("s") > 0)
-    windows = rows.select("*", F.explode(F.flatten(F.array(*[inner(F.size("s"), w) for w in sorted(counts)]))).alias("x")).select("doc_id", "_k", "_h", "s", "x.width", "x.start")
-    part = F.slice("s", F.col("start") + 1, 2 * F.col("width"))
-    banded = windows.select("doc_id", "_k", "_h", "width", part.alias("part")).select("*", F.explode(_signature(F.col("part"), F.col("width"))).alias("value"))
-    bands = sent(table.select("width", "template", F.explode(_signature(F.col("own"), F.col("width"))).alias("value")))
-    met = banded.join(bands, ["width", "value"]).join(sent(table.select("template", "license", "own")), "template")
-    share = F.size(F.array_intersect(F.array_distinct("part"), "own")) / F.size("own")
-    matched = met.withColumn("containment", share).where(F.col("containment") >= MIN_CONTAINMENT)
+        return docs.select(own).where("false").select("doc_id", F.lit("").alias("license"), F.lit(0).alias("template"), F.lit(0.0).alias("containment"))
+    small = sum(counts.values()) <= BROADCAST_ROWS
+    texts = docs.select(own, F.col("text"))
+    found = candidates(texts, table, sorted(counts), small)
+    few = lambda df, n: F.broadcast(df) if n <= BROADCAST_ROWS else df
+    windows = found.groupBy("_k", "_h").agg(F.collect_list(F.struct("template", "width", "start")).alias("c"))
+    again = texts.select("doc_id", *row_key(), "text").join(few(windows, found.count()), ["_k", "_h"])
+    parts = let(shingles(F.col("text")), lambda s: F.transform("c", lambda c: F.struct(c["template"].alias("template"), F.array_distinct(F.slice(s, c["start"] + 1, 2 * c["width"])).alias("part"))))
+    met = again.select("doc_id", "_k", "_h", F.explode(parts).alias("p")).select("doc_id", "_k", "_h", "p.*")
+    listed = table.select("template", "license", "own")
+    met = met.join(F.broadcast(listed) if small else listed, "template")
+    matched = met.withColumn("containment", F.size(F.array_intersect("part", "own")) / F.size("own")).where(F.col("containment") >= MIN_CONTAINMENT)
     return matched.groupBy("doc_id", "_k", "_h", "license", "template").agg(F.max("containment").alias("containment")).select("doc_id", "license", "template", "containment")
 
 

@@ -26,12 +26,12 @@ _HITS = "query_id long, query_ord long, dim int, vec_id long, ord long, score lo
 def scaled(df: DataFrame, scale: int = SCALE) -> DataFrame:
     """(vec_id, ord, v): components floor(scale * x) of the rows that take part.
 
-    Rows with a null id, a null or empty vector, or a component that is null or not finite take no part. ord tells
-    repeated ids apart.
+    Rows with a null id, a null vector, or a component that is null or not finite take no part; empty vectors meet
+    each other with score 0. ord tells repeated ids apart.
     """
     bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     whole = F.transform("embedding", lambda x: F.floor(x.cast("double") * scale))
-    rows = df.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0)).where(~bad)
+    rows = df.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).where(~bad)
     return rows.select("vec_id", whole.alias("v")).withColumn("ord", F.row_number().over(Window.partitionBy("vec_id").orderBy("v")).cast("long"))
 
 
@@ -83,7 +83,7 @@ def _search(k: int):
     def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         """The best of one shard group for every query of one query group."""
         out = []
-        load = lambda r: (np.frombuffer(r.ids, "<i8"), np.frombuffer(r.ords, "<i8"), np.frombuffer(r.vectors, "<i8").reshape(-1, r.dim))
+        load = lambda r: (np.frombuffer(r.ids, "<i8"), np.frombuffer(r.ords, "<i8"), np.frombuffer(r.vectors, "<i8").reshape(len(r.ids) // 8, r.dim))
         shards = []
         for r in right.itertuples():
             ids, ords, x = load(r)
@@ -140,8 +140,8 @@ WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
-  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i])) AS BIGINT) AS score
-  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(coalesce(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i])), 0) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 20 = 0
 ), r AS (
   SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
 )

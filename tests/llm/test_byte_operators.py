@@ -357,6 +357,8 @@ def test_top_k(spark, monkeypatch, block, groups):
     got = topk.top_k(df.where("vec_id % 20 = 0"), df, shard_groups=groups)
     rows32 = [(i, None if v is None else [None if x is None else float(np.float32(x)) for x in v]) for i, v in rows]
     assert collections.Counter(map(tuple, got.collect())) == brute_top(rows32)
+    empty = topk.scaled(spark.createDataFrame([(20, []), (3, []), (4, [1.0]), (5, None)], "vec_id long, embedding array<float>"))
+    assert [tuple(x) for x in topk.top_k(empty.where("vec_id % 20 = 0"), empty).collect()] == [(20, 1, 3, 0)]
     assert topk.top_k(df.where("false"), df.where("false")).count() == 0
 
 
