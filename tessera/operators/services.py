@@ -109,40 +109,46 @@ def lookup_suggestions(ws: Workspace) -> DataFrame | None:
     """Properties that look like references: named <Entity>Id, or ending so (weak, with a role).
 
     For each: how many rows and distinct values of the property are ids of the entity, up to five that are not, and a
-    score. Value counts of all candidates meet the targets' ids in one join. The profile, a row for each property of
-    the model, is read once. None without a candidate by name.
+    score. Only candidate properties and the ids of their targets are read, each entity once; values are counted
+    before they meet, all candidates in one join, and what a score needs comes out of those counts. None without a
+    candidate by name.
     """
     found = _named_like_references(ws)
     if not found:
         return None
-    stats = {(r.entity, r.property): r for r in profile(ws, with_id=True).collect()}
-    facts, values, ids = [], None, None
-    for i, (e, p, t, role, weak) in enumerate(found):
-        source, target = stats[e.name, p.name], stats[t.name, "Id"]
-        taken = {r.column.upper() for r in e.relationships}
-        blocked = [((role or t.name) + "Id").upper() in taken, not target.unique_non_blank, target.nulls + target.blanks > 0, p.required and source.nulls + source.blanks > 0]
-        if source.rows >= 2 and target.rows >= 2:
-            facts.append((i, e.name, p.name, t.name, role, weak, sum(blocked), bool(target.unique_non_blank)))
-        part = ws[e.name].where(F.col(p.name) != "").groupBy(F.col(p.name).alias("v")).agg(F.count(F.lit(1)).alias("n")).select(F.lit(i).alias("i"), F.lit(t.name).alias("target"), "v", "n")
+    values = ids = None
+    for name in dict.fromkeys(e.name for e, *_ in found):
+        own = [(i, p.name, t.name) for i, (e, p, t, _, _) in enumerate(found) if e.name == name]
+        cells = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(t).alias("target"), F.col(p).alias("v")) for i, p, t in own]))
+        part = ws[name].select(cells.alias("c")).select("c.*")
         values = part if values is None else values.unionByName(part)
-    for name in sorted({t.name for _, _, t, _, _ in found}):
-        part = ws[name].where(F.col("Id") != "").select(F.lit(name).alias("target"), F.col("Id").alias("v")).distinct().withColumn("hit", F.lit(True))
+    for name in dict.fromkeys(t.name for _, _, t, _, _ in found):
+        part = ws[name].select(F.lit(name).alias("target"), F.col("Id").alias("v"))
         ids = part if ids is None else ids.unionByName(part)
-    met = values.join(ids, ["target", "v"], "left")
-    hit = F.col("hit").isNotNull()
-    some = met.groupBy("i").agg(
-        F.sum("n").alias("source_rows"),
-        F.count(F.lit(1)).alias("source_distinct"),
-        F.coalesce(F.sum(F.when(hit, F.col("n"))), F.lit(0)).alias("matched_rows"),
-        F.count(F.when(hit, 1)).alias("matched_distinct"),
+    count = F.count(F.lit(1))
+    ids = ids.groupBy("target", "v").agg(count.alias("k"))
+    met = values.groupBy("i", "target", "v").agg(count.alias("n")).join(ids, ["target", "v"], "left")
+    filled, hit = F.coalesce(F.col("v") != "", F.lit(False)), F.col("k").isNotNull()
+    sum_of = lambda test, x: F.coalesce(F.sum(F.when(test, F.col(x))), F.lit(0))
+    sides = met.groupBy("i").agg(
+        F.sum("n").alias("rows"),
+        sum_of(filled, "n").alias("source_rows"),
+        F.count(F.when(filled, 1)).alias("source_distinct"),
+        sum_of(filled & hit, "n").alias("matched_rows"),
+        F.count(F.when(filled & hit, 1)).alias("matched_distinct"),
     )
-    first = met.where(~hit).withColumn("r", F.row_number().over(Window.partitionBy("i").orderBy("v"))).where("r <= 5")
+    targets = ids.groupBy("target").agg(F.sum("k").alias("target_rows"), sum_of(filled, "k").alias("ids"), F.count(F.when(filled, 1)).alias("distinct_ids"))
+    first = met.where(filled & ~hit).withColumn("r", F.row_number().over(Window.partitionBy("i").orderBy("v"))).where("r <= 5")
     sample = first.groupBy("i").agg(F.array_join(F.sort_array(F.collect_list("v")), ",").alias("unmatched_sample"))
-    table = ws[found[0][0].name].sparkSession.createDataFrame(facts, "i int, entity string, property string, target string, role string, weak boolean, blocked int, target_unique boolean")
-    row = some.join(F.broadcast(table), "i").join(sample, "i", "left").withColumn("unmatched_sample", F.coalesce("unmatched_sample", F.lit("")))  # a row for each candidate
-    reuse = F.col("source_rows") > F.col("source_distinct")
-    row = row.withColumn("blockers", F.col("blocked") + F.when(F.col("matched_distinct") < F.col("source_distinct"), 1).otherwise(0) + F.when(~reuse, 1).otherwise(0))
-    score = 0.40 + 0.35 * F.col("matched_rows") / F.col("source_rows") + F.when(F.col("target_unique"), 0.15).otherwise(0.02) + F.when(reuse, 0.10).otherwise(0.0) - 0.12 * F.col("blockers")
+    facts = [(i, e.name, p.name, t.name, role, weak, ((role or t.name) + "Id").upper() in {r.column.upper() for r in e.relationships}, p.required) for i, (e, p, t, role, weak) in enumerate(found)]
+    table = ws[found[0][0].name].sparkSession.createDataFrame(facts, "i int, entity string, property string, target string, role string, weak boolean, taken boolean, required boolean")
+    row = sides.join(F.broadcast(table), "i").join(targets, "target").join(sample, "i", "left")  # a row for each candidate
+    row = row.where((F.col("rows") >= 2) & (F.col("target_rows") >= 2) & (F.col("source_rows") > 0)).withColumn("unmatched_sample", F.coalesce("unmatched_sample", F.lit("")))
+    unique, reuse = F.col("distinct_ids") == F.col("ids"), F.col("source_rows") > F.col("source_distinct")
+    tests = [F.col("taken"), ~unique, F.col("ids") < F.col("target_rows"), F.col("required") & (F.col("source_rows") < F.col("rows")), F.col("matched_distinct") < F.col("source_distinct"), ~reuse]
+    blockers = sum((t.cast("int") for t in tests[1:]), tests[0].cast("int"))
+    row = row.withColumn("blockers", blockers)
+    score = 0.40 + 0.35 * F.col("matched_rows") / F.col("source_rows") + F.when(unique, 0.15).otherwise(0.02) + F.when(reuse, 0.10).otherwise(0.0) - 0.12 * F.col("blockers")
     return row.select("entity", "property", "target", "role", "weak", "source_rows", "source_distinct", "matched_rows", "matched_distinct", "unmatched_sample", "blockers", _rounded(score).alias("score"))
 
 

@@ -500,6 +500,16 @@ def direction_target(spark, sf):
     return out["Item"].join(out["Category"].select(F.col("Id").alias("CategoryId"), F.col("Name").alias("Category")), "CategoryId").select("Id", "Name", "CategoryId", "Category")
 
 
+@query(
+    "SELECT * FROM (VALUES ('SourceWorkspaceMissing', 'prices', CAST(NULL AS BIGINT)), ('SourceWorkspaceUnexpected', 'shop', NULL), ('ParameterValueMissing', 'suffix', NULL), ('ParameterValueUnexpected', 'prefix', NULL), ('SourceModelMismatch', 'orders', NULL)) AS v(code, subject, records)"
+    " UNION ALL SELECT 'instance.relationship.orphan', 'orders:Order.CustomerId', count(*) FROM orders WHERE o_orderkey % 3 = 0 HAVING count(*) > 0 UNION ALL SELECT 'instance.required.missing', 'orders:Order.Status', count(*) FROM orders WHERE o_orderstatus = 'P' HAVING count(*) > 0"
+)
+def direction_validation(spark, sf):
+    """All that is wrong between a direction and what it is given: declarations, and the records of its sources."""
+    d = Direction(Model("None"), {}, parameters=("suffix",), roles=("orders", "prices"), models={"orders": "Orders"})
+    return d.validation({"orders": _checked_orders(spark, sf), "shop": _geography(spark, sf)}, {"prefix": "x"})
+
+
 # record services
 
 
@@ -934,13 +944,18 @@ def property_to_relationship(spark, sf):
     return O.property_to_relationship("Order", "CustomerId", "Customer")(ws)["Order"].select("Id", "CustomerId")
 
 
-@query("SELECT 'instance.relationship.orphan' AS code, 'CustomerId' AS member, CAST(o_orderkey AS VARCHAR) AS id FROM orders WHERE o_orderkey % 3 = 0 UNION ALL SELECT 'instance.required.missing', 'Status', CAST(o_orderkey AS VARCHAR) FROM orders WHERE o_orderstatus = 'P'")
-def instance_validation(spark, sf):
+def _checked_orders(spark, sf) -> Workspace:
+    """Orders of which some lack a status, and some refer to nobody."""
     ws = star(spark, sf)
     model = Model("Checked", (Entity("Customer", (Property("Name"),)), Entity("Order", (Property("Status"),), (Relationship("Customer"),))))
     third = F.col("Id").cast("long") % 3 == 0
     orders = ws["Order"].select("Id", F.when(F.col("Status") != "P", F.col("Status")).alias("Status"), F.when(third, F.concat(F.lit("x"), "CustomerId")).otherwise(F.col("CustomerId")).alias("CustomerId"))
-    return Workspace(model, {"Customer": ws["Customer"].select("Id", "Name"), "Order": orders}).issues().select("code", "member", "id")
+    return Workspace(model, {"Customer": ws["Customer"].select("Id", "Name"), "Order": orders})
+
+
+@query("SELECT 'instance.relationship.orphan' AS code, 'CustomerId' AS member, CAST(o_orderkey AS VARCHAR) AS id FROM orders WHERE o_orderkey % 3 = 0 UNION ALL SELECT 'instance.required.missing', 'Status', CAST(o_orderkey AS VARCHAR) FROM orders WHERE o_orderstatus = 'P'")
+def instance_validation(spark, sf):
+    return _checked_orders(spark, sf).issues().select("code", "member", "id")
 
 
 # model operations

@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..model import Model, Workspace, dependency_order
+from ..model import NAME, Model, Workspace, dependency_order
 
 Step = Callable[["Context"], DataFrame]
 
@@ -53,7 +53,10 @@ class Context:
 
 @dataclass
 class Direction:
-    """target: the model to build; transformations: a step for each entity; requirements: (message, step) by name."""
+    """target: the model to build; transformations: a step for each entity; requirements: (message, step) by name.
+
+    roles name the sources; models gives the name of the model that a role's workspace must have, if it matters.
+    """
 
     target: Model
     transformations: Mapping[str, Step]
@@ -61,6 +64,40 @@ class Direction:
     relations: Mapping[str, Step] = field(default_factory=dict)
     parameters: tuple[str, ...] = ()
     roles: tuple[str, ...] = ()
+    models: Mapping[str, str] = field(default_factory=dict)
+
+    def issues(self, sources: Mapping[str, Workspace], parameters: Mapping[str, str | None] | None = None) -> list[tuple[str, str]]:
+        """(code, name) of everything that is wrong with the declarations, or between them and what is supplied, in a fixed order."""
+        given = dict(parameters or {})
+        out = [] if self.roles else [("DirectionSourceWorkspacesMissing", "")]
+        out += [] if sources else [("SourceWorkspacesMissing", "")]
+        for kind, value, declared, supplied in (("SourceWorkspace", "SourceWorkspace", self.roles, sources), ("StringParameter", "ParameterValue", self.parameters, given)):
+            seen: set[str] = set()
+            for name in declared:
+                if not NAME.fullmatch(name or ""):
+                    out.append((f"{kind}NameInvalid", name))
+                elif name.upper() in seen:
+                    out.append((f"{kind}NameDuplicate", name))
+                elif name.upper() not in {x.upper() for x in supplied}:
+                    out.append((f"{value}Missing", name))
+                seen.add((name or "").upper())
+            out += [(f"{value}Unexpected", name) for name in sorted(supplied) if name.upper() not in seen]
+        out += [("ParameterValueInvalid", name) for name in sorted(given) if given[name] is None]
+        out += [("SourceModelMismatch", role) for role, name in sorted(self.models.items()) if role in sources and sources[role].model.name.upper() != name.upper()]
+        known = {e.name.upper() for e in self.target.entities}
+        out += [("TargetEntityNotFound", name) for name in sorted(self.transformations) if name.upper() not in known]
+        return out
+
+    def validation(self, sources: Mapping[str, Workspace], parameters: Mapping[str, str | None] | None = None) -> DataFrame:
+        """(code, subject, records): issues(), and what the supplied workspaces' own records break, counted by code and member."""
+        spark = next(df for ws in sources.values() for df in ws.data.values()).sparkSession
+        out = spark.createDataFrame([(c, n, None) for c, n in self.issues(sources, parameters)], "code string, subject string, records long")
+        for role, ws in sorted(sources.items()):
+            found = ws.issues()
+            if found is not None:
+                subject = F.concat(F.lit(f"{role}:"), "entity", F.lit("."), "member").alias("subject")
+                out = out.unionByName(found.groupBy("code", subject).agg(F.count(F.lit(1)).alias("records")))
+        return out
 
     def context(self, sources: Mapping[str, Workspace], parameters: Mapping[str, str] | None = None) -> Context:
         given = dict(parameters or {})

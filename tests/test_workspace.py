@@ -133,6 +133,27 @@ def test_direction(spark):
         orphan.run({"m": ws})
 
 
+def test_direction_issues(spark):
+    """Every issue at once, and what the sources' records break."""
+    d = Direction(MODEL, {"Nope": lambda c: None}, parameters=("a", "A", "1x", "b"), roles=("m", "m", "", "n"), models={"m": "Other"})
+    ws = workspace(spark, [{"Id": "i1", "Name": None, "GroupId": "gone"}, {"Id": "i2", "Name": None, "GroupId": "g1"}])
+    assert d.issues({"m": ws, "x": ws}, {"a": "1", "b": None, "c": "2"}) == [
+        ("SourceWorkspaceNameDuplicate", "m"),
+        ("SourceWorkspaceNameInvalid", ""),
+        ("SourceWorkspaceMissing", "n"),
+        ("SourceWorkspaceUnexpected", "x"),
+        ("StringParameterNameDuplicate", "A"),
+        ("StringParameterNameInvalid", "1x"),
+        ("ParameterValueUnexpected", "c"),
+        ("ParameterValueInvalid", "b"),
+        ("SourceModelMismatch", "m"),
+        ("TargetEntityNotFound", "Nope"),
+    ]
+    assert Direction(MODEL, {}).issues({}) == [("DirectionSourceWorkspacesMissing", ""), ("SourceWorkspacesMissing", "")]
+    good = Direction(MODEL, {}, roles=("m",), models={"m": "M"})
+    assert rows(good.validation({"m": ws})) == [("instance.relationship.orphan", "m:Item.GroupId", 1), ("instance.required.missing", "m:Item.Name", 2)]
+
+
 def test_csv(spark, tmp_path):
     (tmp_path / "a.csv").write_text('﻿id,Full name,Full name\n1," a ""q""\n b ",x\n\n2,y,\n3\n', encoding="utf-8")
     df = files.read_csv(spark, str(tmp_path / "a.csv"))
