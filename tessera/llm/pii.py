@@ -2,8 +2,8 @@
 
 The field scores whole segments: features of the candidate's characters and of what stands beside it. A dynamic
 program over the tokens of a stretch of text chooses boundaries and kinds of all its segments together; entities have
-MAX_TOKENS tokens at most. It runs around digits and the signs @ = : and -----, since each entity that it knows holds
-one or follows one. Scores depend on segments only, so decoding the stretches decodes the text; none is cut.
+MAX_TOKENS tokens at most. It runs around digits, the signs @ = : and -----, and words that tell a password, since
+each entity that it knows holds one or follows one. Scores depend on segments only, so decoding the stretches decodes the text; none is cut.
 """
 
 from __future__ import annotations
@@ -26,8 +26,8 @@ KINDS = ("email", "ip", "card", "phone")
 ADDED = ("secret", "ssn", "iban")
 MAX_TOKENS = 12
 #: Sentences that the field is trained on; they are made here, from SEED.
-TRAINING_SENTENCES = 700
-ROUNDS = 24
+TRAINING_SENTENCES = 900
+ROUNDS = 22
 SEED = 11
 #: Characters of an entity of several tokens at most; a stretch reaches as far beyond its digits and signs.
 REACH = 48
@@ -40,9 +40,14 @@ _IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 _CARD = re.compile(r"[0-9]++(?:[ -][0-9]++)*+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 #: Letters and digits, also where single signs join them; runs of one sign.
-_TOKEN = re.compile(r"[^\W_]+(?:[._+/-][^\W_]+)*|([^\w\s])\1*|_+")
+_TOKEN = re.compile(r"[^\W_]+(?:[._+/!#$%^*~-][^\W_]+)*|([^\w\s])\1*|_+")
 _SIGNS = re.compile(r"[0-9@=:]+")
 _RULE = re.compile("-{5}")
+#: A secret told in words, which needs neither digit nor sign.
+_TOLD = re.compile(r"(?:passwor[dt]|kennwort|passphrase|passcode|contraseña|mot de passe)[ \t]+(?:is|ist|es|est)[ \t]", re.I)
+_OWNER = re.compile(r"\b(?:my|your|his|her|our|their|mein|dein|ihr|unser|mi|tu|su|mon|ton|notre|votre|root|admin|wifi)(?: [^\W\d]+)? (?:passwor[dt]|kennwort|passphrase|passcode|contraseña|mot de passe) (?:is|ist|es|est) [\"']?$", re.I)
+# Words after a cue that are no secret.
+_EMPTY = frozenset("none null nil true false yes no empty unset required optional missing wrong invalid expired correct incorrect not too very safe secure weak strong lost stolen hidden stored changed reset known here there now still always never being the a an in on of to for at by with that this nicht kein falsch no pas fausse requis obligatorio".split())
 
 Span = tuple[int, int, str]
 
@@ -89,7 +94,7 @@ _FEATURES = 1 << 13
 #: Words that announce an entity.
 _CUE = re.compile(
     r"(?P<secret>pass(?:word|wd|phrase)|pwd|secret|token|(?:api|access|private|auth)[ _-]?key|credential|bearer|contraseña|kennwort|passwort|mot de passe)"
-    r"|(?P<ssn>\bssn|social security)|(?P<iban>\biban|bank account|konto|compte|cuenta)|(?P<number>\bno\b|number|order|invoice|version|isbn|tel|phone|card|\bip\b)",
+    r"|(?P<ssn>\bssn|social security|tax[ _-]?(?:payer|id)|\btin\b)|(?P<digest>\bsha-?[0-9]{1,3}|checksum|\bcommit|digest|\betag|\bu?g?uid\b|uuid|revision)|(?P<iban>\biban|bank account|konto|compte|cuenta)|(?P<number>\bno\b|number|order|invoice|version|isbn|tel|phone|card|\bip\b)",
     re.I,
 )
 _RUN = re.compile(r"[0-9]+|[^\W\d_]+|\s+|.", re.S)
@@ -146,7 +151,9 @@ def _segment_features(text: str, start: int, end: int, n: int = 1) -> tuple[int,
     left, right = text[start - 1] if start else "^", text[end] if end < len(text) else "$"
     side = lambda c: "a" if c.isalnum() else " " if c.isspace() else c
     digit, lower = any(c.isdigit() for c in s), s.islower() and s.isalpha()
-    names = (f"cue={cue}{gap}", f"cue={cue}{gap}/{n}/{digit:d}{lower:d}", f"cue={cue}{gap}/{min(len(s) // 4, 6)}", f"left={side(left)}", f"right={side(right)}", f"sides={side(left)}{side(right)}/{n > 1:d}")
+    before = text[max(0, start - 48) : start]
+    told = bool(_TOLD.search(before[-24:])) and bool(_OWNER.search(before))
+    names = (f"told={told:d}/{n}/{s.lower() in _EMPTY:d}", f"empty={cue}/{s.lower() in _EMPTY:d}", f"cue={cue}{gap}", f"cue={cue}{gap}/{n}/{digit:d}{lower:d}", f"cue={cue}{gap}/{min(len(s) // 4, 6)}", f"left={side(left)}", f"right={side(right)}", f"sides={side(left)}{side(right)}/{n > 1:d}")
     return _own_features(s, n) + tuple(map(_slot, names))
 
 
@@ -212,7 +219,7 @@ def _sentences(rng: np.random.Generator) -> Iterator[tuple[str, list[Span]]]:
     some = lambda n, chars: "".join(chars[i] for i in rng.integers(len(chars), size=n))
     low, cap, digit = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
     digits = lambda n: some(n, digit)
-    word = lambda: pick(["the", "of", "in", "is", "and", "for", "with", some(many(2, 10), low), some(many(2, 10), low), some(1, cap) + some(many(2, 8), low), some(many(2, 7), "aeioulnéñüçß")])
+    word = lambda: pick(["the", "of", "in", "is", "and", "for", "with", some(many(2, 10), low), some(many(2, 10), low), some(1, cap) + some(many(2, 8), low), some(many(8, 16), low), some(many(2, 12), "aeioulnéñüçß")])
     words = lambda a, b: " ".join(word() for _ in range(many(a, b)))
 
     def card() -> str:
@@ -226,7 +233,7 @@ def _sentences(rng: np.random.Generator) -> Iterator[tuple[str, list[Span]]]:
 
     def value() -> str:
         mixed = low + cap + digit
-        return pick([some(many(8, 65), "0123456789abcdef"), some(many(8, 48), mixed), some(many(3, 9), low) + digits(many(1, 5)), some(many(3, 12), low), some(1, cap) + some(many(3, 8), low) + digits(many(1, 4)) + pick(["!", "#", ""]), some(many(8, 20), mixed) + pick("-_./+") + some(many(4, 20), mixed), some(many(4, 9), mixed)])
+        return pick([some(many(8, 65), "0123456789abcdef"), some(many(8, 48), mixed), some(many(3, 9), low) + digits(many(1, 5)), some(many(3, 12), low), some(1, cap) + some(many(3, 8), low) + digits(many(1, 4)) + pick(["!", "#", ""]), some(many(8, 20), mixed) + pick("-_./+") + some(many(4, 20), mixed), some(many(4, 9), mixed), some(1, cap) + some(many(2, 8), low) + digits(1) + pick("!#$%^*~") + some(many(2, 10), low + cap), some(many(3, 9), mixed) + pick("!#$%^*~") + some(many(3, 9), mixed)])
 
     def known() -> str:
         """A secret that needs no cue."""
@@ -238,30 +245,41 @@ def _sentences(rng: np.random.Generator) -> Iterator[tuple[str, list[Span]]]:
 
     def secret() -> tuple[str, str]:
         before, v = cued()
-        return (before, v if not before.endswith(" is ") or any(c.isdigit() for c in v) else v + digits(2)) if rng.random() < 0.6 else (pick(["", "", "Bearer ", "key "]), known())
+        return (before, v if not before.endswith(" is ") or any(c.isdigit() for c in v) else v + digits(2)) if rng.random() < 0.5 else (pick(["", "", "Bearer ", "key ", "with ", "use "]), known())
 
+    def told() -> tuple[str, str]:
+        """A plain word, which only the words before make a secret."""
+        whose = pick(["my", "your", "her", "his", "our", "root", "wifi", "mein", "mi", "mon", "my new", "our old"])
+        return f"{whose} {pick(['password', 'passphrase', 'passcode', 'Passwort', 'Kennwort', 'contraseña', 'mot de passe'])} {pick(['is', 'is', 'ist', 'es', 'est'])} {pick(['', '', chr(34)])}", some(many(5, 13), low)
+
+    hexa = "0123456789abcdef"
+    uuid = lambda: "-".join(some(n, hexa) for n in (8, 4, 4, 4, 12))
     make = {
         "email": lambda: ("", f"{some(many(3, 9), low)}{pick(['.', '_', ''])}{pick([digits(2), some(3, low)])}@{some(many(3, 9), low)}.{pick(['com', 'org', 'co.uk', 'example.net'])}"),
         "ip": lambda: ("", ".".join(str(x) for x in rng.integers(1, 256, 4))),
         "card": lambda: ("", card()),
         "phone": lambda: ("", pick([f"+1 ({digits(3)}) 555-{digits(4)}", f"+{digits(2)} {digits(3)} {digits(7)}", f"+{digits(2)}-{digits(9)}", f"+{digits(2)} {digits(2)} {digits(4)} {digits(4)}"])),
         "secret": secret,
-        "ssn": lambda: (pick(["", "", "SSN ", "ssn: ", "social security number "]), f"{digits(3)}-{digits(2)}-{digits(4)}"),
+        "ssn": lambda: (pick(["", "", "SSN ", "ssn: ", "SSN=", "social security number "]), f"{digits(3)}-{digits(2)}-{digits(4)}") if rng.random() < 0.6 else (pick(["SSN ", "ssn: ", "SSN=", "ssn ", "social security number ", "social security no. ", "taxpayer ", "taxpayer id ", "tax id ", "TIN: "]), pick(["", " "]).join([digits(3), digits(2), digits(4)])),
+        "told": told,
         "iban": lambda: (pick(["", "", "IBAN ", "iban: ", "account "]), iban()),
         "": lambda: ("", pick([
             f"version {digits(1)}.{digits(1)}.{digits(2)}", f"{pick(['19', '20'])}{digits(2)}-{digits(2)}-{digits(2)}", f"{digits(2)}/{digits(2)}/20{digits(2)}", digits(many(1, 14)), f"{word()} = {digits(2)}", f"BY-NC {digits(1)}.0", f"{digits(2)}:{digits(2)}", f"{digits(2)}:{digits(2)}:{digits(2)}", f"${digits(3)}.{digits(2)}", f"{word()}@", f"{digits(3)}.{digits(3)}", f"{digits(2)}%", f"({digits(1)})", f"{digits(4)}-{digits(4)}",
             f"{word()}={word()}", f"{some(many(1, 4), low)} = {some(many(1, 6), low)};", digits(17), f"{digits(3)}-{digits(4)}", f"{digits(3)}-{digits(1)}-{digits(2)}-{digits(6)}-{digits(1)}", f"{word()}: {word()} {word()}", f"note: {words(1, 5)}", f"{some(2, cap)}-{digits(4)}", f"{some(many(2, 5), cap)} {digits(3)}", f"http://{some(5, low)}.example.com/{some(5, low)}/{digits(3)}", f"{some(5, low)}_{digits(4)}_{some(4, low)}.pdf",
             f"{pick(['the', 'a', 'each'])} {pick(['token', 'secret', 'password', 'api key', 'credential'])} {pick(['is', 'was', 'has', 'of', 'in'])} {words(1, 4)}", f"{pick(['tokens', 'secrets', 'passwords', 'Secret', 'Token'])} {words(1, 4)}", f"{some(4, low)}{some(1, cap)}{some(5, low)}", f"{some(8, '0123456789abcdef')}-{some(4, '0123456789abcdef')}-{some(4, '0123456789abcdef')}", f"#{some(6, '0123456789abcdef')}", f"{digits(1)}{pick(['st', 'nd', 'th'])}", f"-----", f"{digits(2)} {digits(3)} {digits(3)}", f"{some(3, cap)}{digits(3)}", "license: MIT", f"password {pick(['required', 'reset', 'policy', 'manager'])}", f"{digits(5)}-{digits(4)}",
+            f"{pick(['', '', 'id ', 'uuid: ', 'request ', 'uuid ', 'session id='])}{uuid()}", f"{pick(['', 'guid '])}{uuid().upper()}", uuid(), f"{pick(['sha256', 'sha1', 'SHA-256', 'commit', 'checksum', 'digest', 'etag', 'revision'])}{pick([' ', ': ', ':', '=', ' is '])}{some(pick([40, 64, 12, 7]), hexa)}", f"commit {some(40, hexa)}",
+            f"{pick(['part', 'order', 'serial', 'ticket', 'invoice', 'case'])} {pick(['number ', 'no. ', '#', ''])}{pick([digits(9), digits(9), digits(3) + '-' + digits(4)])}", f"{pick(['etag', 'checksum', 'digest'])}: {chr(34)}{some(pick([32, 40]), hexa)}{chr(34)}",
+            f"{name()}{pick([': ', '=', ' = ', ' is '])}{pick(['none', 'null', 'None', 'true', 'false', 'empty', 'required', 'optional', 'missing'])}", f"{pick(['my', 'your', 'the', 'their'])} password is {pick(['wrong', 'not', 'required', 'too', 'safe', 'lost', 'expired', 'the', 'weak', 'stored', 'hidden', 'known', 'here', 'invalid'])} {words(1, 3)}",
         ])),
     }
-    kinds = [*list(make), "secret", "secret"]
+    kinds = [*list(make), "secret", "secret", "secret", "iban"]
     for i in range(TRAINING_SENTENCES):
         text, spans = words(1, 5) + " ", []
         for kind in (kinds[i % len(kinds)], "", ""):
             before, piece = make[kind]()
             text += before
             if kind:
-                spans.append((len(text), len(text) + len(piece), kind))
+                spans.append((len(text), len(text) + len(piece), "secret" if kind == "told" else kind))
             text += piece + ('"' if before.endswith('"') else "'" if before.endswith("'") else "") + pick([" ", ", ", ". ", "\n", "!! ", "; "]) + words(1, 4) + " "
         yield text, spans
 
@@ -307,7 +325,7 @@ def trained() -> np.ndarray:
 
 def _stretches(text: str) -> Iterator[tuple[int, int]]:
     """The parts of the text around digits and signs, from white space to white space; what touches is one."""
-    signs = sorted([*_SIGNS.finditer(text), *(_RULE.finditer(text) if "-----" in text else ())], key=lambda m: m.start())
+    signs = sorted([*_SIGNS.finditer(text), *(_RULE.finditer(text) if "-----" in text else ()), *_TOLD.finditer(text)], key=lambda m: m.start())
     start = end = -1
     for m in signs:
         if m.end() <= end:
