@@ -15,6 +15,8 @@ least and need no more than B = 1,024: for P = 256 all of those stay silent with
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +33,8 @@ BREAK = r"[^\p{L}\p{N}]+"
 BROADCAST_ROWS = 500_000
 #: Parts that the windows of one band value are dealt to where they are shuffled.
 SALTS = 16
+#: Shingles of all templates up to which the bands that they use are listed in the plan.
+LISTED_SHINGLES = 20_000
 
 # License identifiers and the public wording of their notices.
 TEMPLATES = [
@@ -75,7 +79,7 @@ def shingles(text: Column) -> Column:
 
 def signature(window: Column, bits: int) -> Column:
     """The smallest hash of each of 2 ** bits bands that a window has a hash in."""
-    band = lambda x: F.shiftrightunsigned(x, 64 - bits)
+    band = lambda x: _band(x, bits)
     # in the order of signed numbers the hashes of a band stand together, smallest first
     return let(F.sort_array(window), lambda w: F.filter(w, lambda x, i: (i == 0) | (band(x) != band(F.get(w, i - 1)))))
 
@@ -101,19 +105,37 @@ def read_templates(spark: SparkSession, path: str) -> DataFrame:
 def _starts(n: Column, width: int) -> Column:
     """The windows of a text of n shingles; one at the end that lies in the window before is left out."""
     starts = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / width).cast("int")), lambda i: F.struct(F.lit(width).alias("width"), (i * width).alias("start")))
-    return F.filter(starts, lambda x: (x["start"] == 0) | (x["start"] + width < n))
+    return F.filter(starts, lambda x: (n > 0) & (x["start"] >= 0) & ((x["start"] == 0) | (x["start"] + width < n)))
 
 
-def candidates(docs: DataFrame, table: DataFrame, widths: Sequence[int], small: bool) -> DataFrame:
+def _band(x: Column, bits: int) -> Column:
+    return F.shiftrightunsigned(x, 64 - bits)
+
+
+def _used(table: DataFrame) -> dict[int, list[int]]:
+    """The bands that templates have a value in, by their bits: LISTED_SHINGLES at most."""
+    own = table.select(F.when(F.col("width") <= 64, SMALL_BITS).otherwise(LARGE_BITS).alias("bits"), F.explode("own").alias("x"))
+    at = F.when(F.col("bits") == SMALL_BITS, _band(F.col("x"), SMALL_BITS)).otherwise(_band(F.col("x"), LARGE_BITS))
+    out: dict[int, list[int]] = {}
+    for r in own.select("bits", at.alias("band")).distinct().collect():
+        out.setdefault(r.bits, []).append(r.band)
+    return out
+
+
+def candidates(docs: DataFrame, table: DataFrame, widths: Sequence[int], small: bool, used: dict[int, list[int]] | None = None) -> DataFrame:
     """(_k, _h, template, width, start): windows that share a band's value with a template; stored, each once.
 
     A window leaves its task as the values of its bands, a few numbers each. With small the templates' bands are sent
     to every executor and nothing else moves before the matches; else both are shuffled by value, and a value that
-    very many windows hold is dealt to SALTS parts, each with the templates of that value.
+    very many windows hold is dealt to SALTS parts, each with the templates of that value. used lists the bands that
+    templates have values in, if they are few: the others' smallest hashes meet nothing and are not looked for.
     """
-    rows = docs.select(*row_key(), shingles(F.col("text")).alias("s")).where(F.size("s") > 0)
+    rows = docs.select(*row_key(), shingles(F.col("text")).alias("s"))
+    if used is not None:
+        in_use = lambda x: reduce(or_, [_band(x, bits).isin(bands) for bits, bands in used.items()])
+        rows = rows.withColumn("s", F.transform("s", lambda x: F.when(in_use(x), x)))
     at = rows.select("*", F.explode(F.flatten(F.array(*[_starts(F.size("s"), w) for w in widths]))).alias("x")).select("_k", "_h", "x.width", "x.start", F.slice("s", F.col("x.start") + 1, 2 * F.col("x.width")).alias("part"))
-    banded = at.select("_k", "_h", "width", "start", F.explode(_signature(F.col("part"), F.col("width"))).alias("value"))
+    banded = at.select("_k", "_h", "width", "start", F.explode(_signature(F.array_compact("part"), F.col("width"))).alias("value"))
     bands = table.select("width", "template", F.explode(_signature(F.col("own"), F.col("width"))).alias("value"))
     if small:
         met = banded.join(F.broadcast(bands), ["width", "value"])  # BROADCAST_ROWS at most
@@ -140,7 +162,7 @@ def scan(docs: DataFrame, templates: Sequence[tuple[str, str]] | DataFrame | Non
         return docs.select(own).where("false").select("doc_id", F.lit("").alias("license"), F.lit(0).alias("template"), F.lit(0.0).alias("containment"))
     small = sum(counts.values()) <= BROADCAST_ROWS
     texts = docs.select(own, F.col("text"))
-    found = candidates(texts, table, sorted(counts), small)
+    found = candidates(texts, table, sorted(counts), small, _used(table) if small and sum(counts.values()) <= LISTED_SHINGLES else None)
     few = lambda df, n: F.broadcast(df) if n <= BROADCAST_ROWS else df
     windows = found.groupBy("_k", "_h").agg(F.collect_list(F.struct("template", "width", "start")).alias("c"))
     again = texts.select("doc_id", *row_key(), "text").join(few(windows, found.count()), ["_k", "_h"])
