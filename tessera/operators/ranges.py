@@ -123,7 +123,7 @@ def page(df: DataFrame, by: Sequence[Column], offset: int, size: int) -> DataFra
 # joins by comparison
 
 #: Rows of a block, blocks of a side at most, and pairs of blocks at most; what is gathered is bounded by the last two.
-BLOCK_ROWS, MOST_BLOCKS, MOST_PAIRS = 20_000, 4_096, 1_000_000
+BLOCK_ROWS, MOST_BLOCKS, MOST_PAIRS = 2_000, 4_096, 1_000_000
 _OPS = {
     "<": (lambda x, y: x < y, lambda a, b: a[0] < b[1]),
     "<=": (lambda x, y: x <= y, lambda a, b: a[0] <= b[1]),
