@@ -34,6 +34,16 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def joined_hot(rows: DataFrame, told: DataFrame, key: str) -> DataFrame:
+    """rows joined with told(key, times, ...), which has one row for each key and the number of rows that hold it.
+
+    A key of over a thousandth of all rows is sent to every executor, of which there can't be more than a thousand;
+    the others meet by shuffles, in which no key is large. Rows with a null key, or one that told lacks, have no match.
+    """
+    hot = told.where(F.col("times") > max(1, rows.count() // 1000))
+    return rows.join(F.broadcast(hot), key).unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(told, key))
+
+
 def row_key(doc_id: str = "doc_id", text: str = "text") -> list[Column]:
     """Two columns that identify a row by its content, nulls included; equal rows share them.
 

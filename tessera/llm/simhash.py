@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import read, row_key, stored
+from .common import joined_hot, read, row_key, stored
 from .graph import components
 
 SHINGLE_WORDS = 3
@@ -222,13 +222,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     the map-side combine.
     """
     rows = stored(docs.select("doc_id", *row_key(), "text").mapInArrow(_fingerprints, "doc_id long, _k long, _h long, fp long"), "fingerprints")
-    least = rows.groupBy("fp").agg(F.min("doc_id").alias("low"))
-    of = components(links(least.select("fp")))
-    # of has only fingerprints with links
-    low = least.join(of.withColumnRenamed("node", "fp"), "fp").groupBy("label").agg(F.min("low").alias("low"))
-    linked = of.join(low, "label").select(F.col("node").alias("fp"), "label", F.col("low").alias("linked"))
-    ids = least.join(linked, "fp", "left").select("fp", F.when(F.col("label").isNull(), F.col("low")).otherwise(F.col("linked")).alias("component_id"), F.coalesce("label", "fp").alias("component"))
-    return rows.join(stored(ids, "fingerprint-components"), "fp")  # stored, so that Spark can split the join at a hot fingerprint
+    least = rows.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("times"))
+    of = stored(components(links(least.select("fp"))), "fingerprint-labels")
+    # of has only fingerprints with links; a component may hold very many, so its rows don't meet in one task
+    low = least.join(of.withColumnRenamed("node", "fp"), "fp").groupBy("label").agg(F.min("low").alias("low"), F.count(F.lit(1)).alias("times"))
+    linked = joined_hot(of, stored(low, "component-ids"), "label").select(F.col("node").alias("fp"), "label", F.col("low").alias("linked"))
+    ids = least.join(linked, "fp", "left").select("fp", "times", F.when(F.col("label").isNull(), F.col("low")).otherwise(F.col("linked")).alias("component_id"), F.coalesce("label", "fp").alias("component"))
+    # copies of one text share a fingerprint, so a shuffle by it would send them all to one task
+    return joined_hot(rows, stored(ids, "fingerprint-components"), "fp").select(*rows.columns, "component_id", "component")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:

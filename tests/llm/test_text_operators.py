@@ -12,6 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from tessera.llm import licenses, lines, mixing, quality, simhash
+from tessera.llm.common import joined_hot
 from tessera.llm.graph import components
 
 from .. import oracle
@@ -132,6 +133,32 @@ def test_quality_of_a_very_long_text(spark):
     assert (row.n_words, row.word_chars, row.n_symbols, row.n_dup_lines, row.n_repeat_words) == quality_base(text)
 
 
+def test_joined_hot(spark):
+    """Frequent and rare keys, keys that one side lacks, and null keys: what a plain join gives, and no frequent key in a shuffle."""
+    values = [1] * 900 + [2] * 3 + [3, 4] + [None] * 50
+    rows = spark.createDataFrame(list(enumerate(values)), "id int, k long")
+    told = spark.createDataFrame([(1, 900, "a"), (2, 3, "b"), (3, 1, "c"), (5, 1, "e"), (None, 50, "n")], "k long, times long, say string")
+    got = joined_hot(rows, told, "k")
+    assert sorted((x.id, x.k, x.say) for x in got.collect()) == sorted((x.id, x.k, x.say) for x in rows.join(told, "k").collect())
+    assert joined_hot(rows.limit(0), told, "k").isEmpty() and joined_hot(rows, told.limit(0), "k").isEmpty()
+
+
+def test_simhash_large_component(spark):
+    """A component of many fingerprints and one of many copies keep their smallest ids."""
+    base = [f"w{i}" for i in range(400)]
+    texts = [" ".join(base[:k] + ["x"] + base[k + 1 :]) for k in range(0, 400, 4)] + ["copy of one text " * 9] * 80 + [f"lone {i} text {i * 7}" for i in range(20)]
+    docs = spark.createDataFrame([(1000 - i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    fps, ids = [simhash.fingerprint(t.encode()) for t in texts], [1000 - i for i in range(len(texts))]
+    assert len(set(fps[:100])) > 50
+    want = dict(zip(ids, ids))
+    while True:
+        now = {a: min(want[b] for b, g in zip(ids, fps) if (f ^ g).bit_count() <= 3) for a, f in zip(ids, fps)}
+        if now == want:
+            break
+        want = now
+    assert {x.doc_id: x.component_id for x in simhash.near_duplicates(docs).collect()} == want
+
+
 def test_simhash_fingerprints():
     for t in ["", "a", "A b", "a b c d e f g", "x " * 500, "é ü ñ a b"]:
         w = re.findall(r"[^\x20\x09-\x0D]+", lower(t))
