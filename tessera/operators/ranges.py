@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -131,6 +132,14 @@ _OPS = {
     ">=": (lambda x, y: x >= y, lambda a, b: a[1] >= b[0]),
     "=": (lambda x, y: x == y, lambda a, b: a[0] <= b[1] and a[1] >= b[0]),
 }
+#: Bounds by which every row of one block meets every row of the other.
+_SURE = {
+    "<": lambda a, b: a[1] < b[0],
+    "<=": lambda a, b: a[1] <= b[0],
+    ">": lambda a, b: a[0] > b[1],
+    ">=": lambda a, b: a[0] >= b[1],
+    "=": lambda a, b: a[0] == a[1] == b[0] == b[1],
+}
 
 
 def _blocks(df: DataFrame, keys: Sequence[Column], names: Sequence[str], block: str) -> tuple[DataFrame, list]:
@@ -164,7 +173,8 @@ def theta_join(a: DataFrame, b: DataFrame, on: Sequence[tuple[Column, str, Colum
     The comparison that shuffles nothing together: each side lies in blocks of consecutive first keys, and only pairs
     of blocks whose bounds allow every comparison meet, by an equality of block numbers. So a band costs about as
     much as it yields, neither side is broadcast, and no key is too frequent for a task. Null keys meet nothing; left
-    keeps rows of a that met none. The sides' column names must differ.
+    keeps rows of a that met none. The sides' column names must differ. Only the sides are stored, never the pairs;
+    who only counts or adds up what is met takes correlated, which forms no pairs.
     """
     if how not in ("inner", "left"):
         raise ValueError(f"UnsupportedSyntax: {how} join")
@@ -184,18 +194,22 @@ def theta_join(a: DataFrame, b: DataFrame, on: Sequence[tuple[Column, str, Colum
     # at most MOST_BLOCKS rows, and MOST_PAIRS
     p = left.join(group(one, "_i", "_g"), "_i").join(small(pairs, ["_g", "_h"]), "_g")
     q = right.join(group(two, "_j", "_h"), "_j").join(small(pairs, ["_g", "_h"]), "_h")
-    met = p.join(q, ["_g", "_h"])
-    for k, (_, op, _) in enumerate(on):
-        met = met.where(_OPS[op][0](F.col(x[k]), F.col(y[k])))
-    if where is not None:
-        met = met.where(where)
+    meets = reduce(lambda c, d: c & d, [_OPS[op][0](F.col(x[k]), F.col(y[k])) for k, (_, op, _) in enumerate(on)])
+    meets = meets if where is None else meets & where
+    met = p.join(q, ["_g", "_h"]).where(meets).select(*a.columns, *b.columns)
     if how == "inner":
-        return met.select(*a.columns, *b.columns)
-    met = kept(met.select("_i_row", *a.columns, *b.columns), "theta")
-    bare = left.join(met.select("_i_row").distinct(), "_i_row", "left_anti")
+        return met
+    # rows of a block that surely meets another one need no search; others are bare unless they have a first match
+    sure = lambda p, q: where is None and all(_SURE[op](p[k], q[k]) for k, (_, op, _) in enumerate(on))
+    served = {i for i, j in pairs if sure(one[i][1], two[j][1])}
+    asked = left.join(group(one, "_i", "_g"), "_i").join(small([(i,) for i in range(len(one)) if i not in served], ["_g"]), "_g")
+    few = [(i, j) for i, j in pairs if i not in served]
+    other = right.join(group(two, "_j", "_h"), "_j").join(small(few, ["_g", "_h"]), "_h").withColumnsRenamed({"_g": "_og", "_h": "_oh"})
+    first = asked.join(small(few, ["_g", "_h"]), "_g").join(other, (F.col("_g") == F.col("_og")) & (F.col("_h") == F.col("_oh")) & meets, "left_semi")
+    bare = asked.join(first.select("_i_row").distinct(), "_i_row", "left_anti")
     lacks = [F.lit(None).cast(f.dataType).alias(f.name) for f in b.schema]
     empty = F.exists(F.array(*[k.isNull() for k, _, _ in on]), lambda v: v)
-    return met.select(*a.columns, *b.columns).unionByName(bare.select(*a.columns, *lacks)).unionByName(a.where(empty).select(*a.columns, *lacks))
+    return met.unionByName(bare.select(*a.columns, *lacks)).unionByName(a.where(empty).select(*a.columns, *lacks))
 
 
 # correlation by an order

@@ -199,12 +199,13 @@ def theta_band(spark, sf):
 
 @query("SELECT CAST(c_custkey AS VARCHAR) AS CustomerId, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON o_custkey > c_custkey AND o_orderpriority LIKE '1-%' AND o_orderstatus = 'P' GROUP BY c_custkey")
 def theta_left(spark, sf):
-    """How many urgent open orders belong to customers of greater ids; also none."""
+    """How many urgent open orders belong to customers of greater ids; also none. Orders are counted by owner and added up along the ids, no pair is formed."""
     ws = star(spark, sf, typed=True)
     c = ws["Customer"].select(F.col("Id").alias("CustomerKey"))
     o = ws["Order"].where(S.like("Priority", "1-%") & S.equal(F.col("Status"), "p")).select(F.col("Id").alias("OrderKey"), F.col("CustomerId").alias("Owner"))
-    met = ranges.theta_join(c, o, [(F.col("CustomerKey"), "<", F.col("Owner"))], "left")
-    return met.groupBy(F.col("CustomerKey").cast("string").alias("CustomerId")).agg(F.count("OrderKey").alias("n"))
+    owned = o.groupBy("Owner").agg(F.count("OrderKey").alias("owned"))
+    behind = ranges.correlated(c, owned, [], F.col("CustomerKey"), ">", F.col("Owner"), F.col("owned"), "sum", "n")
+    return behind.groupBy(F.col("CustomerKey").cast("string").alias("CustomerId")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
 
 
 @query("SELECT CAST(c_custkey AS VARCHAR) AS Id, CAST(o_orderkey AS VARCHAR) AS OrderId FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderstatus = 'P'")

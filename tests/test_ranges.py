@@ -1,5 +1,6 @@
 """Orders dealt out by ranges: numbers, pages, joins by comparison, correlated aggregates, against plain Python."""
 
+import os
 import random
 
 import pytest
@@ -8,6 +9,9 @@ from pyspark.sql import functions as F
 from tessera.functions import scalar as S
 from tessera.operators import ranges
 from tessera.operators import relational as R
+from tessera.plans import catalog
+
+from . import oracle
 
 
 def rows(df):
@@ -78,6 +82,54 @@ def test_theta_join(spark, monkeypatch, ops, block, most):
     assert rows(odd.select("i", "j")) == sorted([(i, j) for i, j in want if i % 2 == j % 3], key=str)
 
 
+@pytest.fixture
+def stored(monkeypatch):
+    """Numbers of rows of the tables that operators store."""
+    sizes, kept = [], ranges.kept
+
+    def counted(df, label):
+        out = kept(df, label)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(ranges, "kept", counted)
+    return sizes
+
+
+@pytest.mark.parametrize(("ops", "odd"), [(["<"], False), (["<="], True), ([">"], False), ([">="], False), (["="], False), (["<", ">"], True), ([">=", "<="], False), (["=", "<"], False)])
+def test_theta_join_left_stores_its_sides_only(spark, monkeypatch, stored, ops, odd):
+    """Rows without a match, in blocks that may meet another and in ones that meet none; null keys; odd is a condition beside the comparisons."""
+    monkeypatch.setattr(ranges, "BLOCK_ROWS", 15)
+    r = random.Random(3)
+    a = [(i, r.choice([None, 7, r.randrange(60)]), r.randrange(60)) for i in range(130)]
+    b = [(j, r.choice([None, r.randrange(10, 50)]), r.randrange(10, 50)) for j in range(110)]
+    on = [(F.col(p), op, F.col(q)) for op, p, q in zip(ops, ("x", "s"), ("y", "t"))]
+    fits = lambda p, q: all(p[k] is not None and q[k] is not None and OPS[op](p[k], q[k]) for k, op in enumerate(ops, 1)) and (not odd or p[0] % 5 < q[0] % 4)
+    met = [(p[0], q[0]) for p in a for q in b if fits(p, q)]
+    found = {i for i, _ in met}
+    want = [*met, *[(p[0], None) for p in a if p[0] not in found]]
+    where = F.col("i") % 5 < F.col("j") % 4 if odd else None
+    out = ranges.theta_join(spark.createDataFrame(a, "i int, x int, s int"), spark.createDataFrame(b, "j int, y int, t int"), on, "left", where)
+    assert rows(out.select("i", "j")) == sorted(want, key=str)
+    assert "NestedLoop" not in plan(out) and "Cartesian" not in plan(out)
+    assert sum(stored) <= len(a) + len(b)
+
+
+@pytest.mark.skipif(not os.path.isdir(oracle.DATA), reason="no tables here")
+def test_theta_left_forms_no_pairs(spark, stored, tmp_path):
+    """Repeated and null customers, a frequent owner, owners that are no customers: counts by SQL, stored rows in proportion to the tables."""
+    c = oracle.connect()
+    for t in oracle.TABLES:
+        if t not in ("customer", "orders"):
+            os.symlink(f"{oracle.DATA}/{t}.parquet", tmp_path / f"{t}.parquet")
+    customers = "SELECT * REPLACE (CASE WHEN i % 50 = 0 THEN NULL ELSE i // 2 END AS c_custkey) FROM (SELECT *, row_number() OVER (ORDER BY c_custkey) AS i FROM customer) LIMIT 400"
+    orders = "SELECT * REPLACE (CASE o_orderkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 90 ELSE o_orderkey % 301 - 50 END AS o_custkey, '1-URGENT' AS o_orderpriority, 'P' AS o_orderstatus) FROM orders ORDER BY o_orderkey LIMIT 1000"
+    c.execute(f"COPY (SELECT * EXCLUDE (i) FROM ({customers})) TO '{tmp_path}/customer.parquet' (FORMAT parquet)")
+    c.execute(f"COPY ({orders}) TO '{tmp_path}/orders.parquet' (FORMAT parquet)")
+    oracle.agree(spark, catalog.QUERIES["theta_left"], catalog.SQL["theta_left"], str(tmp_path))
+    assert 0 < sum(stored) <= 2 * (400 + 1000)
+
+
 def test_theta_join_of_nothing(spark):
     a, b = spark.createDataFrame([(1,)], "x int"), spark.createDataFrame([(1,)], "y int")
     assert ranges.theta_join(a.where("false"), b, [(F.col("x"), "<", F.col("y"))], "left").count() == 0
